@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, html, licenses, lm, mixing, pii, quality, secrets, simhash
+from siltstone.llm import decontaminate, html, licenses, linededup, lm, mixing, pii, quality, secrets, simhash
 from siltstone.session import table
 
 
@@ -28,6 +28,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
