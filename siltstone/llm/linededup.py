@@ -16,12 +16,13 @@ from siltstone.session import Scratch
 
 #: Characters of a shingle and least Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
-#: Bands and minima of a signature. Lines up to SHORT characters are signed by all their shingles, with SHORT_ROWS
-#: minima a band, neighbouring bands sharing some; lines from LONG on by the ANCHORED characters from each start of a
-#: word, with LONG_ROWS minima a band. Between the two both are done, as two lines that are SIMILAR differ by less in
-#: length than LONG from SHORT.
-BANDS, ROWS, SHORT_ROWS, LONG_ROWS = 8, 16, 4, 2
-SHORT, LONG, ANCHORED = 64, 40, 12
+#: Bands and minima of a signature. Lines up to SHORT characters, or with FEW anchors at most, are signed by all their
+#: shingles, with SHORT_ROWS minima a band, neighbouring bands sharing some; lines of LONG characters and MANY anchors
+#: or more by the 12 characters from each anchor, with LONG_ROWS minima a band likewise. The bounds overlap, so that two similar
+#: lines that lie on both sides of one are still signed alike. An anchor is a start of a word after three characters.
+BANDS, ROWS, SHORT_ROWS, LONG_ROWS = 8, 16, 4, 3
+SHORT, LONG, FEW, MANY = 64, 40, 9, 6
+ANCHOR = r"(?s)(?:^|(?<=\S\S\S\s))(?=(\S.{0,11}))"
 
 _NODE_BITS = 58
 
@@ -32,7 +33,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     A line is what stands between \n, less spaces, tabs and carriage returns at its ends. version tells texts of one
     doc_id apart; node is 58 bits of the line's hash, proof 64 bits of another one.
     """
-    parts = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    # The text is hashed and split before its lines are dealt out, once a document.
+    whole = docs.select("doc_id", F.xxhash64("text").alias("version"), F.split("text", "\n").alias("parts"))
+    parts = whole.select("doc_id", "version", F.posexplode_outer("parts").alias("line_no", "raw"))
     line = F.btrim("raw", F.lit(" \t\r"))
     cut = parts.select("doc_id", "version", "line_no", line.alias("line")).where("line <> ''")
     node = F.shiftrightunsigned(F.xxhash64("line"), 64 - _NODE_BITS)
@@ -40,26 +43,32 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(node, occurs, keys): how often each node occurs and its band keys, by aggregates over exploded shingles."""
-    length = F.length("line")
-    anchored = F.regexp_extract_all("line", F.lit(rf"(?s)(?<![^\s])(?=(\S.{{0,{ANCHORED - 1}}}))"), F.lit(1))
-    ways = F.array(
-        F.struct(F.lit(0).alias("way"), F.when(length <= SHORT, _grams(F.col("line"))).alias("shingles")),
-        F.struct(F.lit(1).alias("way"), F.when(length >= LONG, anchored).alias("shingles")),
-    )
-    pieces = lines.select("node", "proof", F.explode(ways).alias("one"))
-    each = pieces.select("node", "proof", "one.way", F.posexplode("one.shingles").alias("at", "shingle"))
-    each = each.select("node", "proof", "way", "at", F.xxhash64("shingle").alias("h"))
+    """(node, home, occurs, keys): a document that has it, how often each node occurs and its band keys, by aggregates over exploded shingles."""
+    words = F.regexp_extract_all("line", F.lit(ANCHOR), F.lit(1))
+    found = lines.select("node", _home().alias("home"), "line", F.length("line").alias("length"), words.alias("words"))
+    none = F.array().cast("array<string>")
+    all_of = F.when((F.col("length") <= SHORT) | (F.size("words") <= FEW), _grams(F.col("line"))).otherwise(none)
+    some_of = F.when((F.col("length") >= LONG) & (F.size("words") >= MANY), F.col("words")).otherwise(none)
+    pieces = found.select("node", "home", all_of.alias("all_of"), some_of.alias("some_of"))
+    # The first shingles are of way 0, the rest of way 1; either may be absent.
+    dealt = pieces.select("node", "home", F.size("all_of").alias("n"), F.posexplode_outer(F.concat("all_of", "some_of")).alias("at", "shingle"))
+    way = F.when(F.col("at") < F.col("n"), 0).otherwise(1).alias("way")
+    start = ((F.col("at") == 0) | (F.col("at") == F.col("n"))).cast("int").alias("start")
+    each = dealt.select("node", "home", way, start, F.xxhash64("shingle").alias("h"))
     mins = [F.min(F.hash(F.col("h"), F.lit(k))).alias(f"m{k}") for k in range(ROWS)]
-    first = F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("occurs")
-    signed = each.groupBy("node", "way").agg(first, F.min("proof").alias("least"), F.max("proof").alias("most"), *mins)
+    signed = each.groupBy("node", "way").agg(F.sum("start").alias("occurs"), F.min("home").alias("home"), *mins)
     step = ROWS // BANDS
 
     def keys(rows: int) -> Column:
         return F.array(*(F.xxhash64("way", F.lit(b), *(f"m{(b * step + r) % ROWS}" for r in range(rows))) for b in range(BANDS)))
 
     chosen = F.when(F.col("way") == 0, keys(SHORT_ROWS)).otherwise(keys(LONG_ROWS))
-    return signed.where("least = most").select("node", "occurs", chosen.alias("keys"))
+    return signed.select("node", "home", "occurs", chosen.alias("keys"))
+
+
+def _home() -> Column:
+    """The smallest of these over a line's occurrences says where to fetch it."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
 
 
 def _grams(line: Column) -> Column:
@@ -69,9 +78,9 @@ def _grams(line: Column) -> Column:
     )
 
 
-def candidate_pairs(lines: DataFrame, scratch: Scratch) -> DataFrame:
+def candidate_pairs(signed: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of nodes that meet in a bucket with one of its representatives."""
-    banded = scratch.keep(signatures(lines)).select("node", "occurs", F.explode("keys").alias("key"))
+    banded = signed.select("node", "occurs", F.explode("keys").alias("key"))
     # How often a line occurs, in powers of two, above the node's bits: the largest is the most frequent node.
     weight = F.least(F.floor(F.log2(F.col("occurs"))), F.lit(30)).cast("long")
     banded = banded.withColumn("packed", F.shiftleft(weight, _NODE_BITS).bitwiseOR(F.col("node")))
@@ -90,20 +99,35 @@ def jaccard(a: Column, b: Column) -> Column:
         both = F.size(F.array_intersect(x, y))
         return F.transform(F.array(both), lambda n: n / (F.size(x) + F.size(y) - n))[0]
 
-    # Bound as lambda variables, each set is made once a pair.
-    pair = F.array(F.struct(F.array_distinct(_grams(a)).alias("x"), F.array_distinct(_grams(b)).alias("y")))
+    def hashed(line: Column) -> Column:
+        # Four bytes a character, so that a shingle is cut out in constant time.
+        def shingles(wide: Column) -> Column:
+            last = F.greatest(F.floor(F.length(wide) / 4).cast("int") - SHINGLE, F.lit(0))
+            cut = lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE)))
+            return F.array_distinct(F.transform(F.sequence(F.lit(0), last), cut))
+
+        return F.transform(F.array(F.encode(line, "UTF-32")), shingles)[0]
+
+    # Bound as lambda variables, each set is made once a pair; sets of longs are the fast ones.
+    pair = F.array(F.struct(hashed(a).alias("x"), hashed(b).alias("y")))
     return F.transform(pair, share)[0]
 
 
-def verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch, similar: float = SIMILAR) -> DataFrame:
-    """The pairs that are similar enough; their lines are fetched by node."""
+def verified(
+    pairs: DataFrame, signed: DataFrame, lines: DataFrame, scratch: Scratch, similar: float = SIMILAR
+) -> tuple[DataFrame, DataFrame]:
+    """The pairs that are similar enough, and (node, proof, line) of the lines they are of.
+
+    Each line is fetched from one document that has it, so a line that is everywhere is no skewed key.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = lines.select("node", "line").join(wanted, "node", "left_semi")
-    texts = scratch.keep(found.groupBy("node").agg(F.any_value("line").alias("line")))
+    homes = signed.select("node", "home").join(wanted, "node", "left_semi").distinct()
+    found = lines.select("node", _home().alias("home"), "proof", "line").join(homes, ["node", "home"], "left_semi")
+    one = F.min(F.struct("proof", "line")).alias("one")
+    texts = scratch.keep(found.groupBy("node").agg(one).select("node", "one.*"))
     at_a, at_b = (texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in ("a", "b"))
     joined = pairs.join(at_a, "a").join(at_b, "b")
-    # A set of distinct shingles is no larger than the line, but may be smaller, so only sizes of sets decide.
-    return joined.where(jaccard(F.col("line_a"), F.col("line_b")) >= similar).select("a", "b")
+    return joined.where(jaccard(F.col("line_a"), F.col("line_b")) >= similar).select("a", "b"), texts
 
 
 def line_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -118,11 +142,14 @@ def line_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     lines = lines_of(docs)
-    pairs = scratch.keep(candidate_pairs(lines, scratch))
-    links = scratch.keep(verified(pairs, lines, scratch, similar))
+    signed = scratch.keep(signatures(lines))
+    pairs = scratch.keep(candidate_pairs(signed))
+    links, texts = verified(pairs, signed, lines, scratch, similar)
     component = connected_components(links, scratch)
-    places = scratch.keep(lines.select("doc_id", "version", "line_no", "node", "proof"))
-    named = places.join(component, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    # Only the line that was verified is in the component, not another one that shares its node.
+    component = component.join(texts.select("node", "proof"), "node")
+    places = lines.select("doc_id", "version", "line_no", "node", "proof")
+    named = places.join(component, ["node", "proof"], "left").withColumn("class", F.coalesce("component", "node"))
     named = scratch.keep(named.select("doc_id", "version", "line_no", "class", F.when(F.col("component").isNull(), F.col("proof")).alias("proof")))
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")).alias("first")
     # A node outside every component is told from a colliding one by its proof.
