@@ -46,9 +46,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
         F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
-    ranked = ranked.withColumn("level", level)
-    served = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
-    target = F.when(F.col("level") > F.col("ratio"), F.col("cap")).otherwise(F.least(served * F.col("weight"), F.col("cap")))
+    place = F.row_number().over(Window.orderBy("ratio", F.col("source").asc_nulls_last()))
+    ranked = ranked.withColumn("level", level).withColumn("place", place)
+    # The first source that is not full decides; without words there is none.
+    served = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(every)["level"]
+    target = F.coalesce(F.least(served * F.col("weight"), F.col("cap")), F.col("cap"))
     return ranked.select("source", "source_size", target.alias("target"))
 
 
