@@ -17,7 +17,7 @@ from siltstone.llm.boosting import platt
 from siltstone.llm.common import map_rows, spaced_words
 
 #: Buckets of each family of n-grams, and labelled rows to train on, at most: those with the smallest hash of doc_id.
-BUCKETS, TRAIN_ROWS = 4096, 4000
+BUCKETS, TRAIN_ROWS = 1024, 4000
 #: A text is rejected below this calibrated probability of good quality.
 THRESHOLD = 0.5
 #: Symbols that are counted; fewest words; most words in repeated windows, of 100.
@@ -91,18 +91,22 @@ class Classifier:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) -> Classifier:
-    """Logistic regression by accelerated gradient steps over scaled features; every fifth row calibrates it."""
+    """Logistic regression by accelerated gradient steps; every fifth row calibrates it. Scales `x` in place."""
     y = np.asarray(y, np.float64)
     held = np.arange(len(y)) % 5 == 4
     if len(y) < 20 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return Classifier(np.zeros(x.shape[1]), 20.0)
-    scale = x[~held].std(axis=0) + 1e-5
-    middle = x[~held].mean(axis=0)
-    z = np.clip((x - middle) / scale, -5, 5).astype(np.float32) / np.float32(np.sqrt(x.shape[1]))
-    tz, ty = z[~held], y[~held]
+    n = x.shape[1]
+    middle, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-5
+    # In place: the matrix is the largest thing that the driver holds.
+    x -= middle.astype(np.float32)
+    x /= (scale * np.sqrt(n)).astype(np.float32)
+    most = np.float32(5 / np.sqrt(n))
+    np.clip(x, -most, most, out=x)
+    tz, ty = x[~held], y[~held]
     # Both classes weigh the same; the calibration brings the real share back.
     balance = np.where(ty == 1, 0.5 / ty.mean(), 0.5 / (1 - ty.mean()))
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+    w, b = np.zeros(n, np.float32), 0.0
     ahead_w, ahead_b = w, b
     rate = 4.0
     for k in range(steps):
@@ -113,10 +117,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) ->
         speed = k / (k + 3)
         ahead_w, ahead_b = next_w + np.float32(speed) * (next_w - w), next_b + speed * (next_b - b)
         w, b = next_w, next_b
-    unit = w / (scale * np.sqrt(x.shape[1]))
-    made = Classifier(unit.astype(np.float64), float(b - (unit * middle).sum()))
-    raw = x[held].astype(np.float64) @ made.weights.ravel() + made.bias
-    made.scale, made.shift = platt(raw, y[held])
+    unit = w / (scale * np.sqrt(n))
+    made = Classifier(unit, float(b - (unit * middle).sum()))
+    made.scale, made.shift = platt((x[held] @ w + b).astype(np.float64), y[held])
     return made
 
 
@@ -141,11 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
         return each
 
     made = map_rows(texts, "doc_id long, good int, places binary, values binary", make, rows=64)
-    held = made.orderBy(F.xxhash64("doc_id"), "doc_id", "places").limit(rows).collect()
-    x = np.zeros((len(held), 4 * BUCKETS), np.float32)
-    for i, row in enumerate(held):
-        x[i, np.frombuffer(row["places"], np.int16)] = np.frombuffer(row["values"], np.float32)
-    return fit(x, np.array([r.good for r in held]))
+    made = made.orderBy(F.xxhash64("doc_id"), "doc_id", "places").limit(rows)
+    x, y = np.zeros((rows, 4 * BUCKETS), np.float32), []
+    for row in made.toLocalIterator():
+        x[len(y), np.frombuffer(row["places"], np.int16)] = np.frombuffer(row["values"], np.float32)
+        y.append(row["good"])
+    return fit(x[: len(y)], np.array(y))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
