@@ -31,7 +31,7 @@ def n_words(text: Column) -> Column:
 
 
 def map_rows(
-    df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], rows: int = 512
+    df: DataFrame, schema: str, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], rows: int = 128
 ) -> DataFrame:
     """Apply a function to column lists, `rows` rows at a time, so that memory follows a few documents and not a batch.
 
@@ -58,6 +58,16 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker that did a heavy step stays for the next one."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def spread(counts: np.ndarray) -> np.ndarray:
     """0..n-1 for each n in counts, end to end."""
     ends = np.cumsum(counts)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import spaced_words
+from siltstone.llm.common import release, spaced_words
 from siltstone.session import Scratch
 
 #: Documents whose crc32(doc_id as text) mod FOLDS is HELD_OUT are not learned from.
@@ -30,6 +30,8 @@ BITS, PROBES = 12, 5
 BACKOFF, DISCOUNT = 8.0, 0.7
 #: UTF-8 bytes of text whose counts go to one shard; a shard is built by one task.
 SHARD_BYTES = 4_000_000
+#: Tokens that are counted together before they are packed; bounds the memory of a counting task.
+RUN_TOKENS = 1_000_000
 #: Most bytes of model that may be broadcast; beyond, tokens are scored by joins with the same counts and filter.
 BROADCAST_BYTES = 400_000_000
 
@@ -63,32 +65,42 @@ def bigram_hashes(tokens: np.ndarray) -> np.ndarray:
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+    """Equal ranges of the hash, so that shards in order are hashes in order."""
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _count(docs: DataFrame, shards: int) -> DataFrame:
-    """(kind, shard, hashes, counts) rows of each batch's training documents: kind 1 for tokens, 2 for bigrams."""
+    """(kind, shard, hashes, counts) of runs of training documents: kind 1 for tokens, 2 for bigrams."""
     names = ["kind", "shard", "hashes", "counts"]
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
     def pack(kind, values):
         unique, counts = np.unique(values, return_counts=True)
-        shard = shard_of(unique, shards)
-        order = np.argsort(shard, kind="stable")
-        unique, counts, shard = unique[order], counts[order].astype(np.uint32), shard[order]
+        shard, counts = shard_of(unique, shards), counts.astype(np.uint32)
         cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield kind, int(shard[a]), unique[a:b].tobytes(), counts[a:b].tobytes()
 
+    def flush(held):
+        rows = [*pack(1, np.concatenate(held)), *pack(2, np.concatenate([bigram_hashes(t) for t in held]))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            tokens = [token_hashes(texts[i].as_py()) for i, d in enumerate(ids) if not held_out(d)]
-            if not tokens:
-                continue
-            pairs = np.concatenate([bigram_hashes(t) for t in tokens])
-            rows = [*pack(1, np.concatenate(tokens)), *pack(2, pairs)]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for i, doc_id in enumerate(ids):
+                if held_out(doc_id):
+                    continue
+                held.append(token_hashes(texts[i].as_py()))
+                n += len(held[-1])
+                if n >= RUN_TOKENS:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+        del held
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, shard int, hashes binary, counts binary")
 
@@ -115,38 +127,55 @@ def build_filter(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]])
+def _merge(key: tuple, rows: pa.Table) -> pa.Table:
+    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()])
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"].to_pylist()])
     unique, where = np.unique(hashes, return_inverse=True)
     sums = np.bincount(where, weights=counts, minlength=len(unique)).astype(np.int64)
-    kind, shard = int(key[0]), int(key[1])
+    kind, shard = key[0].as_py(), key[1].as_py()
     body, extra = (unique.tobytes(), sums.tobytes()) if kind == 1 else (build_filter(unique, sums), b"")
-    return pd.DataFrame({"kind": [kind], "shard": [shard], "body": [body], "extra": [extra], "n": [len(unique)], "total": [int(sums.sum())]})
+    made = {"kind": [kind], "shard": [shard], "body": [body], "extra": [extra], "n": [len(unique)], "total": [int(sums.sum())]}
+    return pa.Table.from_pydict(made, _PARTS)
+
+
+_PARTS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("body", pa.binary()), ("extra", pa.binary()), ("n", pa.int64()), ("total", pa.int64())])
 
 
 class Model:
-    """Exact token counts and the sharded filter, as one task holds them."""
-
-    def __init__(self, parts: list[tuple[int, int, bytes, bytes]], shards: int):
-        tokens = [p for p in parts if p[0] == 1]
-        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(p[2], np.uint64) for p in tokens)])
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p[3], np.int64) for p in tokens)])
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
-        self.shards = shards
-        filters = {p[1]: np.frombuffer(p[2], np.uint8) for p in parts if p[0] == 2}
-        lengths = np.array([len(filters.get(s, ())) for s in range(shards)], np.int64)
-        self.first_bit = (np.cumsum(lengths) - lengths).astype(np.uint64) * np.uint64(8)
-        self.n_bits = (lengths * 8).astype(np.uint64)
-        self.bits = np.concatenate([np.zeros(0, np.uint8), *(filters[s] for s in sorted(filters))])
-        self.total, self.types = int(self.counts.sum()), len(self.keys)
+    """Exact token counts and the sharded filter, as a task reads them."""
+
+    def __init__(self, keys, counts, bits, first_bit, n_bits):
+        self.keys, self.counts, self.bits, self.first_bit, self.n_bits = keys, counts, bits, first_bit, n_bits
+        self.shards = len(n_bits)
+        self.total, self.types = int(counts.sum(dtype=np.int64)), len(keys)
+
+    @staticmethod
+    def of(parts, sizes: list[tuple[int, int, int, int]], shards: int) -> Model:
+        """From rows (kind, shard, body, extra) that come one at a time, and their (kind, shard, n, bytes of body)."""
+        types, lengths = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
+        for kind, shard, n, length in sizes:
+            if kind == 1:
+                types[shard] = n
+            else:
+                lengths[shard] = length
+        key_at, byte_at = np.cumsum(types) - types, np.cumsum(lengths) - lengths
+        keys, counts = np.zeros(types.sum(), np.uint64), np.zeros(types.sum(), np.int64)
+        bits = np.zeros(lengths.sum(), np.uint8)
+        for kind, shard, body, extra in parts:
+            if kind == 1:
+                where = slice(key_at[shard], key_at[shard] + types[shard])
+                keys[where], counts[where] = np.frombuffer(body, np.uint64), np.frombuffer(extra, np.int64)
+            else:
+                bits[byte_at[shard] : byte_at[shard] + lengths[shard]] = np.frombuffer(body, np.uint8)
+        if counts.max(initial=0) < 1 << 32:
+            counts = counts.astype(np.uint32)
+        return Model(keys, counts, bits, byte_at.astype(np.uint64) * np.uint64(8), (lengths * 8).astype(np.uint64))
 
     def token_counts(self, tokens: np.ndarray) -> np.ndarray:
         if not self.types:
             return np.zeros(len(tokens), np.int64)
         at = np.minimum(np.searchsorted(self.keys, tokens), self.types - 1)
-        return np.where(self.keys[at] == tokens, self.counts[at], 0)
+        return np.where(self.keys[at] == tokens, self.counts[at].astype(np.int64), 0)
 
     def bigram_counts(self, pairs: np.ndarray) -> np.ndarray:
         """The smallest count of the highest level whose probes all hit; 0 if the first level misses."""
@@ -187,7 +216,7 @@ def train(docs: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) ->
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // shard_bytes))
     counted = _count(docs, shards).groupBy("kind", "shard")
-    merged = counted.applyInPandas(_merge, "kind int, shard int, body binary, extra binary, n long, total long")
+    merged = counted.applyInArrow(_merge, "kind int, shard int, body binary, extra binary, n long, total long")
     return scratch.keep(merged), shards
 
 
@@ -204,15 +233,19 @@ def score(docs: DataFrame, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int
     size = parts.agg(F.sum(F.length("body") + F.length("extra"))).first()[0] or 0
     if size > broadcast_bytes:
         return _score_by_joins(docs, parts, shards, scratch)
-    held = [(r.kind, r.shard, bytes(r.body), bytes(r.extra)) for r in parts.toLocalIterator()]
-    shared = spark.sparkContext.broadcast(held)
-    held = None
+    # One shard at a time comes to the driver, into arrays of their final size.
+    sizes = [tuple(r) for r in parts.select("kind", "shard", "n", F.length("body")).collect()]
+    rows = ((r.kind, r.shard, r.body, r.extra) for r in parts.toLocalIterator())
+    model = Model.of(rows, sizes, shards)
+    shared = spark.sparkContext.broadcast((model.keys, model.counts, model.bits, model.first_bit, model.n_bits))
+    del model
 
     def run(batches):
-        model = Model(shared.value, shards)
+        release()
+        model = Model(*shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 ids = part.column(0).to_pylist()
                 tokens = [token_hashes(t) for t in part.column(1).to_pylist()]
                 n = np.array([len(t) for t in tokens])
@@ -279,7 +312,7 @@ def _score_by_joins(docs: DataFrame, parts: DataFrame, shards: int, scratch: Scr
 
     def asked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held = [(2, int(s), bytes(b), b"") for s, b in zip(right["shard"], right["body"], strict=True)]
-        model = Model(held, shards)
+        model = Model.of(held, [(2, s, 0, len(b)) for _, s, b, _ in held], shards)
         pairs = left["pair"].to_numpy(np.int64)
         return pd.DataFrame({"pair": pairs, "c_pair": model.bigram_counts(pairs.view(np.uint64))})
 

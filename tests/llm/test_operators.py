@@ -209,7 +209,9 @@ def test_filter_never_understates(spark):
 
     hashes = np.arange(1, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(1, 5000)
-    model = lm.Model([(2, s, lm.build_filter(hashes[lm.shard_of(hashes, 4) == s], counts[lm.shard_of(hashes, 4) == s]), b"") for s in range(4)], 4)
+    shard = lm.shard_of(hashes, 4)
+    parts = [(2, s, lm.build_filter(hashes[shard == s], counts[shard == s]), b"") for s in range(4)]
+    model = lm.Model.of(parts, [(2, s, 0, len(body)) for _, s, body, _ in parts], 4)
     level = lm.LEVELS[np.searchsorted(lm.LEVELS, counts, side="right") - 1]
     got = model.bigram_counts(hashes)
     assert (got >= level).all() and (got == level).mean() > 0.98
