@@ -358,15 +358,15 @@ def condense(spark, d):
     return graph.condense(edges, graph.strong_components(edges))
 
 
-@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey * 2 AS dst FROM supplier WHERE s_suppkey > 0 AND s_suppkey * 2 <= (SELECT count(*) FROM supplier)
-UNION ALL SELECT s_suppkey, s_suppkey + 5 FROM supplier WHERE s_suppkey % 4 = 1 AND s_suppkey + 5 <= (SELECT count(*) FROM supplier)),
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey * 2 AS dst FROM supplier WHERE s_suppkey > 0 AND s_suppkey * 2 < (SELECT count(*) FROM supplier)
+UNION ALL SELECT s_suppkey, s_suppkey + 5 FROM supplier WHERE s_suppkey % 4 = 1 AND s_suppkey + 5 < (SELECT count(*) FROM supplier)),
 r AS (SELECT s_suppkey AS node, 0 AS level FROM supplier UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node)
 SELECT node, max(level) AS level FROM r GROUP BY node""")
 def topo_levels(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("src"))
     n = s.count()
-    a = s.select("src", (F.col("src") * 2).alias("dst")).where((F.col("dst") <= n) & (F.col("src") > 0))
-    b = s.where("src % 4 = 1").select("src", (F.col("src") + 5).alias("dst")).where(F.col("dst") <= n)
+    a = s.select("src", (F.col("src") * 2).alias("dst")).where((F.col("dst") < n) & (F.col("src") > 0))
+    b = s.where("src % 4 = 1").select("src", (F.col("src") + 5).alias("dst")).where(F.col("dst") < n)
     return graph.topological_levels(a.unionByName(b), s.withColumnRenamed("src", "node"))
 
 
