@@ -144,7 +144,9 @@ def _tag_feature(tag: str) -> str:
 def learn(pages: DataFrame, most: int = TRAIN_PAGES) -> dict[str, float]:
     """Log odds of being in the article, from at most `most` pages with an article or main element."""
     marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-    sample = marked.orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(most)
+    chosen = marked.select(F.col("page_id").alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(most).distinct()
+    # At most `most` ids: small at any size of the input, and no page moves.
+    sample = marked.join(F.broadcast(chosen), F.col("page_id") == F.col("__id"), "left_semi").select("html")
 
     def make():
         def each(cols):
