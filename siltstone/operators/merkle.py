@@ -75,3 +75,28 @@ def merkle_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         if wanted.isEmpty():
             break
     return found if found is not None else old.select("path", F.lit("changed").alias("status")).limit(0)
+
+
+def update_tree(tree: DataFrame, changed: DataFrame) -> DataFrame:
+    """A tree after changes (path, digest) of files; a null digest removes the file, and directories left empty go.
+
+    Only the directories above changed files are made again; all other rows are kept as they are.
+    """
+    scratch = Scratch(tree.sparkSession, "merkle-update")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    touched = scratch.keep(changed.select(F.explode(above).alias("path")).distinct())
+    parent = F.when(F.col("path").contains("/"), F.expr("substring(path, 1, length(path) - locate('/', reverse(path)))")).otherwise("")
+    put = changed.where("digest IS NOT NULL").select("path", parent.alias("parent"), F.size(parts).alias("depth"), F.lit(True).alias("is_file"), "digest")
+    kept = tree.join(changed.select("path"), "path", "left_anti").join(touched, "path", "left_anti")
+    known = scratch.keep(kept.select("path", "parent", "depth", "is_file", "digest").unionByName(put))
+    deepest = touched.agg(F.max(F.when(F.col("path") == "", 0).otherwise(F.size(parts)))).first()[0]
+    for level in range(deepest if deepest is not None else -1, -1, -1):
+        at = touched.where(F.when(F.col("path") == "", 0).otherwise(F.size(parts)) == level).select(F.col("path").alias("parent"))
+        line = F.concat("path", F.lit(":"), "digest", F.lit("\n"))
+        children = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
+        text = F.array_join(F.transform(children, lambda x: x["line"]), "")
+        made = known.join(at, "parent", "left_semi").groupBy(F.col("parent").alias("path")).agg(F.sha2(text, 256).alias("digest"))
+        made = made.select("path", F.when(F.col("path") != "", parent).alias("parent"), F.lit(level).alias("depth"), F.lit(False).alias("is_file"), "digest")
+        known = known.unionByName(scratch.keep(made))
+    return known

@@ -101,3 +101,45 @@ def control_flow_size(spark, d):
     edges = code.control_flow(files)
     nodes = F.size(F.array_distinct(F.concat(F.collect_set("src"), F.collect_set("dst"))))
     return edges.groupBy("function").agg(nodes.alias("nodes"), F.count("*").alias("edges"))
+
+
+@query("SELECT * FROM (VALUES ('divergent', 6, 6, 6), ('invariant', 4, 4, 4)) AS t(expects, trials, applied, held)")
+def metamorphic_suite(spark, d):
+    from siltstone.operators import verify
+
+    source = "def f(a, b):\n    if a < b:\n        return a + 1\n    return b\n"
+    return verify.summary(verify.suite(spark.createDataFrame([("m.py", source)], "path string, content string")))
+
+
+@query("SELECT path, true AS agrees FROM (VALUES ('auth/jwt.py'), ('app/service.py')) AS t(path)")
+def determinism(spark, d):
+    from siltstone.operators import verify
+
+    return verify.determinism(_repo(spark))
+
+
+_TYPES = {
+    "Optional[str]": "null|string",
+    "str | None": "null|string",
+    "Option<String>": "null|string",
+    "List[int]": "Array<int>",
+    "Vec<i32>": "Array<int>",
+    "[]int": "Array<int>",
+    "Dict[str, List[int]]": "Map<string,Array<int>>",
+    "map[string]int": "Map<string,int>",
+    "Promise<number[]>": "Array<float>",
+    "(a: string, b: number) => void": "(string,float)=>null",
+    "{ b: string; a: number }": "{a:float,b:string}",
+    "Union[int, str, int]": "int|string",
+    "Custom<T>": "Custom<T>",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _TYPES.items()) + ") AS t(source, form)")
+def type_strings(spark, d):
+    import pandas as pd
+
+    from siltstone.sources.types import normal_type
+
+    form = F.pandas_udf(lambda s: pd.Series([normal_type(x) for x in s]), "string")
+    return spark.createDataFrame([(k,) for k in _TYPES], "source string").select("source", form("source").alias("form"))

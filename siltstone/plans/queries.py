@@ -533,3 +533,24 @@ def mutation_suite(spark, d):
     each = table(spark, d, "documents").select("text", trials.alias("x"))
     changed = F.count_if(F.sha2("x.m", 256) != F.sha2("text", 256))
     return each.groupBy("x.kind").agg(F.count("*").alias("trials"), changed.alias("changed"))
+
+
+@query("""SELECT event_type AS symbol, 2 + row_number() OVER (ORDER BY first) - 1 AS id FROM
+(SELECT event_type, min(event_id) AS first FROM events GROUP BY event_type) UNION ALL SELECT * FROM (VALUES ('def', 0), ('class', 1)) AS t(symbol, id)""")
+def intern_symbols(spark, d):
+    from siltstone.operators.intern import intern
+
+    return intern(table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("event_id").alias("position")), ["def", "class"])
+
+
+@query(f"""WITH f AS (SELECT {_PATH_SQL} AS path, sha256(CASE WHEN doc_id % 97 = 3 THEN text || '!' ELSE text END) AS digest, source || '/' || lang AS dir, source AS top
+FROM documents WHERE doc_id % 101 <> 5),
+a AS (SELECT dir, any_value(top) AS top, sha256(string_agg(path || ':' || digest || chr(10), '' ORDER BY path)) AS digest FROM f GROUP BY dir),
+b AS (SELECT top, sha256(string_agg(dir || ':' || digest || chr(10), '' ORDER BY dir)) AS digest FROM a GROUP BY top)
+SELECT path, digest, true AS is_file FROM f UNION ALL SELECT dir, digest, false FROM a UNION ALL SELECT top, digest, false FROM b
+UNION ALL SELECT '', sha256(string_agg(top || ':' || digest || chr(10), '' ORDER BY top)), false FROM b""")
+def merkle_update(spark, d):
+    """The tree after edits, made from the tree before and the changed files only."""
+    old, new = _tree(spark, d, False), _tree(spark, d, True).withColumnRenamed("digest", "now")
+    both = old.join(new, "path", "full_outer").where("NOT digest <=> now")
+    return merkle.update_tree(merkle.merkle_tree(old), both.select("path", F.col("now").alias("digest"))).select("path", "digest", "is_file")
