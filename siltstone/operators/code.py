@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text
 from siltstone.functions.digest import TIERS
 from siltstone.operators import resolve
+from siltstone.session import ship
 from siltstone.sources import python_source as py
 
 
@@ -20,6 +21,7 @@ def _parse_each(files: DataFrame, schema: str, rows: Callable[[str, ast.Module |
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship(files.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

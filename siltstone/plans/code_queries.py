@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.digest import TIERS
 from siltstone.operators import code, diff, graph
 from siltstone.plans.queries import query
+from siltstone.session import ship
 
 _BASE = 'import os\n\n\ndef area(width, height):\n    """Doc."""\n    total = width * height\n    if total > 10:\n        return total\n    return os.path.join("a", str(total))\n'
 #: What is done to the base file, and the tiers that must differ.
@@ -141,5 +142,6 @@ def type_strings(spark, d):
 
     from siltstone.sources.types import normal_type
 
+    ship(spark)
     form = F.pandas_udf(lambda s: pd.Series([normal_type(x) for x in s]), "string")
     return spark.createDataFrame([(k,) for k in _TYPES], "source string").select("source", form("source").alias("form"))

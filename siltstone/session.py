@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def get_spark(app: str = "siltstone", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,7 +29,22 @@ def get_spark(app: str = "siltstone", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="siltstone-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(here.rglob("*.py")):
+            out.write(file, f"{here.name}/{file.relative_to(here)}")
+    context.addPyFile(str(packed))
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
