@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import release, spaced_words
-from siltstone.session import Scratch
+from siltstone.session import Scratch, ship
 
 #: Documents whose crc32(doc_id as text) mod FOLDS is HELD_OUT are not learned from.
 FOLDS, HELD_OUT = 7, 2
@@ -228,6 +228,7 @@ def score(docs: DataFrame, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int
     equal scores. With nothing to learn from, train_tokens is 0 and score 0. Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     scratch = Scratch(spark, "lm")
     parts, shards = train(docs, scratch, shard_bytes)
     size = parts.agg(F.sum(F.length("body") + F.length("extra"))).first()[0] or 0
