@@ -22,7 +22,8 @@ SHINGLE, SIMILAR = 5, 0.8
 #: lines that lie on both sides of one are still signed alike. An anchor is a start of a word after three characters.
 BANDS, ROWS, SHORT_ROWS, LONG_ROWS = 8, 16, 4, 3
 SHORT, LONG, FEW, MANY = 64, 40, 9, 6
-ANCHOR = r"(?s)(?:^|(?<=\S\S\S\s))(?=(\S.{0,11}))"
+#: The pattern's first character is tested alone at most places, so white space leads; HEAD makes the line's start one.
+HEAD, ANCHOR = "xxx ", r"(?s)[ \t\n\x0B\f\r](?<=\S\S\S\s)(?=(\S" + ".?" * 11 + "))"
 
 _NODE_BITS = 58
 
@@ -44,7 +45,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(node, home, occurs, keys): a document that has it, how often each node occurs and its band keys, by aggregates over exploded shingles."""
-    words = F.regexp_extract_all("line", F.lit(ANCHOR), F.lit(1))
+    words = F.regexp_extract_all(F.concat(F.lit(HEAD), "line"), F.lit(ANCHOR), F.lit(1))
     found = lines.select("node", _home().alias("home"), "line", F.length("line").alias("length"), words.alias("words"))
     none = F.array().cast("array<string>")
     all_of = F.when((F.col("length") <= SHORT) | (F.size("words") <= FEW), _grams(F.col("line"))).otherwise(none)
