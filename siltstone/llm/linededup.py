@@ -92,26 +92,23 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Exact similarity of two lines' shingle sets."""
+def similar_pairs(joined: DataFrame, similar: float) -> DataFrame:
+    """(a, b) of the rows (a, b, line_a, line_b) whose lines' shingle sets have at least this exact Jaccard similarity."""
 
-    def share(sets: Column) -> Column:
-        x, y = sets["x"], sets["y"]
-        both = F.size(F.array_intersect(x, y))
-        return F.transform(F.array(both), lambda n: n / (F.size(x) + F.size(y) - n))[0]
-
-    def hashed(line: Column) -> Column:
+    def hashed(line: str) -> Column:
         # Four bytes a character, so that a shingle is cut out in constant time.
         def shingles(wide: Column) -> Column:
             last = F.greatest(F.floor(F.length(wide) / 4).cast("int") - SHINGLE, F.lit(0))
             cut = lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE)))
-            return F.array_distinct(F.transform(F.sequence(F.lit(0), last), cut))
+            return F.transform(F.sequence(F.lit(0), last), cut)
 
         return F.transform(F.array(F.encode(line, "UTF-32")), shingles)[0]
 
-    # Bound as lambda variables, each set is made once a pair; sets of longs are the fast ones.
-    pair = F.array(F.struct(hashed(a).alias("x"), hashed(b).alias("y")))
-    return F.transform(pair, share)[0]
+    # A filter does not move below a generator, so each line is hashed once a pair and the sets are met in compiled code.
+    both = F.inline(F.array(F.struct(hashed("line_a").alias("x"), hashed("line_b").alias("y"))))
+    # Intersection and union count a repeated shingle once.
+    share = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
+    return joined.select("a", "b", both).where(share >= similar).select("a", "b")
 
 
 def verified(
@@ -128,7 +125,7 @@ def verified(
     texts = scratch.keep(found.groupBy("node").agg(one).select("node", "one.*"))
     at_a, at_b = (texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in ("a", "b"))
     joined = pairs.join(at_a, "a").join(at_b, "b")
-    return joined.where(jaccard(F.col("line_a"), F.col("line_b")) >= similar).select("a", "b"), texts
+    return similar_pairs(joined, similar), texts
 
 
 def line_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
