@@ -56,5 +56,22 @@ def queries() -> dict:
     }
 
 
+_WORDS_SQL = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+#: Windows of every width that the benchmark has are met by their words; r tells repeated rows apart.
+_OP2_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least({decontaminate.WINDOW}, len(w)) AS k
+  FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM b, unnest(range(1, len(w) - k + 2)) AS t(i)),
+x AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM d, (SELECT DISTINCT k FROM g), unnest(range(1, len(w) - k + 2)) AS t(i)),
+h AS (SELECT r, i, k, item FROM x JOIN g USING (k, gram)),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM h) GROUP BY r),
+own AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(own.n, 0) AS n_items,
+sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others return what a trained model, a hash or a signature chose, which SQL cannot say."""
+    return {"op2_decontaminate": _OP2_SQL}

@@ -541,3 +541,19 @@ def test_quality_on_held_out_labels(spark):
     assert right > 0.95 * len(out)
     good = [r for r in out if r.quality and not r.base_failed]
     assert sum(r.kept for r in good) > 0.98 * len(good)
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    from siltstone.llm import queries
+
+    for name, sql in queries.oracle_sql().items():
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+        found = con.execute(sql)
+        names = [c[0] for c in found.description]
+        got = queries.queries()[name](spark, SMALL)
+        assert sorted(names) == sorted(got.columns)
+        assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r)) for r in got.select(*names).collect())
