@@ -1,4 +1,7 @@
-"""Source files to tables: bundles, declarations, imports, calls, flow graphs, each in one Arrow pass."""
+"""Source files to tables: bundles, declarations, imports, calls, flow graphs, each in one Arrow pass.
+
+A path's extension names the language, Python where it is unknown; the flow graphs are of Python only.
+"""
 
 from __future__ import annotations
 
@@ -13,10 +16,29 @@ from siltstone.functions import text
 from siltstone.functions.digest import TIERS
 from siltstone.operators import resolve
 from siltstone.session import ship
+from siltstone.sources import braced
 from siltstone.sources import python_source as py
 
+Tree = ast.Module | braced.Source
+
+
+def _parse(path: str, content: bytes) -> Tree:
+    source = content.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+    name = path.replace("\\", "/").rsplit("/", 1)[-1]
+    language = text.EXTENSIONS.get("." + name.rsplit(".", 1)[-1].lower() if "." in name else "", "python")
+    return ast.parse(source) if language == "python" else braced.parse(source, language)
+
+
+def _of(tree: Tree):
+    """The frontend that reads a tree."""
+    return braced if isinstance(tree, braced.Source) else py
+
+
+def _functions(tree: Tree | None):
+    return py.functions(tree) if isinstance(tree, ast.Module) else ()
+
 
-def _parse_each(files: DataFrame, schema: str, rows: Callable[[str, ast.Module | None, bytes, str | None], list[tuple]]) -> DataFrame:
+def _parse_each(files: DataFrame, schema: str, rows: Callable[[str, Tree | None, bytes, str | None], list[tuple]]) -> DataFrame:
     """`files` has path and content (binary or string); a file that does not parse comes with its error."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -30,8 +52,8 @@ def _parse_each(files: DataFrame, schema: str, rows: Callable[[str, ast.Module |
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 content = content or b""
                 try:
-                    tree, error = ast.parse(content.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")), None
-                except (SyntaxError, ValueError, RecursionError) as e:
+                    tree, error = _parse(path or "", content), None
+                except (SyntaxError, ValueError, LookupError, RecursionError) as e:
                     tree, error = None, f"{getattr(e, 'lineno', 0) or 0}: {getattr(e, 'msg', None) or e}"
                 made += rows(path, tree, content, error)
             columns = zip(*made, strict=True) if made else [[] for _ in out]
@@ -44,7 +66,7 @@ def bundles(files: DataFrame) -> DataFrame:
     """One row per file: path, the nine digests, error; a file that does not parse has its source digest only."""
 
     def rows(path, tree, content, error):
-        found = py.tiers(tree, content) if tree is not None else {"source": py.sha256(content).hexdigest()}
+        found = _of(tree).tiers(tree, content) if tree is not None else {"source": py.sha256(content).hexdigest()}
         return [(path, *(found.get(t) for t in TIERS), error)]
 
     return _parse_each(files, "path string, " + ", ".join(f"{t} string" for t in TIERS) + ", error string", rows)
@@ -52,19 +74,19 @@ def bundles(files: DataFrame) -> DataFrame:
 
 def declarations(files: DataFrame) -> DataFrame:
     """(path, kind, owner, name, signature); private ones too."""
-    make = lambda path, tree, *_: [(path, *r) for r in py.declarations(tree)] if tree else []
+    make = lambda path, tree, *_: [(path, *r) for r in _of(tree).declarations(tree)] if tree else []
     return _parse_each(files, "path string, kind string, owner string, name string, signature string", make)
 
 
 def imports(files: DataFrame) -> DataFrame:
     """(path, module, symbol, bound, usage)."""
-    make = lambda path, tree, *_: [(path, *r) for r in py.imports(tree)] if tree else []
+    make = lambda path, tree, *_: [(path, *r) for r in _of(tree).imports(tree)] if tree else []
     return _parse_each(files, "path string, module string, symbol string, bound string, usage string", make)
 
 
 def calls(files: DataFrame) -> DataFrame:
     """(path, caller, callee, is_async, times)."""
-    make = lambda path, tree, *_: [(path, *r) for r in py.calls(tree)] if tree else []
+    make = lambda path, tree, *_: [(path, *r) for r in _of(tree).calls(tree)] if tree else []
     return _parse_each(files, "path string, caller string, callee string, is_async boolean, times long", make)
 
 
@@ -72,7 +94,7 @@ def control_flow(files: DataFrame) -> DataFrame:
     """(path, function, src, dst, condition) of every function's blocks."""
 
     def rows(path, tree, *_):
-        return [(path, n, *e) for n, f in (py.functions(tree) if tree else ()) for e in py.control_flow(f)[1]]
+        return [(path, n, *e) for n, f in _functions(tree) for e in py.control_flow(f)[1]]
 
     return _parse_each(files, "path string, function string, src long, dst long, condition string", rows)
 
@@ -81,7 +103,7 @@ def data_flow(files: DataFrame) -> DataFrame:
     """(path, function, variable, definition, use)."""
 
     def rows(path, tree, *_):
-        return [(path, n, *e) for n, f in (py.functions(tree) if tree else ()) for e in py.data_flow(f)]
+        return [(path, n, *e) for n, f in _functions(tree) for e in py.data_flow(f)]
 
     return _parse_each(files, "path string, function string, variable string, definition long, use long", rows)
 

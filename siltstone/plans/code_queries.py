@@ -145,3 +145,89 @@ def type_strings(spark, d):
     ship(spark)
     form = F.pandas_udf(lambda s: pd.Series([normal_type(x) for x in s]), "string")
     return spark.createDataFrame([(k,) for k in _TYPES], "source string").select("source", form("source").alias("form"))
+
+
+_BRACED = {
+    "web/load.ts": """import fs, {readFile as rf, type Stats} from 'fs';
+import * as path from "path"; // where files are
+export async function load(name: string, n = 1): Promise<string> { const t = await rf(name); return path.join(t, `x${n}`); }
+interface Shape { area(): number; name: string }
+export class Square extends Base implements Shape { area(): number { return this.s * helper(this.s) / 2; } }
+type Id = string | number;
+""",
+    "srv/main.go": """package main
+import ( "fmt"
+ str "strings" )
+type Shape interface { Area() float64 }
+type Square struct { s float64 }
+func (q *Square) Area() float64 { r := q.s * 2
+ fmt.Println(str.ToUpper("a")); go run(r); return r }
+func Map[T any](xs []T, f func(T) T) []T { for _, x := range xs { f(x) }
+ return xs }
+""",
+    "core/lib.rs": """use std::{io, collections::{HashMap as M, self}};
+struct P { x: i32 }
+pub trait Shape { fn area(&self) -> f64; }
+impl Shape for P { fn area(&self) -> f64 { let mut a = self.x; println!("{}", a); helper(a) as f64 } }
+type T = Vec<i32>;
+""",
+    "web/broken.js": "function f( {",
+}
+
+
+def _braced(spark):
+    return spark.createDataFrame(list(_BRACED.items()), "path string, content string")
+
+
+@query("""SELECT * FROM (VALUES ('web/load.ts', 'function', '', 'load'), ('web/load.ts', 'interface', '', 'Shape'), ('web/load.ts', 'method', 'Shape', 'area'),
+('web/load.ts', 'class', '', 'Square'), ('web/load.ts', 'method', 'Square', 'area'), ('web/load.ts', 'type', '', 'Id'),
+('srv/main.go', 'interface', '', 'Shape'), ('srv/main.go', 'method', 'Shape', 'Area'), ('srv/main.go', 'struct', '', 'Square'),
+('srv/main.go', 'method', 'Square', 'Area'), ('srv/main.go', 'function', '', 'Map'), ('core/lib.rs', 'struct', '', 'P'),
+('core/lib.rs', 'trait', '', 'Shape'), ('core/lib.rs', 'method', 'Shape', 'area'), ('core/lib.rs', 'impl', '', 'P'),
+('core/lib.rs', 'method', 'P', 'area'), ('core/lib.rs', 'type', '', 'T')) AS t(path, kind, owner, name)""")
+def braced_declarations(spark, d):
+    return code.declarations(_braced(spark)).select("path", "kind", "owner", "name")
+
+
+@query("""SELECT * FROM (VALUES ('web/load.ts', 'fs', 'default', 'fs', 'unused'), ('web/load.ts', 'fs', 'readFile', 'rf', 'call'),
+('web/load.ts', 'fs', 'Stats', 'Stats', 'unused'), ('web/load.ts', 'path', '*', 'path', 'call'), ('srv/main.go', 'fmt', '', 'fmt', 'call'),
+('srv/main.go', 'strings', '', 'str', 'call'), ('core/lib.rs', 'std', 'io', 'io', 'unused'), ('core/lib.rs', 'std::collections', 'HashMap', 'M', 'unused'),
+('core/lib.rs', 'std', 'collections', 'collections', 'unused')) AS t(path, module, symbol, bound, usage)""")
+def braced_imports(spark, d):
+    return code.imports(_braced(spark))
+
+
+@query("""SELECT * FROM (VALUES ('web/load.ts', 'Square.area', 'helper', false, 1), ('web/load.ts', 'load', 'path.join', false, 1), ('web/load.ts', 'load', 'rf', true, 1),
+('srv/main.go', 'Map', 'f', false, 1), ('srv/main.go', 'Square.Area', 'fmt.Println', false, 1), ('srv/main.go', 'Square.Area', 'run', true, 1),
+('srv/main.go', 'Square.Area', 'str.ToUpper', false, 1), ('core/lib.rs', 'P.area', 'helper', false, 1), ('core/lib.rs', 'P.area', 'println!', false, 1)) AS t(path, caller, callee, is_async, times)""")
+def braced_calls(spark, d):
+    return code.calls(_braced(spark))
+
+
+_JS = "import a from 'm';\nfunction f(x) { let y = x + 1; if (y > 2) { return a(y); } return y; }\n"
+#: What is done to the file above, and the tiers that must differ.
+_JS_PAIRS = {
+    "comments": (_JS.replace("let y", "/* why */ let y"), ""),
+    "layout": (_JS.replace("; ", ";\n  "), ""),
+    "quotes": (_JS.replace("'m'", '"m"'), ""),
+    "locals": (_JS.replace("y", "z"), ""),
+    "literal": (_JS.replace("x + 1", "x + 3"), "structural composite"),
+    "callee": (_JS.replace("return a(y)", "return b(y)"), "structural dependency call_graph composite"),
+    "branch_removed": (_JS.replace("if (y > 2) { return a(y); } ", ""), "structural dependency call_graph control_flow data_flow composite"),
+    "parameter_added": (_JS.replace("f(x)", "f(x, w)"), "structural declaration data_flow composite"),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('%s', '%s')" % (k, " ".join(sorted(v.split()))) for k, (_, v) in _JS_PAIRS.items()) + ") AS t(fixture, changed)")
+def braced_verdicts(spark, d):
+    rows = [(f"{name}.js", side) for name, (after, _) in _JS_PAIRS.items() for side in (_JS, after)]
+    files = spark.createDataFrame(rows, "path string, content string")
+    found = code.bundles(files).groupBy("path")
+    differs = found.agg(*(F.when(F.min(t) != F.max(t), t).alias(t) for t in TIERS[1:]))
+    changed = F.array_join(F.array_sort(F.array_compact(F.array(*TIERS[1:]))), " ")
+    return differs.select(F.regexp_replace("path", r"\.js$", "").alias("fixture"), changed.alias("changed"))
+
+
+@query("SELECT 'web/broken.js' AS path, true AS has_error")
+def braced_errors(spark, d):
+    return code.bundles(_braced(spark)).where("error IS NOT NULL").select("path", F.col("error").isNotNull().alias("has_error"))
