@@ -156,7 +156,7 @@ class Source:
                 if token == "type" and not inside and i + 1 < end and self.kinds[i + 1] == "name":
                     behind = self._angles(i + 2) if self.language != "go" or self.at(i + 3) not in ("]",) and self.at(i + 2) == "[" and self.at(i + 4) else i + 2
                     shape = self.at(behind)
-                    if self.language == "go" and shape in ("struct", "interface"):
+                    if self.language == "go" and shape in ("struct", "interface") and self.at(behind + 1) == "{":
                         last = self.pairs[behind + 1] + 1
                         self.found.append((shape, owner, following, i + 2, behind, behind + 1, last))
                         if shape == "interface":

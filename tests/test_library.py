@@ -162,3 +162,26 @@ def test_sarif(spark):
     findings = spark.createDataFrame([("a.py", "interface-break", 'say "x"'), ("b.py", "structural-mutation", "y")], "path string, rule string, message string")
     made = json.loads(export.sarif_document(findings).first().sarif)
     assert made["version"] == "2.1.0" and [r["level"] for r in made["runs"][0]["results"]] == ["error", "note"]
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript", "go", "rust"])
+def test_braced_source_of_any_tokens_has_tiers_or_an_error(language):
+    import random
+
+    from siltstone.sources import braced
+
+    parts = "function func fn class interface struct trait impl mod type import use const let pub async if for return a b self mut ( ) [ ] { } () {} [] < > , ; : :: . => -> = / \" ' 'x' 1 \n // é".split(" ")
+    rng = random.Random(language)
+    for _ in range(1500):
+        source = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        try:
+            assert len(braced.tiers(braced.parse(source, language), source.encode())) == 9
+        except ValueError:
+            pass
+
+
+def test_braced_files_of_nothing():
+    from siltstone.sources import braced
+
+    empty = braced.parse("", "go")
+    assert braced.declarations(empty) == braced.imports(empty) == braced.calls(empty) == []
