@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text
 from siltstone.functions.digest import TIERS
-from siltstone.operators import resolve
+from siltstone.operators import graph, resolve
 from siltstone.session import ship
 from siltstone.sources import braced
 from siltstone.sources import python_source as py
@@ -108,6 +108,42 @@ def data_flow(files: DataFrame) -> DataFrame:
     return _parse_each(files, "path string, function string, variable string, definition long, use long", rows)
 
 
+def scopes(files: DataFrame) -> DataFrame:
+    """(path, scope, parent, kind, name, seen, bindings) of every scope of Python files, as a tree of rows."""
+
+    def rows(path, tree, content, _):
+        return [(path, *s) for s in (py.scopes(content.decode("utf-8", "replace")) if isinstance(tree, ast.Module) else ())]
+
+    schema = "path string, scope long, parent long, kind string, name string, seen array<long>, bindings array<struct<name: string, kind: string>>"
+    return _parse_each(files, schema, rows)
+
+
+def find_bindings(asked: DataFrame, scoped: DataFrame) -> DataFrame:
+    """(path, scope, name, found, kind) of `asked` (path, scope, name): the nearest scope that binds the name, else null."""
+    asked = asked.select("path", "scope", "name").distinct()
+    seen = asked.join(scoped.select("path", "scope", "seen"), ["path", "scope"]).select("path", "scope", "name", F.posexplode("seen").alias("far", "found"))
+    bound = scoped.select("path", F.col("scope").alias("found"), F.inline("bindings")).select("path", "found", "name", "kind")
+    near = seen.join(bound, ["path", "found", "name"]).groupBy("path", "scope", "name").agg(F.min_by(F.struct("found", "kind"), "far").alias("one"))
+    return asked.join(near, ["path", "scope", "name"], "left").select("path", "scope", "name", "one.found", "one.kind")
+
+
+def symbol_slice(edges: DataFrame, name: str) -> DataFrame:
+    """(node, side) of what a symbol calls and is called by, over any number of steps.
+
+    The symbol is the one of that name or with that name after its module, else the first that contains it; side is
+    self, callers or callees. No symbol, no rows.
+    """
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    exact = (F.col("node") == name) | (F.substring_index("node", ":", -1) == name)
+    fit = F.when(exact, 0).when(F.contains("node", F.lit(name)), 1)
+    seed = nodes.where(fit.isNotNull()).orderBy(fit, "node").limit(1)
+    sides = seed.select("node", F.lit("self").alias("side"))
+    for side, backward in (("callers", True), ("callees", False)):
+        reached = graph.reachable(edges, seed, backward=backward).select("node")
+        sides = sides.unionByName(reached.join(seed, "node", "left_anti").select("node", F.lit(side).alias("side")))
+    return sides
+
+
 def call_graph(files: DataFrame) -> DataFrame:
     """(src, dst, calls, is_cross): calls between functions of all files, symbols as module:name.
 

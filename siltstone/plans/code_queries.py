@@ -231,3 +231,29 @@ def braced_verdicts(spark, d):
 @query("SELECT 'web/broken.js' AS path, true AS has_error")
 def braced_errors(spark, d):
     return code.bundles(_braced(spark)).where("error IS NOT NULL").select("path", F.col("error").isNotNull().alias("has_error"))
+
+
+_SCOPED = "import os\nk = 1\n\n\ndef f(a):\n    b = a\n    def g():\n        return b + k\n    return g\n\n\nclass C:\n    k = 2\n    def m(self):\n        return k\n"
+
+
+def _scopes(spark):
+    return code.scopes(spark.createDataFrame([("m.py", _SCOPED)], "path string, content string"))
+
+
+@query("""SELECT * FROM (VALUES (0, NULL, 'module', 'top', 'C:definition f:definition k:variable os:import'), (1, 0, 'function', 'f', 'a:parameter b:variable g:definition'),
+(2, 1, 'function', 'g', ''), (3, 0, 'class', 'C', 'k:variable m:definition'), (4, 3, 'function', 'm', 'self:parameter')) AS t(scope, parent, kind, name, bound)""")
+def scope_tree(spark, d):
+    bound = F.array_join(F.transform("bindings", lambda b: F.concat(b["name"], F.lit(":"), b["kind"])), " ")
+    return _scopes(spark).select("scope", "parent", "kind", "name", bound.alias("bound"))
+
+
+@query("SELECT * FROM (VALUES (2, 'b', 1, 'variable'), (2, 'k', 0, 'variable'), (4, 'k', 0, 'variable'), (3, 'k', 3, 'variable'), (4, 'missing', NULL, NULL)) AS t(scope, name, found, kind)")
+def scope_lookup(spark, d):
+    asked = spark.createDataFrame([("m.py", s, n) for s, n in ((2, "b"), (2, "k"), (4, "k"), (3, "k"), (4, "missing"))], "path string, scope long, name string")
+    return code.find_bindings(asked, _scopes(spark)).drop("path")
+
+
+@query("""SELECT * FROM (VALUES ('auth.jwt:verify_token', 'self'), ('app.service:handle', 'callers'), ('app.service:inner', 'callers'),
+('app.service:outer', 'callers'), ('auth.jwt:decode', 'callees')) AS t(node, side)""")
+def symbol_slice(spark, d):
+    return code.symbol_slice(code.call_graph(_repo(spark)), "verify_token")

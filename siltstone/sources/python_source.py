@@ -9,6 +9,7 @@ declarations are ordered by name, and operands of commutative operators by their
 from __future__ import annotations
 
 import ast
+import symtable
 from collections import Counter
 from hashlib import sha256
 
@@ -424,3 +425,25 @@ def tiers(tree: ast.Module, content: bytes) -> dict[str, str]:
     found |= {k: _digest(v) for k, v in facts.items()}
     found["composite"] = sha256(":".join(f'"{found[t]}"' for t in TIERS[1:8]).encode()).hexdigest()
     return found
+
+
+def scopes(source: str) -> list[tuple]:
+    """(scope, parent, kind, name, seen, bindings) in the order of the text; the module is scope 0 and has no parent.
+
+    seen are the scopes in which a name of this one is looked up, nearest first; classes around it are passed over.
+    bindings are (name, kind), kind being parameter, import, definition or variable, of what is bound in the scope.
+    """
+    out: list[tuple] = []
+
+    def kind_of(s: symtable.Symbol) -> str:
+        return "parameter" if s.is_parameter() else "import" if s.is_imported() else "definition" if s.is_namespace() else "variable"
+
+    def visit(table: symtable.SymbolTable, parent: int | None, outer: list[int]):
+        at, kind = len(out), str(table.get_type())
+        bound = sorted((s.get_name(), kind_of(s)) for s in table.get_symbols() if s.is_local() and (s.is_assigned() or s.is_parameter() or s.is_imported() or s.is_namespace()))
+        out.append((at, parent, kind, table.get_name(), [at, *outer], bound))
+        for child in table.get_children():
+            visit(child, at, outer if kind == "class" else [at, *outer])
+
+    visit(symtable.symtable(source, "file", "exec"), None, [])
+    return out
