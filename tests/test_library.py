@@ -185,3 +185,31 @@ def test_braced_files_of_nothing():
 
     empty = braced.parse("", "go")
     assert braced.declarations(empty) == braced.imports(empty) == braced.calls(empty) == []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from siltstone.__main__ import main
+
+    one, two, bad = tmp_path / "one.js", tmp_path / "two.js", tmp_path / "bad.js"
+    one.write_text("function f(a) { return g(a); }\nfunction g(b) { return b; }\n")
+    two.write_text("// moved\nfunction f(a) { return g(a); }\nfunction g(b) { return b + 1; }\n")
+    bad.write_text("function (")
+    assert main(["fp", str(one)], spark) == 0
+    assert set(json.loads(capsys.readouterr().out)) >= {"path", "source", "structural", "composite"}
+    assert main(["fp", str(bad)], spark) == 3
+    assert main(["compare", str(one), str(bad)], spark) == 3
+    assert main(["compare", str(one), str(one)], spark) == 0
+    capsys.readouterr()
+    assert main(["compare", str(one), str(two)], spark) == 1
+    told = json.loads(capsys.readouterr().out)
+    assert (told["structural"], told["declaration"]) == ("different", "identical")
+    assert main(["repository", str(tmp_path)], spark) == 0
+    assert json.loads(capsys.readouterr().out)["files"] == 3
+    assert main(["graph", str(tmp_path)], spark) == 0
+    assert [json.loads(x)["calls"] for x in capsys.readouterr().out.splitlines()] == [1, 1]
+    assert main(["graph", str(tmp_path), "--dot"], spark) == 0
+    assert "->" in capsys.readouterr().out
+    assert main(["slice", str(tmp_path), "g"], spark) == 0
+    assert {json.loads(x)["side"] for x in capsys.readouterr().out.splitlines()} == {"self", "callers"}
+    assert main(["slice", str(tmp_path), "nowhere"], spark) == 1
+    assert main(["fp", str(tmp_path / "none.py")], spark) == 4
