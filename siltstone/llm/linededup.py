@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Equal lines share a node. Nodes get MinHash signatures over character shingles, banded for high recall; in a band's
-bucket every node meets two representatives, the smallest and the most frequent, so a bucket gives at most two pairs
-a node. Pairs are verified by the exact Jaccard similarity of their character 5-gram sets, links are joined by
-distributed union-find, and of each component the first line stays.
+bucket every node first meets two representatives, the smallest and the most frequent. Pairs are verified by the exact Jaccard similarity of their character 5-gram sets, links are joined by
+distributed union-find, and of each component the first line stays. Members of a bucket that stand in different
+components after that meet each other as well, in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ SHORT, LONG, FEW, MANY = 64, 40, 9, 6
 #: The pattern's first character is tested alone at most places, so white space leads; HEAD makes the line's start one.
 HEAD, ANCHOR = "xxx ", r"(?s)[ \t\n\x0B\f\r](?<=\S\S\S\s)(?=(\S" + ".?" * 11 + "))"
 
+#: Nodes in a chunk of a large bucket.
+CHUNK = 256
 _NODE_BITS = 58
 
 
@@ -79,19 +81,45 @@ def _grams(line: Column) -> Column:
     )
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that meet in a bucket with one of its representatives."""
+def bucket_members(signed: DataFrame) -> DataFrame:
+    """(key, node, least, top, n) of the buckets that several nodes share, with the bucket's representatives and size."""
     banded = signed.select("node", "occurs", F.explode("keys").alias("key"))
     # How often a line occurs, in powers of two, above the node's bits: the largest is the most frequent node.
     weight = F.least(F.floor(F.log2(F.col("occurs"))), F.lit(30)).cast("long")
     banded = banded.withColumn("packed", F.shiftleft(weight, _NODE_BITS).bitwiseOR(F.col("node")))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.max("packed").alias("top"))
-    buckets = buckets.where("least < most").select("key", "least", F.col("top").bitwiseAND(F.lit((1 << _NODE_BITS) - 1)).alias("top"))
-    met = banded.select("key", "node").join(buckets, "key")
-    pairs = met.select("node", F.explode(F.array("least", "top")).alias("other")).where("node <> other")
+    buckets = banded.groupBy("key").agg(
+        F.min("node").alias("least"), F.max("node").alias("most"), F.max("packed").alias("top"), F.count("*").alias("n")
+    )
+    top = F.col("top").bitwiseAND(F.lit((1 << _NODE_BITS) - 1)).alias("top")
+    return banded.select("key", "node").join(buckets.where("least < most").select("key", "least", top, "n"), "key")
+
+
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes that meet in a bucket with one of its representatives."""
+    pairs = members.select("node", F.explode(F.array("least", "top")).alias("other")).where("node <> other")
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def other_pairs(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that share a bucket, stand in two components and have not met as candidates there.
+
+    A bucket is cut into chunks of about CHUNK nodes, and a tile is a pair of chunks, so no task gets a whole large bucket.
+    """
+    named = members.where("n > 2").join(component, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    split = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    held = named.join(split, "key").where("node <> least AND node <> top").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    tiles = (
+        held.withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "class")
+    )
+    x, y = (tiles.select("key", "i", "j", *(F.col(c).alias(f"{c}_{n}") for c in ("mine", "node", "class"))) for n in ("a", "b"))
+    # The nodes of a chunk meet in the chunk's own tile; in another tile they meet the other chunk's.
+    met = x.join(y, ["key", "i", "j"]).where("class_a <> class_b AND mine_a = i AND mine_b = j AND (i < j OR node_a < node_b)")
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def similar_pairs(joined: DataFrame, similar: float) -> DataFrame:
     """(a, b) of the rows (a, b, line_a, line_b) whose lines' shingle sets have at least this exact Jaccard similarity."""
 
@@ -111,10 +139,8 @@ def similar_pairs(joined: DataFrame, similar: float) -> DataFrame:
     return joined.select("a", "b", both).where(share >= similar).select("a", "b")
 
 
-def verified(
-    pairs: DataFrame, signed: DataFrame, lines: DataFrame, scratch: Scratch, similar: float = SIMILAR
-) -> tuple[DataFrame, DataFrame]:
-    """The pairs that are similar enough, and (node, proof, line) of the lines they are of.
+def texts_of(pairs: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(node, proof, line) of the lines that the pairs are of.
 
     Each line is fetched from one document that has it, so a line that is everywhere is no skewed key.
     """
@@ -122,10 +148,29 @@ def verified(
     homes = signed.select("node", "home").join(wanted, "node", "left_semi").distinct()
     found = lines.select("node", _home().alias("home"), "proof", "line").join(homes, ["node", "home"], "left_semi")
     one = F.min(F.struct("proof", "line")).alias("one")
-    texts = scratch.keep(found.groupBy("node").agg(one).select("node", "one.*"))
+    return found.groupBy("node").agg(one).select("node", "one.*")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs that are similar enough."""
     at_a, at_b = (texts.select(F.col("node").alias(n), F.col("line").alias(f"line_{n}")) for n in ("a", "b"))
-    joined = pairs.join(at_a, "a").join(at_b, "b")
-    return similar_pairs(joined, similar), texts
+    return similar_pairs(pairs.join(at_a, "a").join(at_b, "b"), similar)
+
+
+def linked(signed: DataFrame, lines: DataFrame, scratch: Scratch, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of all nodes that are linked, and (node, proof, line) of all that share a bucket.
+
+    Members of a bucket that their links to representatives have joined need not meet; all others do.
+    """
+    members = scratch.keep(bucket_members(signed))
+    pairs = scratch.keep(candidate_pairs(members))
+    texts = scratch.keep(texts_of(pairs, signed, lines))
+    links = scratch.keep(verified(pairs, texts, similar))
+    component = connected_components(links, scratch)
+    rest = scratch.keep(verified(other_pairs(members, component), texts, similar))
+    if not rest.isEmpty():
+        component = connected_components(links.unionByName(rest), scratch)
+    return component, texts
 
 
 def line_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -141,9 +186,7 @@ def line_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     lines = lines_of(docs)
     signed = scratch.keep(signatures(lines))
-    pairs = scratch.keep(candidate_pairs(signed))
-    links, texts = verified(pairs, signed, lines, scratch, similar)
-    component = connected_components(links, scratch)
+    component, texts = linked(signed, lines, scratch, similar)
     # Only the line that was verified is in the component, not another one that shares its node.
     component = component.join(texts.select("node", "proof"), "node")
     places = lines.select("doc_id", "version", "line_no", "node", "proof")

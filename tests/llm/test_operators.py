@@ -351,6 +351,28 @@ def test_line_classes(spark, docs):
         assert kept == (k == (d, n)) and (d, n) <= k
 
 
+def test_lines_of_one_template_meet_each_other(spark):
+    import random
+
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    shared, rows = [word() for _ in range(15)], []
+    for i in range(300):
+        line = shared + [word() for _ in range(5)]
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join([*line[:-1], word()]))]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_doc_id for r in linededup.line_classes(made).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(300)) >= 297
+
+
+def test_every_pair_of_a_bucket_meets(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "CHUNK", 4)
+    members = spark.createDataFrame([(1, n, 0, 39, 40) for n in range(40)], "key long, node long, least long, top long, n long")
+    component = spark.createDataFrame([(5, 3), (3, 3)], "node long, component long")
+    pairs = [(r.a, r.b) for r in linededup.other_pairs(members, component).collect()]
+    assert sorted(pairs) == sorted(set(combinations(range(1, 39), 2)) - {(3, 5)})
+
+
 def test_lines_on_awkward_rows(awkward, docs):
     out = linededup.dedup_lines(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
