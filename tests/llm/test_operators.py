@@ -351,6 +351,26 @@ def test_line_classes(spark, docs):
         assert kept == (k == (d, n)) and (d, n) <= k
 
 
+def test_long_lines_near_the_threshold_share_a_band(spark):
+    import random
+
+    draw, rows = random.Random(7), []
+    while len(rows) < 2000:
+        words = ("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 9))) for _ in range(20))
+        line = " ".join(words)
+        near, places = line, iter(draw.sample(range(len(line)), len(line)))
+        while len(grams(line) & grams(near)) > 0.84 * len(grams(line) | grams(near)):
+            at = next(places)
+            near = near[:at] + "#" + near[at + 1 :]
+        if len(grams(line) & grams(near)) >= 0.8 * len(grams(line) | grams(near)):
+            rows += [(len(rows), line), (len(rows) + 1, near)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r.node: set(r.keys) for r in linededup.signatures(linededup.lines_of(made)).collect()}
+    node = {r.doc_id: r.node for r in linededup.lines_of(made).collect()}
+    met = sum(not keys[node[i]].isdisjoint(keys[node[i + 1]]) for i in range(0, 2000, 2))
+    assert met >= 980
+
+
 def test_lines_of_one_template_meet_each_other(spark):
     import random
 
