@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Candidates beyond the base patterns are hashed and counted over the distinct owners and repositories that hold them.
-What many owners hold is a copied example; what one or few hold looks live and is reported.
+Base hits and candidates beyond them are hashed and counted over the distinct owners and repositories that hold them.
+What many owners hold is a copied example; what one or few hold looks live. Of candidates only live ones are reported;
+base hits are always reported, and counted as live or example all the same.
 """
 
 from __future__ import annotations
@@ -49,6 +50,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+def base_value(text: str, kind: str, start: int, end: int) -> str:
+    """What a base hit is counted by: of an assignment the value alone."""
+    return _ASSIGN.match(text, start, end)[2] if kind == "assign" else text[start:end]
+
+
 def _bits(s: str) -> float:
     return -sum(p * log2(p) for p in (s.count(c) / len(s) for c in set(s)))
 
@@ -93,7 +99,9 @@ def candidate_rows(docs: DataFrame, owner: Column, repository: Column) -> DataFr
                 told = joined(base)
                 out["base_sha256"].append(sha256(told.encode()).hexdigest())
                 out["base"].append([f"{k}:{s}:{e}" for k, s, e in base])
-                out["more"].append([{"kind": k, "start": s, "end": e, "hash": sha256(text[s:e].encode("utf-8", "replace")).hexdigest()} for k, s, e in candidates(text, base)])
+                held = [(k, s, e, base_value(text, k, s, e)) for k, s, e in base]
+                held += [(k, s, e, text[s:e]) for k, s, e in candidates(text, base)]
+                out["more"].append([{"kind": k, "start": s, "end": e, "hash": sha256(v.encode("utf-8", "replace")).hexdigest()} for k, s, e, v in held])
             return out | {k: cols[k] for k in ("doc_id", "owner", "repository")}
 
         return each
@@ -103,7 +111,7 @@ def candidate_rows(docs: DataFrame, owner: Column, repository: Column) -> DataFr
 
 
 def ownership(rows: DataFrame) -> DataFrame:
-    """(hash, owners, repositories): how many distinct ones hold each candidate; null counts as one."""
+    """(hash, owners, repositories): how many distinct ones hold each value; null counts as one."""
     held = rows.select(F.explode("more.hash").alias("hash"), "owner", "repository").distinct()
     # Two steps, so that a value held everywhere is counted from partial sums.
     by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
@@ -120,7 +128,7 @@ def report(
     """One row per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     By default a document's source is its owner, and source and language together its repository. spans has the base
-    spans and the candidates that few hold. A null or empty text has none. Repeated rows give equal rows, as rows that
+    spans and the candidates that few hold; n_live and n_example count base hits and candidates by how many hold them. A null or empty text has none. Repeated rows give equal rows, as rows that
     agree in everything stand together while candidates are looked up. Other columns are ignored.
     """
     owner = F.col("source") if owner is None else owner
@@ -135,7 +143,8 @@ def report(
     looked = each.join(common.select(F.col("hash").alias("known")), F.col("one.hash") == F.col("known"), "left")
     told = F.when(F.col("known").isNull(), F.concat_ws(":", "one.kind", "one.start", "one.end"))
     live = looked.groupBy("doc_id", *counts, "base_sha256", "base", "more", "copies").agg(F.collect_list(told).alias("live"))
-    spans = _spans(F.concat("base", "live"))
+    # Base spans are there whoever holds them.
+    spans = _spans(F.array_union("base", "live"))
     n_live = F.size("live").cast("long")
     out = live.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     out = out.select("doc_id", *counts, "base_sha256", spans, n_live.alias("n_live"), (F.size("more") - n_live).alias("n_example"))
