@@ -21,6 +21,8 @@ from siltstone.llm.common import map_rows
 TRAIN_PAGES = 2000
 #: Weights are kept within these bounds, so that words stay positive in running text and tags stay negative.
 MOST, LEAST = 3.0, 0.05
+#: What a word gains inside a marked article: a list or a title in it stays, a menu of links at its end does not.
+MARK = 1.0
 
 #: Elements by what HTML makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -223,12 +225,12 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
             flush()
             tags += weights.get(f"<{value}>", other)
     flush()
-    # A page that marks its article is read inside it only.
+    # On a page that marks its article the mark weighs in: words outside count against a region, words inside for it.
     best = total = 0.0
     start, region = 0, (0, 0)
     for i, (text, score, in_article) in enumerate(blocks):
-        if marked and not in_article:
-            score = -MOST * max(1, len(text.split()))
+        if marked:
+            score = score + MARK * len(text.split()) if in_article else -MOST * max(1, len(text.split()))
         total += scores[i]
         if total <= 0:
             total, start = 0.0, i
@@ -237,11 +239,8 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
             total, start = 0.0, i + 1
         elif total > best:
             best, region = total, (start, i + 1)
-    if marked:
-        chosen = [t for t, _, a in blocks if a]
-    else:
-        chosen = [t for t, _, _ in blocks[slice(*region)]]
-    return "\n".join(t for t in chosen if t)
+    # A region may reach over what stands between two marked articles.
+    return "\n".join(t for t, _, a in blocks[slice(*region)] if t and (a or not marked))
 
 
 def main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

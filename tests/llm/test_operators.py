@@ -317,6 +317,15 @@ def test_main_text_of_unmarked_page(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
+def test_region_of_a_marked_page():
+    menu = "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(30))
+    text = "".join(f"<p>Sentence {i} of the article says something with enough words to count.</p>" for i in range(6))
+    page = f"<html><body><main><div><ul>{menu}</ul></div><h1>The title</h1>{text}<ul><li>One plain item</li></ul></main><p>Outside</p></body></html>"
+    weights = html.default_weights() | {"link": -html.MOST, "list": 0.0}
+    got = html.extract(page, weights).split("\n")
+    assert got[0] == "The title" and got[-1] == "One plain item" and len(got) == 8
+
+
 # lines -------------------------------------------------------------------------------------------------------------
 
 
