@@ -23,6 +23,8 @@ TRAIN_PAGES = 2000
 MOST, LEAST = 3.0, 0.05
 #: What a word gains inside a marked article: a list or a title in it stays, a menu of links at its end does not.
 MARK = 1.0
+#: What a word scores where it may not be the article: little, so that a short block of them ends a region.
+DOUBT = 0.1
 
 #: Elements by what HTML makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,10 +35,13 @@ BOILER = frozenset(("nav", "aside", "footer", "form", "dialog", "menu"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that announce what is not the article.
 NOT_ARTICLE = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent"
-    " disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted"
-    " recommended related replies reply share sharing shop sidebar signup skip social sponsor sponsored subscribe teaser"
-    " toolbar widget header login search complementary contentinfo alert".split()
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent"
+    " disqus footer gdpr masthead menu nav navbar navigation newsletter notice pagination popup promo"
+    " replies sidebar signup sponsor sponsored subscribe teaser complementary contentinfo".split()
+)
+#: Words that are as well names of a layout's parts; text there scores lower, but is not left out for them.
+DOUBTFUL = frozenset(
+    "alert banner header login modal promoted recommended related reply search share sharing shop skip social toolbar widget".split()
 )
 
 _TOKEN = re.compile(
@@ -45,28 +50,34 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 
 
-def _announced(rest: str) -> bool:
-    """Whether an element's attributes say that it is not the article."""
-    for m in _NAMES.finditer(rest):
-        value = _CAMEL.sub("-", m[1] or m[2] or m[3] or "")
-        if not NOT_ARTICLE.isdisjoint(_SPLIT.split(value.lower())):
-            return True
-    return bool(_HIDDEN.search(rest))
+def _announced(rest: str) -> tuple[bool, bool]:
+    """Whether an element's attributes say that it is not the article or is hidden, and whether they may mean that."""
+    doubtful = False
+    for m in _ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            words = _SPLIT.split(_CAMEL.sub("-", value).lower())
+            if not NOT_ARTICLE.isdisjoint(words):
+                return True, False
+            doubtful = doubtful or not DOUBTFUL.isdisjoint(words)
+        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _UNSEEN.search(value)):
+            return True, False
+    return False, doubtful
 
 
 def events(html: str):
     """("tag", name, is_close) and ("text", string, where) in page order; where is (kind, in_article).
 
-    kind is boiler, link, list, heading or plain. Comments, scripts and the like give nothing.
+    kind is boiler, link, doubtful, list, heading or plain. Comments, scripts and the like give nothing.
     """
-    stack: list[tuple[str, bool, bool]] = []  # name, not the article, article
-    boiler = article = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, not the article, article, doubtful
+    boiler = article = doubtful = 0
     link = False
     heading = lists = 0
     at, n = 0, len(html)
@@ -75,7 +86,7 @@ def events(html: str):
         at = m.end()
         text = m["text"] if m["cdata"] is None else m["cdata"]
         if text is not None:
-            kind = "boiler" if boiler else "link" if link else "heading" if heading else "list" if lists else "plain"
+            kind = "boiler" if boiler else "link" if link else "doubtful" if doubtful else "heading" if heading else "list" if lists else "plain"
             yield "text", text, (kind, article > 0)
             continue
         if m["tag"] is None:
@@ -98,9 +109,10 @@ def events(html: str):
         if m["close"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    for _, was_boiler, was_article in stack[i:]:
+                    for _, was_boiler, was_article, was_doubtful in stack[i:]:
                         boiler -= was_boiler
                         article -= was_article
+                        doubtful -= was_doubtful
                     del stack[i:]
                     break
                 if stack[i][0] in ARTICLE and tag not in ARTICLE and tag not in ("body", "html"):
@@ -108,12 +120,14 @@ def events(html: str):
             heading = 0 if tag in HEADINGS else heading
             lists = max(0, lists - (tag in ("ul", "ol", "dl", "table")))
         elif tag not in VOID and not rest.endswith("/"):
-            bad = tag in BOILER or (tag == "header" and not article) or (tag not in ("html", "body") and tag not in ARTICLE and _announced(rest))
+            says, may = (False, False) if tag in ("html", "body") or tag in ARTICLE else _announced(rest)
+            bad = tag in BOILER or (tag == "header" and not article) or says
             good = tag in ARTICLE and not bad
             if tag not in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or bad:
-                stack.append((tag, bad, good))
+                stack.append((tag, bad, good, may))
                 boiler += bad
                 article += good
+                doubtful += may
             heading = 1 if tag in HEADINGS else 0 if tag == "p" else heading
             lists += tag in ("ul", "ol", "dl", "table")
         yield "tag", tag, bool(m["close"])
@@ -122,7 +136,7 @@ def events(html: str):
 def default_weights() -> dict[str, float]:
     """Weights where no page marks its article."""
     # What is known not to be the article is left out of the text anyway, so it need not cut a region in two.
-    return {"boiler": -LEAST, "link": -1.0, "list": 0.2, "heading": 0.5, "plain": 1.0, "<other>": -0.5, "<inline>": -LEAST}
+    return {"boiler": -LEAST, "link": -1.0, "doubtful": DOUBT, "list": 0.2, "heading": 0.5, "plain": 1.0, "<other>": -0.5, "<inline>": -LEAST}
 
 
 def count_features(html: str) -> Counter:
@@ -171,7 +185,7 @@ def learn(pages: DataFrame, most: int = TRAIN_PAGES) -> dict[str, float]:
         odds = log((inside + 1) / (out + 1))
         if feature.startswith("<"):
             weights[feature] = -min(MOST, max(LEAST, LEAST - odds))
-        elif feature == "boiler":
+        elif feature in ("boiler", "doubtful"):
             continue
         elif feature in ("plain", "heading"):
             weights[feature] = min(MOST, max(LEAST, odds))
@@ -184,7 +198,7 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
     """The article's blocks, one a line; empty if there is none."""
     if not html:
         return ""
-    blocks: list[tuple[str, float, bool]] = []  # text, score of its words, kept if in the region
+    blocks: list[tuple[str, float, bool, int]] = []  # text, score of its words, in the article, words that gain by its mark
     scores: list[float] = []  # of the tags before each block
     parts: list[tuple[str, str]] = []
     tags, other = 0.0, weights["<other>"]
@@ -195,15 +209,16 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
     def flush():
         nonlocal tags, parts
         by_kind: dict[bool, list[str]] = {True: [], False: []}
-        score, n = 0.0, 0
+        score, n, sure = 0.0, 0, 0
         for kind, piece in parts:
             count = len(piece.split())
             score += weights[kind] * count
             n += count
+            sure += count * (kind not in ("boiler", "doubtful"))
             by_kind[kind != "boiler"].append(piece)
         text = " ".join("".join(by_kind[True]).split())
         if n:
-            blocks.append((text, score, inside))
+            blocks.append((text, score, inside, sure))
             scores.append(tags)
             tags = 0.0
         parts = []
@@ -228,9 +243,9 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
     # On a page that marks its article the mark weighs in: words outside count against a region, words inside for it.
     best = total = 0.0
     start, region = 0, (0, 0)
-    for i, (text, score, in_article) in enumerate(blocks):
+    for i, (text, score, in_article, sure) in enumerate(blocks):
         if marked:
-            score = score + MARK * len(text.split()) if in_article else -MOST * max(1, len(text.split()))
+            score = score + MARK * sure if in_article else -MOST * max(1, len(text.split()))
         total += scores[i]
         if total <= 0:
             total, start = 0.0, i
@@ -240,7 +255,7 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
         elif total > best:
             best, region = total, (start, i + 1)
     # A region may reach over what stands between two marked articles.
-    return "\n".join(t for t, _, a in blocks[slice(*region)] if t and (a or not marked))
+    return "\n".join(t for t, _, a, _ in blocks[slice(*region)] if t and (a or not marked))
 
 
 def main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

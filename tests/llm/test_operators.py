@@ -326,6 +326,20 @@ def test_region_of_a_marked_page():
     assert got[0] == "The title" and got[-1] == "One plain item" and len(got) == 8
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'class="elementor-widget"', 'class="header-2 shop"', 'data-x="hidden"'])
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_layout_words_hide_nothing(attributes, outer):
+    text = [f"Sentence {i} of the article says something with enough words to count in any case." for i in range(6)]
+    page = f"<html><body><{outer}><div {attributes}>" + "".join(f"<p>{t}</p>" for t in text) + f"</div></{outer}></body></html>"
+    assert html.extract(page, html.default_weights()).split("\n") == text
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'aria-hidden="true"', "style='color:red; display: none'", 'style="visibility:hidden"', 'class="ad"'])
+def test_hidden_text_goes(attributes):
+    page = f"<article><p>Some words that are seen</p><div {attributes}><p>Some that are not</p></div><p>More words that are seen</p></article>"
+    assert html.extract(page, html.default_weights()) == "Some words that are seen\nMore words that are seen"
+
+
 # lines -------------------------------------------------------------------------------------------------------------
 
 
