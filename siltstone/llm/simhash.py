@@ -9,7 +9,7 @@ bucket is cut into chunks, and each pair of chunks is a task's work of bounded s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, pairwise
 
 import numpy as np
@@ -236,14 +236,16 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     )
 
 
-def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 4, width: int = 4, merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of `docs` without those whose component has a smaller doc_id.
 
     Rows without a doc_id all stay: nothing names them. Of rows that repeat both a kept doc_id and its text one stays,
-    the first by its other columns. Extra columns pass through, whatever their names.
+    the first by its other columns. Extra columns pass through, whatever their names. `merge` may join components: of
+    (doc_id, first) it makes the same with their smallest doc_id.
     """
     found = near_duplicates(docs.where("doc_id IS NOT NULL"), radius, width)
-    found = found.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("doc_id = first")
+    found = found.groupBy("doc_id").agg(F.min("component_id").alias("first"))
+    found = (merge(found) if merge else found).where("doc_id = first")
     kept = found.select(F.col("doc_id").alias("__kept"))
     named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
     text = F.md5("text").alias("__text")

@@ -536,6 +536,23 @@ def test_keep_one(awkward, docs):
     assert simhash.keep_one(empty(docs)).count() == 0 and simhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_stage_finds_near_copies_by_shingles(spark):
+    import random
+
+    import corpus_pipeline
+
+    draw, rows = random.Random(3), []
+    for i in range(200):
+        words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(200)]
+        near = words.copy()
+        for at in draw.sample(range(5, 195), 4):
+            near[at] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, made, SMALL).collect()}
+    assert {k for k in kept if k % 2 == 0} == set(range(0, 400, 2)) and sum(k % 2 for k in kept) <= 4
+
+
 # secrets -----------------------------------------------------------------------------------------------------------
 
 
