@@ -22,8 +22,8 @@ from siltstone.session import Scratch, ship
 
 #: Documents whose crc32(doc_id as text) mod FOLDS is HELD_OUT are not learned from.
 FOLDS, HELD_OUT = 7, 2
-#: Smallest count of each level of the filter.
-LEVELS = np.array([1, 2, 3, 5, 8, 16, 32, 64, 128, 256, 512, 1024, 4096, 16384, 65536, 1 << 20, 1 << 26], np.int64)
+#: Smallest count of each level of the filter; they double up to more than any corpus holds.
+LEVELS = np.array([1, 2, 3, 5, *(1 << k for k in range(3, 48))], np.int64)
 #: Bits of the filter for each entry, and probes.
 BITS, PROBES = 12, 5
 #: Weight of the token model against a context's count, and what is taken from each count for unseen tokens.

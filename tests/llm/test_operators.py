@@ -218,6 +218,16 @@ def test_filter_never_understates(spark):
     assert (model.bigram_counts(hashes + np.uint64(1)) == 0).mean() > 0.97
 
 
+def test_large_counts_keep_their_size():
+    import numpy as np
+
+    counts = np.array([100_000, 1_000_000, 20_000_000, 3_000_000_000])
+    hashes = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    body = lm.build_filter(hashes, counts)
+    got = lm.Model.of([(2, 0, body, b"")], [(2, 0, 0, len(body))], 1).bigram_counts(hashes)
+    assert (2 * got > counts).all()
+
+
 def test_score_of_nothing(docs):
     assert lm.score(empty(docs)).count() == 0
 
