@@ -40,7 +40,7 @@ NOTICES = {
 FAMILIES = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "gfdl": "gfdl", "apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "eupl": "eupl", "bsl": "bsl", "isc": "isc", "artistic": "artistic", "zlib": "zlib", "unlicense": "unlicense", "cc0": "cc0", "cc": "cc", "0bsd": "bsd"}
 BASE_SURE, TAG_SURE = 0.9, 1.0
 
-_TAG = re.compile(r"(?<![A-Za-z0-9])SPDX-License-Identifier:[ \t]*([^\r\n]{1,400})", re.I | re.A)
+_TAG = re.compile(r"(?<![A-Za-z0-9])SPDX-License-Identifier:[ \t]*([^\r\n]+)", re.I | re.A)
 _PART = re.compile(r"\s*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+:-]*))", re.A)
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -92,8 +92,21 @@ def to_postfix(expression: str) -> list[str]:
     return good
 
 
+def named(postfix: list[str]) -> set[str]:
+    """The licences of the whole expression, without exceptions."""
+    stack: list[set[str]] = []
+    for word in postfix:
+        if word not in _RANK:
+            stack.append({word})
+            continue
+        right = stack.pop()
+        if word != "with":
+            stack[-1] |= right
+    return stack[0] if stack else set()
+
+
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The sets of licences that each satisfy the expression."""
+    """The sets of licences that each satisfy the expression; of more than 256, the first, as they double with each choice."""
     stack: list[list[frozenset[str]]] = []
     for word in postfix:
         if word not in _RANK:
@@ -139,9 +152,9 @@ def scan(text: str | None, phrases: ahocorasick.Automaton) -> dict:
         sure[label] = max(sure.get(label, 0.0), how_sure)
     if tagged:
         for m in _TAG.finditer(text):
-            found = evaluate(to_postfix(m[1]))
-            options.append([sorted(o) for o in found])
-            for name in {x for o in found for x in o}:
+            postfix = to_postfix(m[1])
+            options.append([sorted(o) for o in evaluate(postfix)])
+            for name in named(postfix):
                 label = family(name)
                 if label:
                     sure[label] = max(sure.get(label, 0.0), TAG_SURE)

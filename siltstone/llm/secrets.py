@@ -29,7 +29,7 @@ _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']? *[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _MORE = {
-    "private_key": re.compile(r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,8192}-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"),
+    "private_key": re.compile(r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"),
     "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     "github": re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,251}|github_pat_[A-Za-z0-9_]{60,244})"),
     "slack": re.compile(r"(?<![A-Za-z0-9_])xox[abeoprs]-[A-Za-z0-9-]{10,250}"),
@@ -38,7 +38,7 @@ _MORE = {
     "url_password": re.compile(r"(?<=://)[A-Za-z0-9._%-]{1,64}:[^\s:@/\"'<>]{6,128}(?=@[A-Za-z0-9])"),
 }
 _HINTS = {"private_key": "PRIVATE KEY", "jwt": "eyJ", "github": "gh", "slack": "xox", "google": "AIza", "stripe": "k_live_", "url_password": "://"}
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,512}={0,2}(?![A-Za-z0-9+/_=-])")
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
