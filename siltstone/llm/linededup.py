@@ -1,13 +1,16 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Equal lines share a node. Nodes get MinHash signatures over character shingles, banded for high recall; in a band's
-bucket every node first meets two representatives, the smallest and the most frequent. Pairs are verified by the exact Jaccard similarity of their character 5-gram sets, links are joined by
-distributed union-find, and of each component the first line stays. Members of a bucket that stand in different
-components after that meet each other as well, in tiles of bounded size.
+bucket every node first meets the bucket's representative, its most frequent node. Pairs whose sketches are close are
+verified by the exact Jaccard similarity of their character 5-gram sets, links are joined by distributed union-find,
+and of each component the first line stays. Members of a bucket that stand in different components after that meet
+each other as well, in tiles of bounded size.
 """
 
 from __future__ import annotations
 
+from random import Random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +19,26 @@ from siltstone.session import Scratch
 
 #: Characters of a shingle and least Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
-#: Bands of a signature and minima a band: of two lines with similarity 0.8 about 98 of 100 share a band, of two
-#: unrelated lines (up to about 0.12 in ordinary text) next to none, so that buckets stay small at any size.
-BANDS, ROWS = 10, 5
+#: A signature is a square of SIDE * SIDE minima; its rows and columns are the bands. Of two lines with similarity 0.8
+#: about 94 of 100 share a band, with 0.85 98, of two unrelated ones (up to about 0.12) next to none.
+SIDE = 5
+BANDS = 2 * SIDE
+#: Lines of more shingles than FULL are signed by one in RATE of them, chosen by their hashes; lines of up to BOTH, and
+#: longer ones in which shingles often repeat, by all. In between both count, so any two similar lines share a scheme.
+FULL, BOTH, RATE = 96, 120, 8
+#: Places at which a long line is tried for repeats, and how many different shingles tell that it has few.
+TRIED, VARIED = 32, 30
+#: Of SIDE * SIDE minima, sketches of candidates differ in two bits of at most so many; similar lines that share a band
+#: differ in 3 on the average and in more than this in about 3 of 1,000 cases.
+CLOSE = 9
 #: Nodes in a chunk of a large bucket.
 CHUNK = 256
+#: Words of 64 bits in the set that bounds the similarity of two lines before they are compared.
+WORDS = 64
+#: Bits, as a power of two, of the filter that holds back lines which nobody asks for; its size is fixed.
+FILTER_BITS = 24
 _NODE_BITS = 58
+_NODE = (1 << _NODE_BITS) - 1
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -39,27 +56,64 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return cut.select("*", node.alias("node"), F.xxhash64("line", F.lit(1)).alias("proof"))
 
 
-def _salt(band: int) -> int:
-    """Spread over the range of an int, so that the minima of different bands look at different shingles."""
-    return (band + 1) * 0x9E3779B9 % 2**32 - 2**31
+def _salt(place: int) -> int:
+    """Spread over the range of an int, so that minima of one hash look at different shingles."""
+    return (place + 1) * 0x9E3779B9 % 2**32 - 2**31
+
+
+def bands() -> list[list[int]]:
+    """The places of a signature that make up each band: its rows, then its columns."""
+    rows = [[SIDE * i + j for j in range(SIDE)] for i in range(SIDE)]
+    return rows + [list(c) for c in zip(*rows, strict=True)]
+
+
+def sketch_of(minima: list[Column]) -> Column:
+    """Two bits of each minimum."""
+    out = F.lit(0).cast("long")
+    for k, m in enumerate(minima):
+        out = out.bitwiseOR(F.shiftleft(m.bitwiseAND(F.lit(3)).cast("long"), 2 * k))
+    return out
+
+
+def _close(x: str, y: str) -> Column:
+    """Whether two sketches differ at few places."""
+    odd = F.lit(0x5555555555555555)
+    both = F.col(x).bitwiseXOR(F.col(y))
+    return F.bit_count(both.bitwiseOR(F.shiftrightunsigned(both, 1)).bitwiseAND(odd)) <= CLOSE
+
+
+def packed(node: Column, occurs: Column) -> Column:
+    """How often a node occurs, in powers of two, above its bits: the largest is the most frequent node."""
+    weight = F.least(F.floor(F.log2(occurs)), F.lit(30)).cast("long")
+    return F.shiftleft(weight, _NODE_BITS).bitwiseOR(node)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(node, home, occurs, keys): a document that has it, how often each node occurs and its band keys.
+    """(node, home, packed, sketch, keys), once for each scheme by which a node is signed; home is a document that has it.
 
-    Every character shingle of a line counts. A band has a minimum of each of ROWS hashes, after XOR with its salt.
+    A signature's place has the least of one of SIDE hashes of the shingles, after XOR with the place's salt.
     """
     # Four bytes a character, so that a shingle is cut out in constant time.
     wide = lines.select("node", _home().alias("home"), F.encode("line", "UTF-32").alias("wide"))
-    last = F.greatest(F.floor(F.length("wide") / 4).cast("int") - SHINGLE, F.lit(0))
-    dealt = wide.select("node", "home", "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    shingle = F.hash(F.substring("wide", F.col("at") * 4 + 1, F.lit(4 * SHINGLE)))
-    each = dealt.select("node", "home", (F.col("at") == 0).cast("int").alias("start"), shingle.alias("h"))
-    each = each.select("node", "home", "start", *(F.hash("h", F.lit(r)).alias(f"h{r}") for r in range(ROWS)))
-    mins = [F.min(F.col(f"h{r}").bitwiseXOR(F.lit(_salt(b)))).alias(f"m{b}_{r}") for b in range(BANDS) for r in range(ROWS)]
-    signed = each.groupBy("node").agg(F.sum("start").alias("occurs"), F.min("home").alias("home"), *mins)
-    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b}_{r}" for r in range(ROWS))) for b in range(BANDS)))
-    return signed.select("node", "home", "occurs", keys.alias("keys"))
+    wide = wide.withColumn("last", F.greatest(F.floor(F.length("wide") / 4).cast("int") - SHINGLE, F.lit(0)))
+    shingle = lambda at: F.hash(F.substring("wide", at * 4 + 1, F.lit(4 * SHINGLE)))
+    # The same irregular places in every line, so that no period of a text falls in with them.
+    draw = Random(TRIED)
+    places = F.array(*(F.lit(draw.random()) for _ in range(TRIED)))
+    tried = F.transform(places, lambda x: shingle(F.floor(F.col("last") * x).cast("int")))
+    few = (F.col("last") < BOTH) | (F.size(F.array_distinct(tried)) < VARIED)
+    schemes = F.when(F.col("last") < FULL, F.array(F.lit(0))).when(few, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    dealt = wide.select("node", "home", "wide", "last", F.explode(schemes).alias("scheme"))
+    dealt = dealt.select("node", "home", "wide", "scheme", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at"))
+    each = dealt.select("node", "home", "scheme", shingle(F.col("at")).alias("h"))
+    each = each.where(f"scheme = 0 OR h & {RATE - 1} = 0")
+    each = each.select("node", "home", "scheme", *(F.hash("h", F.lit(r)).alias(f"h{r}") for r in range(SIDE)))
+    # Row i and column j take hash i + j, so that neither a row nor a column has one twice.
+    mins = [F.min(F.col(f"h{(k // SIDE + k) % SIDE}").bitwiseXOR(F.lit(_salt(k)))).alias(f"m{k}") for k in range(SIDE * SIDE)]
+    signed = each.groupBy("node", "scheme").agg(F.count("*").alias("occurs"), F.min("home").alias("home"), *mins)
+    keys = F.array(*(F.xxhash64(F.lit(b), "scheme", *(f"m{k}" for k in band)) for b, band in enumerate(bands())))
+    sketch = sketch_of([F.col(f"m{k}") for k in range(SIDE * SIDE)])
+    return signed.select("node", "home", packed(F.col("node"), F.col("occurs")).alias("packed"), sketch.alias("sketch"), keys.alias("keys"))
 
 
 def _home() -> Column:
@@ -67,42 +121,79 @@ def _home() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
 
 
-def bucket_members(signed: DataFrame) -> DataFrame:
-    """(key, node, least, top, n) of the buckets that several nodes share, with the bucket's representatives and size."""
-    banded = signed.select("node", "occurs", F.explode("keys").alias("key"))
-    # How often a line occurs, in powers of two, above the node's bits: the largest is the most frequent node.
-    weight = F.least(F.floor(F.log2(F.col("occurs"))), F.lit(30)).cast("long")
-    banded = banded.withColumn("packed", F.shiftleft(weight, _NODE_BITS).bitwiseOR(F.col("node")))
-    buckets = banded.groupBy("key").agg(
-        F.min("node").alias("least"), F.max("node").alias("most"), F.max("packed").alias("top"), F.count("*").alias("n")
-    )
-    top = F.col("top").bitwiseAND(F.lit((1 << _NODE_BITS) - 1)).alias("top")
-    return banded.select("key", "node").join(buckets.where("least < most").select("key", "least", top, "n"), "key")
+def bucket_members(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, node, sketch, top, top_sketch, n) of the buckets that several nodes share, with each one's representative."""
+    banded = signed.select("packed", "sketch", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # One row a key on the shared side, so a hash table of a partition's keys is small and nothing need be sorted.
+    held = scratch.keep(banded.join(shared.hint("shuffle_hash"), "key"))
+    tops = held.groupBy("key").agg(F.max("packed").alias("top"), F.max_by("sketch", "packed").alias("top_sketch"))
+    node, top = (F.col(c).bitwiseAND(F.lit(_NODE)).alias(n) for c, n in (("packed", "node"), ("top", "top")))
+    return held.join(tops, "key").select("key", node, "sketch", top, "top_sketch", "n")
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that meet in a bucket with one of its representatives."""
-    pairs = members.select("node", F.explode(F.array("least", "top")).alias("other")).where("node <> other")
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
+    """Distinct pairs (a, b), a < b, of close nodes that meet in a bucket with its representative."""
+    pairs = members.where("node <> top").where(_close("sketch", "top_sketch"))
+    return pairs.select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct()
 
-def other_pairs(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a bucket, stand in two components and have not met as candidates there.
 
-    A bucket is cut into chunks of about CHUNK nodes, and a tile is a pair of chunks, so no task gets a whole large bucket.
-    """
+def split_members(members: DataFrame, component: DataFrame) -> DataFrame:
+    """(key, node, class, sketch, chunks) of the buckets whose members stand in several components, but for their
+    representatives, which have met all others."""
     named = members.where("n > 2").join(component, "node", "left").withColumn("class", F.coalesce("component", "node"))
     split = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
-    held = named.join(split, "key").where("node <> least AND node <> top").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    tiles = (
-        held.withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "class")
-    )
-    x, y = (tiles.select("key", "i", "j", *(F.col(c).alias(f"{c}_{n}") for c in ("mine", "node", "class"))) for n in ("a", "b"))
-    # The nodes of a chunk meet in the chunk's own tile; in another tile they meet the other chunk's.
-    met = x.join(y, ["key", "i", "j"]).where("class_a <> class_b AND mine_a = i AND mine_b = j AND (i < j OR node_a < node_b)")
+    held = named.join(split, "key").where("node <> top")
+    return held.select("key", "node", "class", "sketch", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+
+
+def _tiles(held: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """The two sides on which members meet, and when they do: once each pair of close ones in different classes.
+
+    A bucket is cut into chunks of about CHUNK nodes, and a tile is a pair of chunks, so no task gets a whole large
+    bucket. The nodes of a chunk meet in the chunk's own tile; in another tile they meet the other chunk's.
+    """
+    dealt = held.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    x, y = (dealt.select(*(F.col(c).alias(f"{c}_{n}") for c in ("key", "i", "j", "mine", "node", "class", "sketch", *columns))) for n in ("a", "b"))
+    same = F.expr("key_a = key_b AND i_a = i_b AND j_a = j_b AND class_a <> class_b AND (i_a < j_a OR node_a < node_b)")
+    return x.where("mine_a = i_a"), y.where("mine_b = j_b"), same & _close("sketch_a", "sketch_b")
+
+
+def with_partners(held: DataFrame) -> DataFrame:
+    """The rows of `held` that have a close partner in their bucket."""
+    x, y, meet = _tiles(held, [])
+    some = x.join(y, meet, "left_semi").select(F.col("key_a").alias("key"), F.col("node_a").alias("node"))
+    more = y.join(x, meet, "left_semi").select(F.col("key_b").alias("key"), F.col("node_b").alias("node"))
+    return held.join(some.unionByName(more).distinct(), ["key", "node"], "left_semi")
+
+
+def marks_of(texts: DataFrame) -> DataFrame:
+    """(node, size, w0, w1, ...): the number of a line's shingles, and a set of bits with one for each of them."""
+    wide = texts.select("node", F.encode("line", "UTF-32").alias("wide"))
+    size = F.greatest(F.floor(F.length("wide") / 4).cast("int") - SHINGLE + 1, F.lit(1))
+    dealt = wide.select("node", "wide", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
+    each = dealt.select("node", "size", F.hash(F.substring("wide", F.col("at") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
+    each = each.select("node", "size", F.expr("shiftleft(1L, h & 63)").alias("bit"), F.expr(f"shiftright(h, 6) & {WORDS - 1}").alias("word"))
+    sets = (F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS))
+    return each.groupBy("node").agg(F.max("size").alias("size"), *sets)
+
+
+def _may_be_similar(similar: float) -> Column:
+    """Whether marks leave it open that two lines are similar: each bit that one of them has alone is a shingle that it
+    has alone, so they bound the similarity from above."""
+    only = lambda x, y: sum((F.bit_count(F.col(f"w{k}_{x}").bitwiseAND(F.bitwise_not(f"w{k}_{y}"))) for k in range(WORDS)), F.lit(0))
+    a, b = only("a", "b"), only("b", "a")
+    both = F.least(F.col("size_a") - a, F.col("size_b") - b)
+    return both >= similar * (both + a + b)
+
+
+def other_pairs(held: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members of a bucket that stand in two components and may be similar."""
+    columns = [c for c in marks.columns if c != "node"]
+    x, y, meet = _tiles(held.join(marks, "node"), columns)
+    met = x.join(y, meet & _may_be_similar(similar))
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -125,14 +216,28 @@ def similar_pairs(joined: DataFrame, similar: float) -> DataFrame:
     return joined.select("a", "b", both).where(share >= similar).select("a", "b")
 
 
-def texts_of(pairs: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
-    """(node, proof, line) of the lines that the pairs are of.
+def wanted_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`lines` without most of those whose node is not in `wanted` (column node); none of the others is lost.
+
+    A set of 2**FILTER_BITS bits, 64 to a row, is broadcast: its size does not grow. The more is wanted, the less it
+    holds back.
+    """
+    word = F.shiftright(F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
+    bit = F.expr("shiftleft(1L, CAST(node & 63 AS INT))")
+    bits = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    asked = lines.withColumn("word", word).join(F.broadcast(bits), "word")
+    return asked.where(bit.bitwiseAND(F.col("bits")) != 0).drop("word", "bits")
+
+
+def texts_of(wanted: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(node, proof, line) of the wanted nodes (column node, distinct).
 
     Each line is fetched from one document that has it, so a line that is everywhere is no skewed key.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     homes = signed.select("node", "home").join(wanted, "node", "left_semi").distinct()
-    found = lines.select("node", _home().alias("home"), "proof", "line").join(homes, ["node", "home"], "left_semi")
+    found = wanted_lines(lines.select("node", _home().alias("home"), "proof", "line"), wanted)
+    # Not a semi-join, which would be moved below the filter.
+    found = found.join(homes, ["node", "home"])
     one = F.min(F.struct("proof", "line")).alias("one")
     return found.groupBy("node").agg(one).select("node", "one.*")
 
@@ -144,66 +249,94 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
 
 
 def linked(signed: DataFrame, lines: DataFrame, scratch: Scratch, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of all nodes that are linked, and (node, proof, line) of all that share a bucket.
+    """(node, component) of all nodes that are linked, and (node, proof) of all that were compared.
 
     Members of a bucket that their links to representatives have joined need not meet; all others do.
     """
-    members = scratch.keep(bucket_members(signed))
+    members = scratch.keep(bucket_members(signed, scratch))
     pairs = scratch.keep(candidate_pairs(members))
-    texts = scratch.keep(texts_of(pairs, signed, lines))
+    texts = scratch.keep(texts_of(ends_of(pairs), signed, lines))
     links = scratch.keep(verified(pairs, texts, similar))
     component = connected_components(links, scratch)
-    rest = scratch.keep(verified(other_pairs(members, component), texts, similar))
-    if not rest.isEmpty():
-        component = connected_components(links.unionByName(rest), scratch)
-    return component, texts
+    proofs = texts.select("node", "proof")
+    held = scratch.keep(with_partners(split_members(members, component)))
+    scratch.drop(members)
+    if not held.isEmpty():
+        more = scratch.keep(texts_of(held.select("node").distinct(), signed, lines))
+        others = scratch.keep(other_pairs(held, marks_of(more), similar))
+        rest = scratch.keep(verified(others, more, similar))
+        proofs = proofs.unionByName(more.select("node", "proof")).distinct()
+        if not rest.isEmpty():
+            component = connected_components(links.unionByName(rest), scratch)
+    return component, proofs
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """Every node of some pairs, once."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def line_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per line that is not blank: doc_id, version, line_no, class_doc_id, class_line_no, kept.
 
-    The class is named by its first line in the order of doc_id (null last) and line_no, which is the one kept. Equal
-    lines are always one class; different lines are linked if the Jaccard similarity of their character 5-gram sets is
-    at least `similar`, and classes are closed over links. A line shorter than five characters is one shingle. Blank
-    lines are never duplicates; null and empty texts have none. Rows that repeat a doc_id and text count as one
+    The class is named by its first line in the order of doc_id (null last), line_no and version, which is the one kept.
+    Equal lines are always one class; different lines are linked if the Jaccard similarity of their character 5-gram
+    sets is at least `similar`, and classes are closed over links. A line shorter than five characters is one shingle.
+    Blank lines are never duplicates; null and empty texts have none. Rows that repeat a doc_id and text count as one
     document, and their lines get equal rows. Two lines of one node whose second hashes differ are never merged, nor
-    anything with them. Other columns are ignored.
+    anything with them. Lines of any length are signed and compared whole. Other columns are ignored; an empty table
+    gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     lines = lines_of(docs)
     signed = scratch.keep(signatures(lines))
-    component, texts = linked(signed, lines, scratch, similar)
+    component, proofs = linked(signed, lines, scratch, similar)
+    scratch.drop(signed)
     # Only the line that was verified is in the component, not another one that shares its node.
-    component = component.join(texts.select("node", "proof"), "node")
+    component = component.join(proofs, "node")
     places = lines.select("doc_id", "version", "line_no", "node", "proof")
     named = places.join(component, ["node", "proof"], "left").withColumn("class", F.coalesce("component", "node"))
     named = scratch.keep(named.select("doc_id", "version", "line_no", "class", F.when(F.col("component").isNull(), F.col("proof")).alias("proof")))
-    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")).alias("first")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "version")).alias("first")
     # A node outside every component is told from a colliding one by its proof.
     same = named.groupBy("class", "proof").agg(order, F.count("*").alias("n")).where("n > 1")
     same = same.select(F.col("class").alias("c"), F.col("proof").alias("p"), "first")
     told = named.join(same, F.expr("class = c AND proof <=> p"), "left")
     alone = F.col("c").isNull()
-    doc, at = F.col("first.doc_id"), F.col("first.line_no")
+    doc, at, version = F.col("first.doc_id"), F.col("first.line_no"), F.col("first.version")
+    first = F.col("doc_id").eqNullSafe(doc) & (F.col("line_no") == at) & F.col("version").eqNullSafe(version)
     return told.select(
         "doc_id",
         "version",
         "line_no",
         F.when(alone, F.col("doc_id")).otherwise(doc).alias("class_doc_id"),
         F.when(alone, F.col("line_no")).otherwise(at).alias("class_line_no"),
-        (alone | (F.col("doc_id").eqNullSafe(doc) & (F.col("line_no") == at))).alias("kept"),
+        (alone | first).alias("kept"),
     )
 
 
 def dedup_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """`docs` with every line gone that is not the first of its class; blank lines stay, all columns pass through.
 
-    A document that loses all its lines that are not blank stays, with what is left of its text.
+    A document that loses all its lines that are not blank stays, with what is left of its text. Null and empty texts
+    stay as they are; rows that repeat a doc_id and text are one document and all lose the same lines. Columns may have
+    any name or type; an empty table stays empty.
     """
-    gone = line_classes(docs, similar).where("NOT kept").groupBy("doc_id", "version").agg(F.collect_set("line_no").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), "__gone")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__version"))
-    joined = docs.join(gone, same, "left")
-    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    gone = line_classes(docs, similar).where("NOT kept").groupBy("doc_id", "version")
+    gone = gone.agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    # Other columns stand in one struct meanwhile, so that no name can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("at"), F.xxhash64("text").alias("hash"))
+    joined = rows.join(gone, F.expr("at <=> doc_id AND hash = version"), "left")
+    # What stands between one line that goes and the next.
+    n = F.size("gone")
+
+    def between(k: Column) -> Column:
+        start = F.when(k == 0, F.lit(0)).otherwise(F.get("gone", k - 1) + 1)
+        end = F.when(k == n, F.size("parts")).otherwise(F.get("gone", k))
+        return F.slice("parts", start + 1, end - start)
+
+    left = F.flatten(F.transform(F.sequence(F.lit(0), n), between))
+    whole = F.col("row.text")
+    joined = joined.withColumn("parts", F.when(F.col("gone").isNotNull(), F.split(whole, "\n")))
+    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(left, "\n"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -31,24 +31,41 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(s) for s in several), np.uint64)) if words else np.zeros(0, np.uint64)
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    if not len(hashes):
-        return []
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of each of BANDS * ROWS hashes."""
     least = np.full(len(_SALTS), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         least = np.minimum(least, (hashes[None, at : at + 4096] * _SALTS[:, None]).min(axis=1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
     rows = least.reshape(BANDS, ROWS)
     return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) - (1 << 63) for b in range(BANDS)]
 
 
+def sketch(least: np.ndarray) -> int:
+    """Two bits of each of the first minima, as many as linededup.CLOSE is meant for."""
+    n = linededup.SIDE**2
+    bits = (least[:n] >> np.uint64(32)) & np.uint64(3)
+    return int((bits << (np.uint64(2) * np.arange(n, dtype=np.uint64))).sum())
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(node, home, occurs, keys) of every distinct text; home is the smallest doc_id that has it."""
+    """(node, home, packed, sketch, keys) of every distinct text with words; home is the smallest doc_id that has it."""
 
     def make():
-        return lambda cols: {"node": cols["node"], "doc_id": cols["doc_id"], "keys": [band_keys(shingles(t)) for t in cols["text"]]}
+        def each(cols):
+            found = [shingles(t) for t in cols["text"]]
+            least = [minima(h) if len(h) else None for h in found]
+            keys = [[] if m is None else band_keys(m) for m in least]
+            return {"node": cols["node"], "doc_id": cols["doc_id"], "sketch": [0 if m is None else sketch(m) for m in least], "keys": keys}
+
+        return each
 
-    made = map_rows(_named(docs), "node long, doc_id long, keys array<bigint>", make)
-    return made.groupBy("node").agg(F.min("doc_id").alias("home"), F.count("*").alias("occurs"), F.min("keys").alias("keys"))
+    made = map_rows(_named(docs), "node long, doc_id long, sketch long, keys array<bigint>", make)
+    signed = made.groupBy("node").agg(F.min("doc_id").alias("home"), F.count("*").alias("occurs"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"))
+    return signed.select("node", "home", linededup.packed(F.col("node"), F.col("occurs")).alias("packed"), "sketch", "keys")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -75,20 +92,44 @@ def _similar(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
 def similar_documents(docs: DataFrame, scratch: Scratch, similar: float = SIMILAR) -> DataFrame:
     """Links (a, b) between doc_ids that span the sets of similar texts; equal texts are not linked."""
     signed = scratch.keep(signatures(docs))
-    members = scratch.keep(linededup.bucket_members(signed))
+    members = scratch.keep(linededup.bucket_members(signed, scratch))
     pairs = scratch.keep(linededup.candidate_pairs(members))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    homes = scratch.keep(signed.select("node", "home").join(wanted, "node", "left_semi"))
-    found = _named(docs).join(homes.select("node", F.col("home").alias("doc_id")), ["node", "doc_id"], "left_semi")
-    texts = scratch.keep(found.groupBy("node").agg(F.min("text").alias("text")))
-    links = scratch.keep(_similar(pairs, texts, similar))
-    rest = _similar(linededup.other_pairs(members, connected_components(links, scratch)), texts, similar)
-    both = links.unionByName(rest)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        homes = signed.select("node", F.col("home").alias("doc_id")).join(wanted, "node", "left_semi")
+        found = _named(docs).join(homes, ["node", "doc_id"], "left_semi")
+        return scratch.keep(found.groupBy("node").agg(F.min("text").alias("text")))
+
+    links = scratch.keep(_similar(pairs, texts_of(linededup.ends_of(pairs)), similar))
+    held = scratch.keep(linededup.with_partners(linededup.split_members(members, connected_components(links, scratch))))
+    both = links
+    if not held.isEmpty():
+        more = texts_of(held.select("node").distinct())
+        others = scratch.keep(linededup.other_pairs(held, marks_of(more), similar))
+        both = links.unionByName(_similar(others, more, similar))
     for n in ("a", "b"):
-        both = both.join(homes.select(F.col("node").alias(n), F.col("home").alias(f"doc_{n}")), n)
+        both = both.join(signed.select(F.col("node").alias(n), F.col("home").alias(f"doc_{n}")), n)
     return both.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
+def marks_of(texts: DataFrame) -> DataFrame:
+    """(node, size, w0, w1, ...): the number of a text's distinct shingles, and a set of bits with one for each."""
+    words = linededup.WORDS
+
+    def make():
+        def each(cols):
+            found = [shingles(t) for t in cols["text"]]
+            bits = np.zeros((len(found), words), np.uint64)
+            for row, hashes in zip(bits, found, strict=True):
+                np.bitwise_or.at(row, (hashes >> np.uint64(6)) % np.uint64(words), np.uint64(1) << (hashes & np.uint64(63)))
+            out = {"node": cols["node"], "size": [len(h) for h in found]}
+            return out | {f"w{k}": bits[:, k].view(np.int64) for k in range(words)}
+
+        return each
+
+    return map_rows(texts, "node long, size int, " + ", ".join(f"w{k} long" for k in range(words)), make)
+
+
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of `docs` without those whose set of near copies has a smaller doc_id; as simhash.keep_one otherwise.
 
