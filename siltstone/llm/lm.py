@@ -1,8 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-Training texts are tokenised once; each batch gives its distinct token and bigram hashes with counts, packed by shard.
-A shard's task merges them: exact counts of tokens, and for bigrams a Bloom filter in which a bigram of level q was
-entered q times, once per level up to its own. Scoring asks for level 1, 2, ... until a probe fails and takes the
+Training texts are tokenised once; each run of documents gives a row with a count for every distinct token and bigram
+hash. Spark sums them, and a shard's rows become exact counts of tokens, and for bigrams a Bloom filter in which a
+bigram of level q was entered q times, once per level up to its own. Scoring asks for level 1, 2, ... until a probe fails and takes the
 smallest count of the last level as the bigram's count, interpolated with discounted token frequencies.
 """
 
@@ -30,10 +30,11 @@ BITS, PROBES = 12, 5
 BACKOFF, DISCOUNT = 8.0, 0.7
 #: UTF-8 bytes of text whose counts go to one shard; a shard is built by one task.
 SHARD_BYTES = 4_000_000
-#: Tokens that are counted together before they are packed; bounds the memory of a counting task.
-RUN_TOKENS = 1_000_000
-#: Most bytes of model that may be broadcast; beyond, tokens are scored by joins with the same counts and filter.
-BROADCAST_BYTES = 400_000_000
+#: Tokens that are counted together, and rows in a batch of counts; they bound the memory of a counting task.
+RUN_TOKENS, RUN_ROWS = 1_000_000, 65_536
+#: Most bytes of model that may be broadcast, as every Python worker holds a copy; beyond, tokens are scored by joins
+#: with the same counts and filter.
+BROADCAST_BYTES = 200_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _END = np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -70,20 +71,19 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _count(docs: DataFrame, shards: int) -> DataFrame:
-    """(kind, shard, hashes, counts) of runs of training documents: kind 1 for tokens, 2 for bigrams."""
-    names = ["kind", "shard", "hashes", "counts"]
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    """(part, hash, n) of runs of training documents: part is twice the shard, and one more for bigrams."""
+    names = ["part", "hash", "n"]
 
-    def pack(kind, values):
+    def counted(kind, values):
         unique, counts = np.unique(values, return_counts=True)
-        shard, counts = shard_of(unique, shards), counts.astype(np.uint32)
-        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield kind, int(shard[a]), unique[a:b].tobytes(), counts[a:b].tobytes()
+        part = (shard_of(unique, shards) * 2 + kind).astype(np.int32)
+        for at in range(0, len(unique), RUN_ROWS):
+            where = slice(at, at + RUN_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(part[where]), pa.array(unique[where].view(np.int64)), pa.array(counts[where])], names)
 
     def flush(held):
-        rows = [*pack(1, np.concatenate(held)), *pack(2, np.concatenate([bigram_hashes(t) for t in held]))]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        yield from counted(0, np.concatenate(held))
+        yield from counted(1, np.concatenate([bigram_hashes(t) for t in held]))
 
     def run(batches):
         held, n = [], 0
@@ -95,14 +95,14 @@ def _count(docs: DataFrame, shards: int) -> DataFrame:
                 held.append(token_hashes(texts[i].as_py()))
                 n += len(held[-1])
                 if n >= RUN_TOKENS:
-                    yield flush(held)
+                    yield from flush(held)
                     held, n = [], 0
         if held:
-            yield flush(held)
+            yield from flush(held)
         del held
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, shard int, hashes binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "part int, hash long, n long")
 
 
 def _level(level: int) -> np.uint64:
@@ -127,15 +127,31 @@ def build_filter(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _merge(key: tuple, rows: pa.Table) -> pa.Table:
-    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"].to_pylist()])
-    unique, where = np.unique(hashes, return_inverse=True)
-    sums = np.bincount(where, weights=counts, minlength=len(unique)).astype(np.int64)
-    kind, shard = key[0].as_py(), key[1].as_py()
-    body, extra = (unique.tobytes(), sums.tobytes()) if kind == 1 else (build_filter(unique, sums), b"")
-    made = {"kind": [kind], "shard": [shard], "body": [body], "extra": [extra], "n": [len(unique)], "total": [int(sums.sum())]}
-    return pa.Table.from_pydict(made, _PARTS)
+def _packed(batches):
+    """A row for each part of the model, from the summed counts in the order of their parts."""
+
+    def pack(part, hashes, counts):
+        hashes, counts = np.concatenate(hashes).view(np.uint64), np.concatenate(counts)
+        kind, shard = part % 2 + 1, part // 2
+        order = np.argsort(hashes)
+        body, extra = (hashes[order].tobytes(), counts[order].tobytes()) if kind == 1 else (build_filter(hashes, counts), b"")
+        made = {"kind": [kind], "shard": [shard], "body": [body], "extra": [extra], "n": [len(hashes)], "total": [int(counts.sum())]}
+        return pa.RecordBatch.from_pydict(made, _PARTS)
+
+    now, hashes, counts = None, [], []
+    for batch in batches:
+        parts, h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]])) if len(parts) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if now is not None and parts[a] != now:
+                yield pack(now, hashes, counts)
+                hashes, counts = [], []
+            now = int(parts[a])
+            hashes.append(h[a:b])
+            counts.append(n[a:b])
+    if now is not None:
+        yield pack(now, hashes, counts)
+    release()
 
 
 _PARTS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("body", pa.binary()), ("extra", pa.binary()), ("n", pa.int64()), ("total", pa.int64())])
@@ -215,9 +231,10 @@ def train(docs: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) ->
     """The model's parts (kind, shard, body, extra, n, total), one row per shard, and the number of shards."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // shard_bytes))
-    counted = _count(docs, shards).groupBy("kind", "shard")
-    merged = counted.applyInArrow(_merge, "kind int, shard int, body binary, extra binary, n long, total long")
-    return scratch.keep(merged), shards
+    # A part's rows meet in one task and need no other exchange to be summed, sorted and packed.
+    summed = _count(docs, shards).repartition("part").groupBy("part", "hash").agg(F.sum("n").alias("n"))
+    packed = summed.sortWithinPartitions("part").mapInArrow(_packed, "kind int, shard int, body binary, extra binary, n long, total long")
+    return scratch.keep(packed), shards
 
 
 def score(docs: DataFrame, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
