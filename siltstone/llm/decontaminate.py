@@ -1,76 +1,94 @@
 """Benchmark decontamination: hashed n-grams of the benchmark, broadcast in bounded blocks, hit and then verified.
 
-Words become ids of the block's vocabulary, -1 if the benchmark has no such word, so a window can only match where
-enough known words stand in a row. Those windows are hashed from their ids, looked up in the broadcast sorted set of
-hashes, and every hit is verified word for word.
+The driver hashes the words and windows of a block of items into sorted arrays and broadcasts these. A document's words
+are hashed; where enough words that the block knows stand in a row, their window is looked up, and every hit is
+verified word for word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import alnum_words, map_rows
-from siltstone.session import Scratch
+from siltstone.session import Scratch, ship
 
 #: Fixed value: words in a window.
 WINDOW = 10
-#: UTF-8 bytes of benchmark text in one broadcast block; a larger benchmark is scanned block by block.
+#: UTF-8 bytes of benchmark text in one broadcast block, which takes about six times that in arrays; a larger benchmark
+#: is scanned block by block.
 BLOCK_BYTES = 8_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _windows(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the `width` words from each place in `at`."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(width):
+        out = (out ^ words[at + i]) * _STEP
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class NGrams:
-    """The windows of some benchmark items: ids of their words, a sorted hash set for each window length, owners."""
+    """The windows of some benchmark items: their words' hashes, and sorted window hashes with places for each width."""
 
     def __init__(self, items: Iterable[tuple[str, str | None]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.names, held = [], []
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in alnum_words(text)]
-            width = min(window, len(ids))
-            for at in range(len(ids) - width + 1 if ids else 0):
-                owners.setdefault(tuple(ids[at : at + width]), set()).add(name)
-        self.owners = owners
-        self.hashes = {}
-        for width in sorted({len(k) for k in owners}):
-            table = np.array([k for k in owners if len(k) == width], np.int64)
-            self.hashes[width] = np.unique(self._hash(table, width))
-
-    @staticmethod
-    def _hash(windows: np.ndarray, width: int) -> np.ndarray:
-        out = np.zeros(len(windows), np.uint64)
-        for i in range(width):
-            out = (out ^ (windows[:, i].astype(np.uint64) + np.uint64(1))) * _STEP
-            out ^= out >> np.uint64(29)
-        return out
+            words = alnum_words(text)
+            if words:
+                self.names.append(name)
+                held.append(_hashed(words))
+        sizes = np.array([len(h) for h in held], np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.words = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        self.vocabulary = np.unique(self.words)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        widths = np.minimum(sizes, window)
+        for width in np.unique(widths).tolist():
+            own = np.flatnonzero(widths == width)
+            at = np.concatenate([np.arange(self.starts[i], self.starts[i] + sizes[i] - width + 1) for i in own])
+            hashes = _windows(self.words, at, width)
+            order = np.argsort(hashes, kind="stable")
+            self.windows[width] = hashes[order], at[order]
 
     def scan(self, words: list[bytes]) -> tuple[list[int], list[int], set[str]]:
         """Starts and ends (exclusive) of verified windows in `words`, and the items they are of."""
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         starts, ends, items = [], [], set()
-        unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-        for width, hashes in self.hashes.items():
-            if len(ids) < width:
+        if not words or not len(self.vocabulary):
+            return starts, ends, items
+        own = _hashed(words)
+        found = np.searchsorted(self.vocabulary, own)
+        found[found == len(self.vocabulary)] = 0
+        unknown = np.concatenate([[0], np.cumsum(self.vocabulary[found] != own)])
+        for width, (hashes, places) in self.windows.items():
+            if len(own) < width:
                 continue
             at = np.flatnonzero(unknown[width:] == unknown[:-width])
             if not len(at):
                 continue
-            hashed = self._hash(np.lib.stride_tricks.sliding_window_view(ids, width)[at], width)
-            found = np.searchsorted(hashes, hashed)
-            found[found == len(hashes)] = 0
-            for s in at[hashes[found] == hashed].tolist():
-                owner = self.owners.get(tuple(ids[s : s + width].tolist()))
-                if owner:
+            asked = _windows(own, at, width)
+            low, high = np.searchsorted(hashes, asked), np.searchsorted(hashes, asked, "right")
+            for k in np.flatnonzero(low < high).tolist():
+                s = int(at[k])
+                held = places[low[k] : high[k]]
+                same = held[(self.words[held[:, None] + np.arange(width)] == own[s : s + width]).all(axis=1)]
+                if len(same):
                     starts.append(s)
                     ends.append(s + width)
-                    items |= owner
+                    items.update(self.names[i] for i in np.unique(np.searchsorted(self.starts, same, "right") - 1).tolist())
         return starts, ends, items
 
 
@@ -87,53 +105,63 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterable[list[Row]]:
         yield block
 
 
-def _scan_block(spark, docs: DataFrame, block: list[Row], window: int, carried: list[str]) -> DataFrame:
-    """Add the block's hits to the array columns starts, ends, items of each row."""
-    shared = spark.sparkContext.broadcast([(r.item, r.text) for r in block])
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+def _shared(spark, benchmark: DataFrame, window: int, block_bytes: int) -> Iterator:
+    """The blocks of a benchmark as broadcasts; one without items if it is empty."""
+    ship(spark)
+    some = False
+    for block in _blocks(benchmark, block_bytes):
+        some = True
+        yield spark.sparkContext.broadcast(NGrams(((r.item, r.text) for r in block), window))
+    if not some:
+        yield spark.sparkContext.broadcast(NGrams([], window))
 
-    def make():
-        grams = NGrams(shared.value, window)
+
+_HITS = "n_words long, starts array<int>, ends array<int>, items array<string>"
+
+
+def _scan(docs: DataFrame, shared, only_hits: bool = False) -> DataFrame:
+    """(doc_id, version, n_words, starts, ends, items) of every row, or of those with hits; version is the text's hash."""
+
+    def make() -> Callable:
+        grams = shared.value
 
         def each(cols):
-            n, starts, ends, items = [], [], [], []
-            for i, text in enumerate(cols["text"]):
+            out = {k: [] for k in ("doc_id", "version", "n_words", "starts", "ends", "items")}
+            for doc_id, version, text in zip(cols["doc_id"], cols["version"], cols["text"], strict=True):
                 words = alnum_words(text)
-                s, e, found = grams.scan(words)
-                n.append(len(words))
-                starts.append((cols["starts"][i] or []) + s)
-                ends.append((cols["ends"][i] or []) + e)
-                items.append(sorted(set(cols["items"][i] or []) | found))
-            return {name: cols[name] for name in carried} | {"text": cols["text"], "n_words": n, "starts": starts, "ends": ends, "items": items}
+                starts, ends, items = grams.scan(words)
+                if starts or not only_hits:
+                    for k, v in zip(out, (doc_id, version, len(words), starts, ends, sorted(items)), strict=True):
+                        out[k].append(v)
+            return out
 
         return each
 
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*carried, "text"])
-    return map_rows(docs, f"{schema}, n_words long, starts array<int>, ends array<int>, items array<string>", make)
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("version"), "text"), f"doc_id long, version long, {_HITS}", make)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text, n_words, starts, ends, items) for every row: verified windows as word offsets, in no order."""
-    spark = docs.sparkSession
-    none = "array<int>"
-    now = docs.select(
-        "doc_id",
-        "text",
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast(none).alias("starts"),
-        F.array().cast(none).alias("ends"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    blocks = iter(_blocks(benchmark, block_bytes))
-    block = next(blocks, [])
-    following = next(blocks, None)
-    scratch = Scratch(spark, "decontaminate") if following else None
-    while True:
-        now = _scan_block(spark, now, block, window, ["doc_id"])
-        if following is None:
-            return now
-        now = scratch.keep(now)
-        block, following = following, next(blocks, None)
+    """(doc_id, version, n_words, starts, ends, items) for every row: verified windows as word offsets, in no order.
+
+    Of a benchmark of several blocks the later ones give rows with hits alone, which meet the first one's by doc_id and
+    text; equal rows have equal hits.
+    """
+    blocks = _shared(docs.sparkSession, benchmark, window, block_bytes)
+    first = _scan(docs, next(blocks))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    later = [scratch.keep(_scan(docs, b, only_hits=True).dropDuplicates(["doc_id", "version"])) for b in blocks]
+    if not later:
+        return first
+    every = later[0]
+    for part in later[1:]:
+        every = every.unionByName(part)
+    # At most one row a block meets here.
+    flat = [F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in ("starts", "ends", "items")]
+    every = every.groupBy(F.col("doc_id").alias("d"), F.col("version").alias("v")).agg(*flat)
+    joined = first.join(every, F.expr("doc_id <=> d AND version = v"), "left")
+    both = [F.concat(c, F.coalesce(f"more_{c}", F.array().cast(first.schema[c].dataType))).alias(c) for c in ("starts", "ends")]
+    items = F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>")))).alias("items")
+    return joined.select("doc_id", "version", "n_words", *both, items)
 
 
 def _covered(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -174,41 +202,64 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return each
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return map_rows(found.drop("text"), schema, make)
+    return map_rows(found, schema, make)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` in which no benchmark window occurs.
 
-    Rows are matched by doc_id: if one of several rows of a doc_id is contaminated, all go. Rows without a doc_id go
-    if any such row is contaminated.
+    Each row is judged by its own text, whatever its doc_id; null and empty texts stay. Repeated rows stay or go
+    together, all columns pass through whatever their names, an empty benchmark drops nothing, and an empty table stays
+    empty. No row moves: each block of the benchmark is one more filter, after the first with what is left written.
     """
-    bad = contamination(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.expr("doc_id <=> __bad"), "left_anti")
+    spark = docs.sparkSession
+    scratch, out = Scratch(spark, "decontaminate"), docs
+    for k, shared in enumerate(_shared(spark, benchmark.where("item_id IS NOT NULL"), window, block_bytes)):
+        out = _without_hits(scratch.keep(out) if k else out, shared)
+    return out
+
+
+def _without_hits(docs: DataFrame, shared) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = shared.value
+        for batch in batches:
+            texts = batch.column("text")
+            clean = [not grams.scan(alnum_words(texts[i].as_py()))[0] for i in range(batch.num_rows)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text, n_removed): the text without the words that a window covers and what stands between them."""
-    found = find(docs, benchmark, window, block_bytes)
+    """(doc_id, text, n_removed) of every row: the text without the words that a window covers and what stands between.
 
-    def make():
-        import re
+    Nulls, empty texts, repeated rows and empty tables are treated as by `contamination`.
+    """
+    import re
 
+    found = find(docs, benchmark.where("item_id IS NOT NULL"), window, block_bytes).where("size(starts) > 0")
+    found = found.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "starts", "ends").dropDuplicates(["d", "v"])
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).join(found, F.expr("doc_id <=> d AND version = v"), "left")
+
+    def make():
         word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.A)
         lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
         def each(cols):
             texts, removed = [], []
             for text, starts, ends in zip(cols["text"], cols["starts"], cols["ends"], strict=True):
-                spans = _covered(starts, ends)
+                spans = _covered(starts or [], ends or [])
                 if spans:
                     at = [m.span() for m in word.finditer(text.translate(lower))]
-                    for s, e in reversed(spans):
-                        text = text[: at[s][0]] + text[at[e - 1][1] :]
+                    parts, last = [], 0
+                    for s, e in spans:
+                        parts.append(text[last : at[s][0]])
+                        last = at[e - 1][1]
+                    text = "".join(parts) + text[last:]
                 texts.append(text)
                 removed.append(sum(e - s for s, e in spans))
             return {"doc_id": cols["doc_id"], "text": texts, "n_removed": removed}
 
         return each
 
-    return map_rows(found, "doc_id long, text string, n_removed long", make)
+    return map_rows(texts.select("doc_id", "text", "starts", "ends"), "doc_id long, text string, n_removed long", make)

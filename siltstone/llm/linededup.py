@@ -216,17 +216,23 @@ def similar_pairs(joined: DataFrame, similar: float) -> DataFrame:
     return joined.select("a", "b", both).where(share >= similar).select("a", "b")
 
 
-def wanted_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`lines` without most of those whose node is not in `wanted` (column node); none of the others is lost.
+def asked_and_clear(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` (with a column node) in two: those whose node may be in `wanted` (column node), and those whose is not.
 
-    A set of 2**FILTER_BITS bits, 64 to a row, is broadcast: its size does not grow. The more is wanted, the less it
-    holds back.
+    A set of 2**FILTER_BITS bits, 64 to a row, is broadcast: its size does not grow. The more is wanted, the fewer rows
+    it clears.
     """
     word = F.shiftright(F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
     bit = F.expr("shiftleft(1L, CAST(node & 63 AS INT))")
-    bits = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    asked = lines.withColumn("word", word).join(F.broadcast(bits), "word")
-    return asked.where(bit.bitwiseAND(F.col("bits")) != 0).drop("word", "bits")
+    bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(bit.bitwiseAND(F.col("_bits")) != 0, F.lit(False))
+    return met.where(hit).drop("_word", "_bits"), met.where(~hit).drop("_word", "_bits")
+
+
+def wanted_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`lines` without most of those whose node is not in `wanted` (column node); none of the others is lost."""
+    return asked_and_clear(lines, wanted)[0]
 
 
 def texts_of(wanted: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:

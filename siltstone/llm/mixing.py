@@ -55,23 +55,25 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per row of `docs`: doc_id, size, source, source_size, target, taken.
+    """One row per row of `docs`: doc_id, size, source, source_size, target, taken, version (the text's hash).
 
     size is the number of words, 0 for a null text. taken counts the words that the mix takes with repeats: whole
     epochs times the size, plus the size if the document's key comes before the boundary, plus at the boundary as many
     words as are left of the rounded target. So each source's taken words equal its rounded target and no document has
-    more than the next whole number of epochs. Keys depend on doc_id and seed only, so reruns agree; rows that tie in
-    all of key, doc_id and size are alike. A null source is a source of its own, ranked last. A null doc_id gets a key
-    like any other. Columns of `docs` other than doc_id, text and source are ignored. An empty table gives no rows.
+    more than the next whole number of epochs. Keys depend on doc_id, text and seed only, so reruns agree; rows that tie
+    in all of key, doc_id, size and text are alike. A null source is a source of its own, ranked last. A null doc_id
+    gets a key by its text. Columns of `docs` other than doc_id, text and source are ignored. An empty table gives no
+    rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     text = F.col("text")
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 1.0) / float(2**53)
+    version = F.xxhash64(text)
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), version, F.lit(seed)), 11).cast("double") + 1.0) / float(2**53)
     key = -F.log(uniform) / quality_weight(text)
     # 1 - exp(-key) is monotone in the key and lies in [0, 1), so it deals keys to buckets without a sort.
     at = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * float(BUCKETS**2)), F.lit(BUCKETS**2 - 1))
-    sized = docs.select("doc_id", "source", n_words(text).alias("size"), key.alias("key"))
+    sized = docs.select("doc_id", "source", n_words(text).alias("size"), key.alias("key"), version.alias("version"))
     rows = scratch.keep(sized.withColumn("bucket", at.cast("int")))
     coarse = scratch.keep(
         rows.groupBy("source", F.expr(f"CAST(bucket DIV {BUCKETS} AS INT)").alias("part")).agg(F.sum("size").alias("words"))
@@ -93,12 +95,12 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, m
     whole = F.when(F.col("edge").isNotNull() & (F.col("bucket") < F.col("edge")), F.col("size")).otherwise(F.lit(0))
     clear = joined.where(~F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False)))
     clear = clear.withColumn("taken", F.col("epochs") * F.col("size") + whole)
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "version").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = joined.where(F.col("bucket") == F.col("edge"))
     left = F.col("budget") - F.col("before") - F.coalesce(F.sum("size").over(order), F.lit(0))
     partly = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
     edge_rows = at_edge.withColumn("taken", F.col("epochs") * F.col("size") + partly)
-    columns = ["doc_id", "size", "source", "source_size", "target", F.col("taken").cast("long").alias("taken")]
+    columns = ["doc_id", "size", "source", "source_size", "target", F.col("taken").cast("long").alias("taken"), "version"]
     return clear.select(*columns).unionByName(edge_rows.select(*columns))
 
 
@@ -121,11 +123,16 @@ def _boundary(sums: DataFrame, plans: DataFrame, name: str, base: Column) -> Dat
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
-    """`docs` with the column `taken` of its doc_id, without documents that the mix leaves out.
+    """`docs` with the column `taken`, the words that the mix takes of a row, without rows that it leaves out.
 
-    A doc_id that repeats has the sum of its rows' words on each of its rows; rows without a doc_id are one document.
+    Rows that repeat doc_id, text and source share their words evenly, rounded down to whole words but never to none.
+    Rows without a doc_id are told apart by their texts. An input column named `taken` gives way to the new one; all
+    others pass through, whatever their names and types. An empty table stays empty.
     """
-    taken = mix(docs, seed, **how).groupBy("doc_id").agg(F.sum("taken").alias("__taken")).where("__taken > 0")
-    taken = taken.withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(taken, F.expr("doc_id <=> __doc")).drop("__doc")
-    return joined.drop("taken").withColumnRenamed("__taken", "taken")
+    taken = mix(docs, seed, **how).groupBy("doc_id", "version", "source").agg(F.sum("taken").alias("words"), F.count("*").alias("n"))
+    taken = taken.where("words > 0").select("doc_id", "version", "source", F.expr("greatest(1L, words DIV n)").alias("words"))
+    # Columns stand in one struct meanwhile, so that no name can clash.
+    columns = [c for c in docs.columns if c != "taken"]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.xxhash64("text").alias("v"))
+    same = F.expr("row.doc_id <=> doc_id AND v = version AND row.source <=> source")
+    return rows.join(taken, same).select(*(F.col("row")[c].alias(c) for c in columns), F.col("words").alias("taken"))

@@ -51,25 +51,27 @@ def sketch(least: np.ndarray) -> int:
     return int((bits << (np.uint64(2) * np.arange(n, dtype=np.uint64))).sum())
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(node, home, packed, sketch, keys) of every distinct text with words; home is the smallest doc_id that has it."""
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, proof, text): node is 58 bits of the text's hash, proof 64 bits of another one."""
+    node = F.shiftrightunsigned(F.xxhash64("text"), 64 - linededup._NODE_BITS)
+    return docs.select("doc_id", node.alias("node"), F.xxhash64("text", F.lit(1)).alias("proof"), "text")
+
+
+def prints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, node, proof, bits, sketch, keys) of every row: its text's fingerprint and signature, from one pass."""
 
     def make():
         def each(cols):
             found = [shingles(t) for t in cols["text"]]
             least = [minima(h) if len(h) else None for h in found]
-            keys = [[] if m is None else band_keys(m) for m in least]
-            return {"node": cols["node"], "doc_id": cols["doc_id"], "sketch": [0 if m is None else sketch(m) for m in least], "keys": keys}
+            out = {k: cols[k] for k in ("doc_id", "node", "proof")}
+            out["bits"] = np.array([simhash.fingerprint(t, width) for t in cols["text"]], np.uint64).view(np.int64)
+            out["sketch"] = [0 if m is None else sketch(m) for m in least]
+            return out | {"keys": [[] if m is None else band_keys(m) for m in least]}
 
         return each
 
-    made = map_rows(_named(docs), "node long, doc_id long, sketch long, keys array<bigint>", make)
-    signed = made.groupBy("node").agg(F.min("doc_id").alias("home"), F.count("*").alias("occurs"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"))
-    return signed.select("node", "home", linededup.packed(F.col("node"), F.col("occurs")).alias("packed"), "sketch", "keys")
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.select(F.shiftrightunsigned(F.xxhash64("text"), 64 - linededup._NODE_BITS).alias("node"), "doc_id", "text")
+    return map_rows(_named(docs), "doc_id long, node long, proof long, bits long, sketch long, keys array<bigint>", make)
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -89,27 +91,27 @@ def _similar(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return map_rows(joined, "a long, b long, share double", make).where(F.col("share") >= similar).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, scratch: Scratch, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between doc_ids that span the sets of similar texts; equal texts are not linked."""
-    signed = scratch.keep(signatures(docs))
+def similar_texts(docs: DataFrame, rows: DataFrame, scratch: Scratch, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) between nodes that span the sets of similar texts; `rows` are the prints of `docs`, kept."""
+    signed = rows.groupBy("node").agg(F.min("doc_id").alias("home"), F.count("*").alias("occurs"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"))
+    packed = linededup.packed(F.col("node"), F.col("occurs")).alias("packed")
+    signed = scratch.keep(signed.select("node", "home", packed, "sketch", "keys"))
     members = scratch.keep(linededup.bucket_members(signed, scratch))
     pairs = scratch.keep(linededup.candidate_pairs(members))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         homes = signed.select("node", F.col("home").alias("doc_id")).join(wanted, "node", "left_semi")
-        found = _named(docs).join(homes, ["node", "doc_id"], "left_semi")
-        return scratch.keep(found.groupBy("node").agg(F.min("text").alias("text")))
+        # Not a semi-join, which would be moved below the filter.
+        found = linededup.wanted_lines(_named(docs), wanted).join(homes, ["node", "doc_id"])
+        return scratch.keep(found.groupBy("node").agg(F.min(F.struct("proof", "text"))["text"].alias("text")))
 
     links = scratch.keep(_similar(pairs, texts_of(linededup.ends_of(pairs)), similar))
     held = scratch.keep(linededup.with_partners(linededup.split_members(members, connected_components(links, scratch))))
-    both = links
-    if not held.isEmpty():
-        more = texts_of(held.select("node").distinct())
-        others = scratch.keep(linededup.other_pairs(held, marks_of(more), similar))
-        both = links.unionByName(_similar(others, more, similar))
-    for n in ("a", "b"):
-        both = both.join(signed.select(F.col("node").alias(n), F.col("home").alias(f"doc_{n}")), n)
-    return both.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    if held.isEmpty():
+        return links
+    more = texts_of(held.select("node").distinct())
+    others = scratch.keep(linededup.other_pairs(held, marks_of(more), similar))
+    return links.unionByName(scratch.keep(_similar(others, more, similar)))
 
 
 def marks_of(texts: DataFrame) -> DataFrame:
@@ -130,22 +132,48 @@ def marks_of(texts: DataFrame) -> DataFrame:
     return map_rows(texts, "node long, size int, " + ", ".join(f"w{k} long" for k in range(words)), make)
 
 
-def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of `docs` without those whose set of near copies has a smaller doc_id; as simhash.keep_one otherwise.
+def keep_one(docs: DataFrame, similar: float = SIMILAR, radius: int = 4, width: int = 4) -> DataFrame:
+    """The rows of `docs` without those whose set of near copies has an earlier text.
 
-    Two documents are near copies if their fingerprints are, or if their 5-word shingle sets have this similarity at
-    least; sets are closed over both.
+    Two texts are near copies if their fingerprints of `width`-word shingles differ in at most `radius` bits or their
+    5-word shingle sets have this similarity at least; sets are closed over both. Of a set the first row by doc_id stays,
+    whatever other texts share its doc_id; of rows that repeat both its doc_id and its text one stays, the first by its
+    other columns as JSON. Null and empty texts share a fingerprint and are near copies. Rows without a doc_id all stay:
+    nothing orders them. A text whose hash collides with another's is never taken for it. All columns pass through,
+    whatever their names and types; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     some = docs.where("doc_id IS NOT NULL")
-    links = similar_documents(some, scratch, similar)
-    return simhash.keep_one(docs, merge=lambda found: _merged(found, links, scratch))
-
-
-def _merged(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Components of documents (doc_id, first) over their fingerprints' components and links."""
-    edges = found.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).unionByName(links)
-    component = connected_components(edges, scratch)
-    return found.select("doc_id", "first").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.coalesce("component", "first").alias("first")
-    )
+    rows = scratch.keep(prints(some, width))
+    distinct = scratch.keep(rows.select("bits").distinct())
+    alike = rows.select("node", "bits").distinct().join(simhash.components(distinct, scratch, radius), "bits")
+    least = alike.groupBy("component").agg(F.min("node").alias("b"))
+    edges = alike.join(least, "component").select(F.col("node").alias("a"), "b").where("a <> b")
+    links = similar_texts(some, rows, scratch, similar)
+    component = connected_components(scratch.keep(edges).unionByName(links), scratch)
+    # Only the text that was compared stands for its node.
+    proofs = rows.groupBy("node").agg(F.min("proof").alias("proof"))
+    known = rows.groupBy("doc_id", "node", "proof").agg(F.count("*").alias("n")).join(proofs, ["node", "proof"])
+    known = known.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = known.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    told = known.join(first, "component").withColumn("stays", F.expr("doc_id = first.doc_id AND node = first.node"))
+    marked = scratch.keep(told.where("n > 1 OR NOT stays").select("doc_id", "node", "proof", "stays"))
+    return _without(docs, marked)
+
+
+def _without(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """`docs` less the rows that are marked, and of several that are marked to stay all but one.
+
+    Only rows that a filter of fixed size does not clear of a mark are moved. Columns stand in one struct meanwhile, so
+    that no name can clash.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    other = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))).alias("other")
+    node = F.shiftrightunsigned(F.xxhash64("text"), 64 - linededup._NODE_BITS).alias("node")
+    named = docs.select(whole, F.col("doc_id").alias("d"), node, F.xxhash64("text", F.lit(1)).alias("p"), other)
+    asked, clear = linededup.asked_and_clear(named, marked.select("node"))
+    told = asked.join(marked.withColumnRenamed("node", "m"), F.expr("d = doc_id AND node = m AND p = proof"), "left")
+    free = told.where("stays IS NULL").select("row")
+    one = told.where("stays").groupBy("d", "m", "p").agg(F.min_by("row", "other").alias("row")).select("row")
+    kept = clear.select("row").unionByName(free).unionByName(one)
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

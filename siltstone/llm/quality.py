@@ -91,11 +91,18 @@ class Classifier:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) -> Classifier:
-    """Logistic regression by accelerated gradient steps; every fifth row calibrates it. Scales `x` in place."""
+    """Logistic regression by accelerated gradient steps; every fifth row calibrates it. Scales `x` in place.
+
+    Without rows of both qualities there is nothing to tell apart, and every text is good. Where the rows to fit or to
+    calibrate on would lack one of them, all rows do both.
+    """
     y = np.asarray(y, np.float64)
-    held = np.arange(len(y)) % 5 == 4
-    if len(y) < 20 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+    if len(set(y)) < 2:
         return Classifier(np.zeros(x.shape[1]), 20.0)
+    held = np.arange(len(y)) % 5 == 4
+    fitted = ~held
+    if len(set(y[held])) < 2 or len(set(y[fitted])) < 2:
+        held = fitted = np.ones(len(y), bool)
     n = x.shape[1]
     middle, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-5
     # In place: the matrix is the largest thing that the driver holds.
@@ -103,7 +110,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) ->
     x /= (scale * np.sqrt(n)).astype(np.float32)
     most = np.float32(5 / np.sqrt(n))
     np.clip(x, -most, most, out=x)
-    tz, ty = x[~held], y[~held]
+    tz, ty = x[fitted], y[fitted]
     # Both classes weigh the same; the calibration brings the real share back.
     balance = np.where(ty == 1, 0.5 / ty.mean(), 0.5 / (1 - ty.mean()))
     w, b = np.zeros(n, np.float32), 0.0
@@ -124,7 +131,10 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
-    """Fit on at most `rows` labelled documents; without labels of both qualities every text is good."""
+    """Fit on at most `rows` labelled documents; without labels of both qualities every text is good.
+
+    Labels without a doc_id, with a quality other than 0 and 1 or of documents that are not there are left out.
+    """
     chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").alias("good"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(rows)
     # At most `rows` rows of two numbers: small at any size of the input.
@@ -181,7 +191,11 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns; each row is judged by its own text."""
+    """The rows of `docs` that `judge` keeps, with all their columns, whatever their names and types.
+
+    Each row is judged by its own whole text, whatever its doc_id. Null and empty texts go; repeated rows stay or go
+    together; an empty table stays empty, and without labels of both qualities the fixed rules alone decide.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
 
     def run(batches):

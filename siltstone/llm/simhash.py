@@ -9,7 +9,7 @@ bucket is cut into chunks, and each pair of chunks is a task's work of bounded s
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations, pairwise
 
 import numpy as np
@@ -212,6 +212,13 @@ def links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
     return dealt.mapInArrow(_compare(radius, group), "a long, b long")
 
 
+def components(distinct: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
+    """(bits, component) of every fingerprint of `distinct` (column bits, kept); a component is named by one of them."""
+    found = connected_components(links(distinct.select("bits"), distinct.count(), radius), scratch)
+    joined = distinct.select("bits").join(found.withColumnRenamed("node", "bits"), "bits", "left")
+    return joined.select("bits", F.coalesce("component", "bits").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -226,36 +233,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     scratch = Scratch(spark, "simhash")
     prints = scratch.keep(fingerprints(docs, width))
     distinct = scratch.keep(prints.groupBy("bits").agg(F.min("doc_id").alias("first")))
-    component = connected_components(links(distinct.select("bits"), distinct.count(), radius), scratch)
-    joined = distinct.join(component.withColumnRenamed("node", "bits"), "bits", "left")
-    joined = joined.select("bits", "first", F.coalesce("component", "bits").alias("component"))
+    joined = distinct.join(components(distinct, scratch, radius), "bits")
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     named = scratch.keep(joined.join(smallest, "component").select("bits", "component_id"))
     return prints.join(named, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, radius: int = 4, width: int = 4, merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The rows of `docs` without those whose component has a smaller doc_id.
-
-    Rows without a doc_id all stay: nothing names them. Of rows that repeat both a kept doc_id and its text one stays,
-    the first by its other columns. Extra columns pass through, whatever their names. `merge` may join components: of
-    (doc_id, first) it makes the same with their smallest doc_id.
-    """
-    found = near_duplicates(docs.where("doc_id IS NOT NULL"), radius, width)
-    found = found.groupBy("doc_id").agg(F.min("component_id").alias("first"))
-    found = (merge(found) if merge else found).where("doc_id = first")
-    kept = found.select(F.col("doc_id").alias("__kept"))
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    text = F.md5("text").alias("__text")
-    again = named.groupBy("doc_id", text).count().where("count > 1")
-    again = again.select(F.col("doc_id").alias("__again"), "__text")
-    same = (F.col("doc_id") == F.col("__again")) & F.md5("text").eqNullSafe(F.col("__text"))
-    first = F.min(F.struct(*docs.columns)).alias("__row")
-    several = named.join(again, same, "left_semi").groupBy("doc_id", text).agg(first)
-    return (
-        docs.where("doc_id IS NULL")
-        .unionByName(named.join(again, same, "left_anti"))
-        .unionByName(several.select("__row.*"))
-    )

@@ -10,7 +10,7 @@ from zlib import crc32
 import pytest
 import xxhash
 
-from siltstone.llm import decontaminate, html, licenses, linededup, lm, mixing, pii, quality, secrets, simhash
+from siltstone.llm import decontaminate, html, licenses, linededup, lm, mixing, neardup, pii, quality, secrets, simhash
 from siltstone.session import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -604,10 +604,75 @@ def test_links_lose_nothing(spark, radius, monkeypatch):
 
 
 def test_keep_one(awkward, docs):
-    rows = Counter((r.doc_id, r.text) for r in simhash.keep_one(awkward).collect())
+    rows = Counter((r.doc_id, r.text) for r in neardup.keep_one(awkward).collect())
     assert rows[5, "one two three four five"] == 1 and (6, "one two three four five") not in rows
-    assert rows[1, None] == 1 and (2, "") not in rows and sum(k[0] is None for k in rows) == 1
-    assert simhash.keep_one(empty(docs)).count() == 0 and simhash.near_duplicates(empty(docs)).count() == 0
+    assert rows[1, None] == 1 and (2, "") not in rows and sum(k[0] is None for k in rows) == sum(r.doc_id is None for r in awkward.collect())
+    assert neardup.keep_one(empty(docs)).count() == 0 and simhash.near_duplicates(empty(docs)).count() == 0
+
+
+def test_keep_one_loses_no_text_of_a_shared_doc_id(spark):
+    import random
+
+    draw = random.Random(11)
+    a, b = (" ".join("".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(60)) for _ in range(2))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(3, a, {"k": 1}, 1), (5, a, {}, 2), (5, b, None, 3), (5, b, {"k": 2}, 3), (7, near, {}, 4), (7, a, {}, 5), (None, a, {}, 6)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>, __kept int")
+    out = neardup.keep_one(made)
+    assert out.columns == made.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(3, a), (5, b), (0, a)])
+
+
+def test_stages_on_awkward_rows_and_columns(spark, awkward, docs):
+    bench = spark.createDataFrame([(1, "one two three four five"), (None, "nobody"), (2, None)], "item_id long, text string")
+    labels = table(spark, SMALL, "labels")
+    rows = [(None, "one two three four five"), (None, "clean"), (5, "clean too"), (5, "so One, two three four FIVE it is"), (6, None), (6, "")]
+    made = spark.createDataFrame([(*r, "s", {"a": 1}, 1, 2, 3) for r in rows], "doc_id long, text string, source string, more map<string,int>, __bad int, __doc int, taken int")
+    out = decontaminate.drop_contaminated(made, bench)
+    assert out.columns == made.columns and {(r.doc_id, r.text) for r in out.collect()} == set(rows) - {rows[0], rows[3]}
+    assert Counter(map(repr, decontaminate.drop_contaminated(made, bench, block_bytes=1).collect())) == Counter(map(repr, out.collect()))
+    assert decontaminate.drop_contaminated(made, bench.limit(0)).count() == 6
+    mixed = mixing.mixed_documents(made)
+    assert set(mixed.columns) == set(made.columns) and {r.text for r in mixed.collect()} <= {r[1] for r in rows if r[1]}
+    good = quality.keep_good(made, labels)
+    assert good.columns == made.columns and good.count() == 0
+    frame = docs.withColumn("taken", docs.doc_id)
+    assert 0 < quality.keep_good(frame, labels).count() < frame.count()
+    for f in (lambda x: decontaminate.drop_contaminated(x, bench), mixing.mixed_documents, lambda x: quality.keep_good(x, labels)):
+        assert f(empty(docs)).count() == 0 and set(docs.columns) <= set(f(awkward).columns)
+
+
+def test_mixed_words_are_those_of_the_mix(spark, docs):
+    want = {(r.doc_id, r.version): r.taken for r in mixing.mix(docs).collect() if r.taken}
+    got = mixing.mixed_documents(docs).selectExpr("doc_id", "xxhash64(text) v", "taken").collect()
+    assert {(r.doc_id, r.v): r.taken for r in got} == want
+
+
+def test_mix_takes_documents_by_their_keys(docs):
+    """The selection by a plain sort and running sum."""
+    import math as m
+
+    texts = {(r.doc_id, r.v): (r.w, r.u) for r in docs.selectExpr("doc_id", "xxhash64(text) v", "xxhash64(doc_id, xxhash64(text), 0) u", "text").withColumn("w", mixing.quality_weight(docs.text)).collect()}
+    rows = mixing.mix(docs).collect()
+    by = defaultdict(list)
+    for r in rows:
+        w, u = texts[r.doc_id, r.version]
+        by[r.source].append((-m.log((((u & (2**64 - 1)) >> 11) + 1.0) / 2**53) / w, r.doc_id, r.size, r))
+    for held in by.values():
+        goal, size = round(held[0][3].target), held[0][3].source_size
+        epochs, left = divmod(goal, size) if size else (0, 0)
+        for _, _, n, r in sorted(held, key=lambda x: x[:3]):
+            part = min(n, left)
+            assert r.taken == epochs * n + part
+            left -= part
+
+
+def test_few_labels_train_too():
+    import numpy as np
+
+    x = np.array([quality.shares(t) for t in ("good words here", "#### $$$$") * 4])
+    model = quality.fit(x, np.array([1, 0] * 4))
+    assert model.raw("good words here") > model.raw("#### $$$$")
 
 
 def test_stage_finds_near_copies_by_shingles(spark):
