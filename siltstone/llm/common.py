@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -75,3 +77,26 @@ def spread(counts: np.ndarray) -> np.ndarray:
     """0..n-1 for each n in counts, end to end."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+class Taken:
+    """Spans of a text that are spoken for, as disjoint intervals in order, so that a look-up does not scan them."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def take(self, start: int, end: int) -> bool:
+        """Whether the span overlaps none that is taken; if so, it is taken from now on."""
+        at = bisect_right(self.ends, start)
+        if at < len(self.starts) and self.starts[at] < end:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(bisect_left(self.ends, end), end)
+        return True

@@ -29,6 +29,8 @@ DOUBT = 0.1
 #: Elements by what HTML makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "template", "noscript", "iframe", "svg", "textarea", "title", "select", "button", "math", "object", "canvas", "head")
+#: Elements whose text is not a page's even if they are never closed, and those that hold none of their kind.
+CODE, FLAT = frozenset(("script", "style")), frozenset(("select", "button", "textarea", "title"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img br input label".split())
 ARTICLE = frozenset(("article", "main"))
 BOILER = frozenset(("nav", "aside", "footer", "form", "dialog", "menu"))
@@ -46,7 +48,7 @@ DOUBTFUL = frozenset(
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>=]|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
@@ -71,6 +73,28 @@ def _announced(rest: str) -> tuple[bool, bool]:
     return False, doubtful
 
 
+_CLOSES = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
+_OPENS = {tag: re.compile(rf"<{tag}(?=[\s/>])", re.I) for tag in FLAT}
+_BODY = re.compile(r"(?=<body\b)", re.I)
+
+
+def _after(html: str, tag: str, at: int, open_ended: set[str]) -> int:
+    """Where reading goes on after an element that opened just before `at` and whose content is no text of the page.
+
+    One that is never closed, or not before the next of its kind opens, has no content, unless it is code.
+    `open_ended` collects the kinds that close nowhere in the rest, so that they are looked for once.
+    """
+    end = None if tag in open_ended else _CLOSES[tag].search(html, at)
+    if end is None:
+        open_ended.add(tag)
+        if tag == "head":
+            end = _BODY.search(html, at)
+        return end.end() if end else len(html) if tag in CODE else at
+    if tag in FLAT and _OPENS[tag].search(html, at, end.start()):
+        return at
+    return end.end()
+
+
 def events(html: str):
     """("tag", name, is_close) and ("text", string, where) in page order; where is (kind, in_article).
 
@@ -81,6 +105,7 @@ def events(html: str):
     link = False
     heading = lists = 0
     at, n = 0, len(html)
+    open_ended: set[str] = set()
     while at < n:
         m = _TOKEN.match(html, at)
         at = m.end()
@@ -94,10 +119,7 @@ def events(html: str):
         tag, rest = m["tag"].lower(), m["rest"]
         if tag in RAW and not m["close"]:
             if not rest.endswith("/"):
-                end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
-                if tag == "head" and not end:
-                    end = re.compile(r"(?=<body\b)", re.I).search(html, at)
-                at = end.end() if end else n
+                at = _after(html, tag, at, open_ended)
             yield "tag", tag, False
             continue
         if tag == "a":
@@ -194,6 +216,23 @@ def learn(pages: DataFrame, most: int = TRAIN_PAGES) -> dict[str, float]:
     return weights
 
 
+def best_region(tags: list[float], words: list[float]) -> tuple[int, int]:
+    """The contiguous blocks (start, end) with the largest positive sum of their words' scores and of those of the tags
+    between them; tags[i], 0 or less, stand before block i. (0, 0) if no sum is positive."""
+    best = total = 0.0
+    start, region = 0, (0, 0)
+    for i, (before, score) in enumerate(zip(tags, words, strict=True)):
+        total += before
+        if total <= 0:
+            total, start = 0.0, i
+        total += score
+        if total <= 0:
+            total, start = 0.0, i + 1
+        elif total > best:
+            best, region = total, (start, i + 1)
+    return region
+
+
 def extract(html: str | None, weights: dict[str, float]) -> str:
     """The article's blocks, one a line; empty if there is none."""
     if not html:
@@ -236,24 +275,18 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
             if value == "br":
                 parts.append((parts[-1][0] if parts else "plain", " "))
             tags += weights["<inline>"]
+        elif value in RAW and value not in ("head", "title"):
+            tags += weights.get(f"<{value}>", other)  # stands inside a block and does not end it
         else:
             flush()
             tags += weights.get(f"<{value}>", other)
     flush()
     # On a page that marks its article the mark weighs in: words outside count against a region, words inside for it.
-    best = total = 0.0
-    start, region = 0, (0, 0)
-    for i, (text, score, in_article, sure) in enumerate(blocks):
-        if marked:
-            score = score + MARK * sure if in_article else -MOST * max(1, len(text.split()))
-        total += scores[i]
-        if total <= 0:
-            total, start = 0.0, i
-        total += score
-        if total <= 0:
-            total, start = 0.0, i + 1
-        elif total > best:
-            best, region = total, (start, i + 1)
+    if marked:
+        words = [score + MARK * sure if a else -MOST * max(1, len(t.split())) for t, score, a, sure in blocks]
+    else:
+        words = [score for _, score, _, _ in blocks]
+    region = best_region(scores, words)
     # A region may reach over what stands between two marked articles.
     return "\n".join(t for t, _, a, _ in blocks[slice(*region)] if t and (a or not marked))
 
@@ -262,7 +295,8 @@ def main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> Data
     """One row per row of `pages`: page_id, url, text, n_chars (code points).
 
     A null or empty html, and a page without an article, give an empty text. Pages cut off anywhere give what stands
-    before the cut. Repeated rows give equal rows; other columns are ignored.
+    before the cut; pages of any length are read whole in one pass. Repeated rows give equal rows; other columns are
+    ignored; an empty table gives no rows.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights or learn(pages))
 

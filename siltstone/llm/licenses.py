@@ -38,7 +38,7 @@ NOTICES = {
 }
 #: First parts of SPDX identifiers and their labels.
 FAMILIES = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "gfdl": "gfdl", "apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "eupl": "eupl", "bsl": "bsl", "isc": "isc", "artistic": "artistic", "zlib": "zlib", "unlicense": "unlicense", "cc0": "cc0", "cc": "cc", "0bsd": "bsd"}
-BASE_SURE, TAG_SURE = 0.9, 1.0
+BASE_SURE, TAG_SURE, CHOICE_SURE = 0.9, 1.0, 0.95
 
 _TAG = re.compile(r"(?<![A-Za-z0-9])SPDX-License-Identifier:[ \t]*([^\r\n]+)", re.I | re.A)
 _PART = re.compile(r"\s*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+:-]*))", re.A)
@@ -65,18 +65,20 @@ def to_postfix(expression: str) -> list[str]:
     """
     out: list[str] = []
     waiting: list[str] = []
-    operand = False  # whether one stands just before
-    good: list[str] = []
+    operand, depth = False, 0  # whether one stands just before; open brackets
+    good: tuple[int, list[str]] = (0, [])
     at = 0
     while m := _PART.match(expression, at):
         at = m.end()
         word = (m[1] or m[2]).lower()
         if word == "(" and not operand:
             waiting.append(word)
-        elif word == ")" and operand and "(" in waiting:
+            depth += 1
+        elif word == ")" and operand and depth:
             while waiting[-1] != "(":
                 out.append(waiting.pop())
             waiting.pop()
+            depth -= 1
         elif word in _RANK and operand:
             while waiting and waiting[-1] != "(" and _RANK[waiting[-1]] >= _RANK[word]:
                 out.append(waiting.pop())
@@ -87,40 +89,36 @@ def to_postfix(expression: str) -> list[str]:
             operand = True
         else:
             break
-        if operand and "(" not in waiting:
-            good = out + waiting[::-1]
-    return good
+        if operand and not depth:
+            good = len(out), waiting[::-1]  # one of each rank at most
+    return out[: good[0]] + good[1]
 
 
-def named(postfix: list[str]) -> set[str]:
-    """The licences of the whole expression, without exceptions."""
-    stack: list[set[str]] = []
-    for word in postfix:
-        if word not in _RANK:
-            stack.append({word})
-            continue
-        right = stack.pop()
-        if word != "with":
-            stack[-1] |= right
-    return stack[0] if stack else set()
-
+def evaluate(postfix: list[str]) -> tuple[set[str], set[str]]:
+    """The licences that an expression names, and those of them that it needs whatever is chosen.
 
-def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The sets of licences that each satisfy the expression; of more than 256, the first, as they double with each choice."""
-    stack: list[list[frozenset[str]]] = []
+    A licence with an exception is one of its own, named after both. The smaller set always joins the larger.
+    """
+    stack: list[tuple[set[str], set[str]]] = []
     for word in postfix:
         if word not in _RANK:
-            stack.append([frozenset([word])])
+            stack.append(({word}, {word}))
             continue
-        right, left = stack.pop(), stack.pop()
-        if word == "or":
-            made = left + right
-        elif word == "and":
-            made = [a | b for a in left for b in right]
+        (named, needed), (other, wanted) = stack.pop(), stack.pop()
+        if word == "with":
+            named, needed = ({f"{x} with {y}" for x in left for y in right} for left, right in ((other, named), (wanted, needed)))
         else:
-            made = [frozenset(f"{x} with {y}" for x in a for y in b) for a in left for b in right]
-        stack.append(sorted(set(made), key=sorted)[:256])
-    return stack[0] if stack else []
+            named = _union(named, other)
+            needed = _union(needed, wanted) if word == "and" else needed & wanted
+        stack.append((named, needed))
+    return stack[0] if stack else (set(), set())
+
+
+def _union(a: set[str], b: set[str]) -> set[str]:
+    if len(a) < len(b):
+        a, b = b, a
+    a |= b
+    return a
 
 
 def family(identifier: str) -> str | None:
@@ -136,7 +134,7 @@ def scan(text: str | None, phrases: ahocorasick.Automaton) -> dict:
     places: list[int] = []
     base: set[str] = set()
     sure: dict[str, float] = {}
-    tagged, options = False, []
+    tagged, expressions = False, []
     last = count = 0
     for end, (kind, label, how_sure, length) in phrases.iter(joined):
         if kind == "tag":
@@ -145,7 +143,7 @@ def scan(text: str | None, phrases: ahocorasick.Automaton) -> dict:
         if kind == "base":
             start = end - length + 1
             # Hits come in the order of their ends, so starts may step back a little.
-            count = count + joined.count(" ", last, start) if start >= last else joined.count(" ", 0, start)
+            count = count + joined.count(" ", last, start) if start >= last else count - joined.count(" ", start, last)
             last = start
             places.append(count)
             base.add(label)
@@ -153,11 +151,13 @@ def scan(text: str | None, phrases: ahocorasick.Automaton) -> dict:
     if tagged:
         for m in _TAG.finditer(text):
             postfix = to_postfix(m[1])
-            options.append([sorted(o) for o in evaluate(postfix)])
-            for name in named(postfix):
+            names, needed = evaluate(postfix)
+            if postfix:
+                expressions.append({"postfix": postfix, "needed": sorted(needed)})
+            for name in names:
                 label = family(name)
                 if label:
-                    sure[label] = max(sure.get(label, 0.0), TAG_SURE)
+                    sure[label] = max(sure.get(label, 0.0), TAG_SURE if name in needed else CHOICE_SURE)
     miss = 1.0
     for s in sure.values():
         miss *= 1.0 - s
@@ -169,19 +169,22 @@ def scan(text: str | None, phrases: ahocorasick.Automaton) -> dict:
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(base | set(sure))),
         "score": 1.0 - miss,
-        "options": options,
+        "expressions": expressions,
     }
 
 
-_FIELDS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, options array<array<array<string>>>"
+_FIELDS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<struct<postfix:array<string>,needed:array<string>>>"
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, options.
-
-    options holds, for each SPDX tag, the sets of identifiers that satisfy its expression; a malformed tag has none.
-    score is the chance that any finding is right, as if findings were independent; 0 without findings. A null or
-    empty text has no words and null places. Repeated rows give equal rows; other columns are ignored.
+    """One row per row of `docs`: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score,
+    expressions.
+
+    expressions has each SPDX tag's expression, read to the end of its line, in postfix order, and the licences that it
+    needs whatever is chosen; a malformed tag has none. Every licence that an expression offers is a label; one that is
+    a choice among others is a little less sure. score is the chance that any finding is right, as if findings were
+    independent; 0 without findings. A null or empty text has no words and null places. Texts of any length are read
+    whole in one pass. Repeated rows give equal rows; other columns are ignored; an empty table gives no rows.
     """
 
     def make():

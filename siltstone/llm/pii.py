@@ -8,6 +8,7 @@ trained here on labelled candidates written by `labelled_candidates`, which need
 from __future__ import annotations
 
 import re
+from functools import cache
 from hashlib import sha256
 from random import Random
 
@@ -16,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.boosting import Boosted
-from siltstone.llm.common import map_rows
+from siltstone.llm.common import Taken, map_rows
 
 #: The kinds of the base, in their order, and of the method.
 BASE = ("email", "ip", "card", "phone")
 MORE = ("email_spelled", "phone_national", "ssn", "iban", "card_spaced")
-#: Labelled candidates to train on, and the calibrated probability from which a candidate is personal data.
-TRAIN_ROWS, THRESHOLD = 6000, 0.9
+#: Labelled candidates to train on, the share of a kind's selected candidates that must be right on unseen ones, and the
+#: least calibrated probability of any: written candidates are easier to tell apart than those of real texts.
+TRAIN_ROWS, PRECISION, LEAST = 6000, 0.97, 0.8
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,7 +33,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}(?: ?[\[({] ?dot ?[\])}] ?[A-Za-z0-9-]{1,63}| ?\. ?[A-Za-z0-9-]{1,63}){1,4}", re.I | re.A)
+_AT = re.compile(r" ?[\[({] ?at ?[\])}] ?", re.I | re.A)
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?: ?[\[({] ?dot ?[\])}] ?[A-Za-z0-9-]+| ?\. ?[A-Za-z0-9-]+)+", re.I | re.A)
+#: Numbers have 7 to 19 digits and IBANs up to 34 characters by their formats; a longer run is neither.
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.+#/-])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _WORDS_BEFORE = re.compile(r"[a-z]+")
@@ -94,8 +98,16 @@ def _iban_checks(s: str) -> bool:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """High-recall proposals of the method's kinds; several kinds may propose one span."""
     out = []
-    if "at" in text and ("[" in text or "(" in text or "{" in text):
-        out += [("email_spelled", *m.span()) for m in _SPELLED.finditer(text)]
+    if ("[" in text or "(" in text or "{" in text):
+        end = 0
+        for m in _AT.finditer(text):
+            start = m.start()
+            while start > end and text[start - 1] in _LOCAL:
+                start -= 1
+            found = _SPELLED_DOMAIN.match(text, m.end()) if start < m.start() else None
+            if found:
+                out.append(("email_spelled", start, found.end()))
+                end = found.end()
     for m in _NUMBER.finditer(text):
         n = len(_digits(m.group()))
         if n == 9:
@@ -199,11 +211,28 @@ def labelled_candidates(n: int, seed: int = 7) -> tuple[list[list[float]], list[
     return x, y
 
 
+@cache
 def train(rows: int = TRAIN_ROWS, seed: int = 7) -> Boosted:
+    """The trees, trained once a process."""
     return Boosted().fit(*map(np.array, labelled_candidates(rows, seed)))
 
 
-def all_spans(text: str | None, model: Boosted, threshold: float = THRESHOLD) -> tuple[list, list]:
+@cache
+def thresholds(precision: float = PRECISION, rows: int = TRAIN_ROWS, seed: int = 7) -> dict[str, float]:
+    """For each kind the least probability, LEAST or more, from which unseen candidates are this often right."""
+    x, y = map(np.array, labelled_candidates(rows, seed + 1))
+    p = train(rows, seed).probability(x)
+    out = {}
+    for k, kind in enumerate(MORE):
+        own = x[:, k] == 1
+        order = np.argsort(-p[own], kind="stable")
+        right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
+        good = np.flatnonzero(right >= precision)
+        out[kind] = max(LEAST, float(p[own][order][good[-1]])) if len(good) else 1.1  # nothing
+    return out
+
+
+def all_spans(text: str | None, model: Boosted, least: dict[str, float]) -> tuple[list, list]:
     """Base spans, and the method's spans that overlap neither them nor a likelier span of the method."""
     if not text:
         return [], []
@@ -212,14 +241,9 @@ def all_spans(text: str | None, model: Boosted, threshold: float = THRESHOLD) ->
     if not proposed:
         return base, []
     p = model.probability([features(k, text, s, e) for k, s, e in proposed])
-    taken = [(s, e) for _, s, e in base]
-    more = []
-    for i in np.argsort(-p, kind="stable"):
-        kind, s, e = proposed[i]
-        if p[i] >= threshold and all(e <= a or s >= b for a, b in taken):
-            more.append((kind, s, e))
-            taken.append((s, e))
-    return base, more
+    taken = Taken((s, e) for _, s, e in base)
+    likely = (proposed[i] for i in np.argsort(-p, kind="stable") if p[i] >= least[proposed[i][0]])
+    return base, [(kind, s, e) for kind, s, e in likely if taken.take(s, e)]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -227,17 +251,17 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (order[x[0]], x[1])))
 
 
-def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """One row per row of `docs`: doc_id, text, spans (kind, start, end in code points, is_base)."""
-    shared = docs.sparkSession.sparkContext.broadcast(train())
+    shared = docs.sparkSession.sparkContext.broadcast((train(), thresholds(precision)))
 
     def make():
-        model = shared.value
+        model, least = shared.value
 
         def each(cols):
             spans = []
             for text in cols["text"]:
-                base, more = all_spans(text, model, threshold)
+                base, more = all_spans(text, model, least)
                 spans.append([{"kind": k, "start": s, "end": e, "base": b} for part, b in ((base, True), (more, False)) for k, s, e in part])
             return {"doc_id": cols["doc_id"], "text": cols["text"], "spans": spans}
 
@@ -247,21 +271,21 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), schema, make)
 
 
-def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def report(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """One row per row of `docs`: doc_id, counts of the base kinds, base_sha256, spans.
 
-    A null or empty text has no spans: counts 0, the hash of the empty string and an empty list. Repeated rows give
-    equal rows. Other columns are ignored.
+    A null or empty text has no spans: counts 0, the hash of the empty string and an empty list. Texts of any length are
+    read whole. Repeated rows give equal rows; other columns are ignored; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train())
+    shared = docs.sparkSession.sparkContext.broadcast((train(), thresholds(precision)))
 
     def make():
-        model = shared.value
+        model, least = shared.value
 
         def each(cols):
             out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
             for text in cols["text"]:
-                base, more = all_spans(text, model, threshold)
+                base, more = all_spans(text, model, least)
                 for kind in BASE:
                     out[f"n_{kind}"].append(sum(k == kind for k, _, _ in base))
                 out["base_sha256"].append(sha256(joined(base).encode()).hexdigest())
@@ -274,9 +298,9 @@ def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), schema, make)
 
 
-def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """(doc_id, text, n_redacted): every span replaced by its kind in angle brackets; of overlapping spans the first."""
-    found = find(docs, threshold)
+    found = find(docs, precision)
 
     def make():
         def each(cols):

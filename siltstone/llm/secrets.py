@@ -14,13 +14,14 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import map_rows
+from siltstone.llm.common import Taken, map_rows
 from siltstone.session import Scratch
 
 #: The kinds of the base, in their order, and of the method.
 BASE = ("assign", "access", "hex")
 MORE = ("private_key", "jwt", "github", "slack", "google", "stripe", "url_password", "entropy")
-#: A value held by more owners or repositories than this is an example.
+#: A value held by more owners than this is an example, and so is one of several owners in more repositories than this.
+#: What one owner alone holds is that owner's, in however many repositories.
 MOST_OWNERS, MOST_REPOSITORIES = 2, 3
 #: Bits per character from which a long mixed token is a candidate, and its least length.
 ENTROPY, LENGTH = 4.0, 24
@@ -29,13 +30,15 @@ _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']? *[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _MORE = {
-    "private_key": re.compile(r"-----BEGIN (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}-----END (?:[A-Z]{2,12} ){0,2}PRIVATE KEY-----"),
+    "private_key": re.compile(
+        r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----\s*+(?:[A-Za-z-]+: [^\n]*\n\s*+)*+[A-Za-z0-9+/=\s]{32,}+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    ),
     "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    "github": re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,251}|github_pat_[A-Za-z0-9_]{60,244})"),
-    "slack": re.compile(r"(?<![A-Za-z0-9_])xox[abeoprs]-[A-Za-z0-9-]{10,250}"),
+    "github": re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{60,})"),
+    "slack": re.compile(r"(?<![A-Za-z0-9_])xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     "google": re.compile(r"(?<![A-Za-z0-9_])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"),
-    "stripe": re.compile(r"(?<![A-Za-z0-9_])[rs]k_live_[A-Za-z0-9]{16,247}"),
-    "url_password": re.compile(r"(?<=://)[A-Za-z0-9._%-]{1,64}:[^\s:@/\"'<>]{6,128}(?=@[A-Za-z0-9])"),
+    "stripe": re.compile(r"(?<![A-Za-z0-9_])[rs]k_live_[A-Za-z0-9]{16,}"),
+    "url_password": re.compile(r"(?<=://)[A-Za-z0-9._%-]+:[^\s:@/\"'<>]{6,}(?=@[A-Za-z0-9])"),
 }
 _HINTS = {"private_key": "PRIVATE KEY", "jwt": "eyJ", "github": "gh", "slack": "xox", "google": "AIza", "stripe": "k_live_", "url_password": "://"}
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
@@ -65,15 +68,10 @@ def _mixed(s: str) -> bool:
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The method's spans that overlap no base span and no earlier kind's."""
-    taken = [(s, e) for _, s, e in base]
-    out = []
+    taken = Taken((s, e) for _, s, e in base)
     found = [(k, *m.span()) for k, p in _MORE.items() if _HINTS[k] in text for m in p.finditer(text)]
     found += [("entropy", *m.span()) for m in _LONG.finditer(text) if _mixed(m.group()) and _bits(m.group()) >= ENTROPY]
-    for kind, s, e in found:
-        if all(e <= a or s >= b for a, b in taken):
-            out.append((kind, s, e))
-            taken.append((s, e))
-    return out
+    return [(kind, s, e) for kind, s, e in found if taken.take(s, e)]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -128,8 +126,10 @@ def report(
     """One row per row of `docs`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     By default a document's source is its owner, and source and language together its repository. spans has the base
-    spans and the candidates that few hold; n_live and n_example count base hits and candidates by how many hold them. A null or empty text has none. Repeated rows give equal rows, as rows that
-    agree in everything stand together while candidates are looked up. Other columns are ignored.
+    spans and the candidates that few hold; n_live and n_example count base hits and candidates by how many hold them. A
+    null or empty text has none; texts of any length are read whole, and their secrets may have any length. Repeated
+    rows give equal rows, as rows that agree in everything stand together while candidates are looked up. A null owner
+    or repository is one of its own. Other columns are ignored; an empty table gives no rows.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
@@ -139,7 +139,8 @@ def report(
     plain = rows.where("size(more) = 0").select("doc_id", *counts, "base_sha256", _spans(F.col("base")), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
     alike = rows.where("size(more) > 0").groupBy("doc_id", *counts, "base_sha256", "base", "more").agg(F.count("*").alias("copies"))
     each = alike.select("*", F.explode("more").alias("one"))
-    common = ownership(rows).where((F.col("owners") > most_owners) | (F.col("repositories") > most_repositories))
+    widely = (F.col("owners") > most_owners) | ((F.col("owners") > 1) & (F.col("repositories") > most_repositories))
+    common = ownership(rows).where(widely)
     looked = each.join(common.select(F.col("hash").alias("known")), F.col("one.hash") == F.col("known"), "left")
     told = F.when(F.col("known").isNull(), F.concat_ws(":", "one.kind", "one.start", "one.end"))
     live = looked.groupBy("doc_id", *counts, "base_sha256", "base", "more", "copies").agg(F.collect_list(told).alias("live"))
