@@ -34,7 +34,7 @@ CLOSE = 9
 #: Nodes in a chunk of a large bucket.
 CHUNK = 256
 #: Words of 64 bits in the set that bounds the similarity of two lines before they are compared.
-WORDS = 64
+WORDS = 48
 #: Bits, as a power of two, of the filter that holds back lines which nobody asks for; its size is fixed.
 FILTER_BITS = 24
 _NODE_BITS = 58
@@ -170,30 +170,39 @@ def with_partners(held: DataFrame) -> DataFrame:
 
 
 def marks_of(texts: DataFrame) -> DataFrame:
-    """(node, size, w0, w1, ...): the number of a line's shingles, and a set of bits with one for each of them."""
+    """(node, size, bits): the number of a line's shingles, and a set of bits, in words, with one for each of them."""
     wide = texts.select("node", F.encode("line", "UTF-32").alias("wide"))
     size = F.greatest(F.floor(F.length("wide") / 4).cast("int") - SHINGLE + 1, F.lit(1))
     dealt = wide.select("node", "wide", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
     each = dealt.select("node", "size", F.hash(F.substring("wide", F.col("at") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
-    each = each.select("node", "size", F.expr("shiftleft(1L, h & 63)").alias("bit"), F.expr(f"shiftright(h, 6) & {WORDS - 1}").alias("word"))
-    sets = (F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(WORDS))
-    return each.groupBy("node").agg(F.max("size").alias("size"), *sets)
+    each = each.select("node", "size", F.expr("shiftleft(1L, h & 63)").alias("bit"), F.expr(f"pmod(shiftright(h, 6), {WORDS})").alias("word"))
+    sets = (F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")) for k in range(WORDS))
+    return each.groupBy("node").agg(F.max("size").alias("size"), F.array(*sets).alias("bits"))
 
 
 def _may_be_similar(similar: float) -> Column:
     """Whether marks leave it open that two lines are similar: each bit that one of them has alone is a shingle that it
     has alone, so they bound the similarity from above."""
-    only = lambda x, y: sum((F.bit_count(F.col(f"w{k}_{x}").bitwiseAND(F.bitwise_not(f"w{k}_{y}"))) for k in range(WORDS)), F.lit(0))
-    a, b = only("a", "b"), only("b", "a")
-    both = F.least(F.col("size_a") - a, F.col("size_b") - b)
-    return both >= similar * (both + a + b)
 
+    def only(x: str, y: str) -> Column:
+        alone = F.zip_with(f"bits_{x}", f"bits_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(alone, F.lit(0), lambda n, k: n + k)
 
-def other_pairs(held: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members of a bucket that stand in two components and may be similar."""
-    columns = [c for c in marks.columns if c != "node"]
-    x, y, meet = _tiles(held.join(marks, "node"), columns)
-    met = x.join(y, meet & _may_be_similar(similar))
+    # Each count is worked out once.
+    counts = F.array(F.struct(only("a", "b").alias("a"), only("b", "a").alias("b")))
+    both = lambda c: F.least(F.col("size_a") - c["a"], F.col("size_b") - c["b"])
+    return F.transform(counts, lambda c: both(c) >= similar * (both(c) + c["a"] + c["b"]))[0]
+
+
+def other_pairs(held: DataFrame, keys: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members of a bucket that stand in two components and may be similar.
+
+    `keys` are the (node, keys) that buckets were made of: two nodes meet in the first bucket that they share.
+    """
+    named = held.join(keys, "node").where(F.array_contains("keys", F.col("key"))).join(marks, "node")
+    x, y, meet = _tiles(named, ["keys", "size", "bits"])
+    first = F.expr("element_at(array_intersect(keys_a, keys_b), 1) = key_a")
+    met = x.join(y, meet & first & _may_be_similar(similar))
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -269,7 +278,7 @@ def linked(signed: DataFrame, lines: DataFrame, scratch: Scratch, similar: float
     scratch.drop(members)
     if not held.isEmpty():
         more = scratch.keep(texts_of(held.select("node").distinct(), signed, lines))
-        others = scratch.keep(other_pairs(held, marks_of(more), similar))
+        others = scratch.keep(other_pairs(held, signed.select("node", "keys"), marks_of(more), similar))
         rest = scratch.keep(verified(others, more, similar))
         proofs = proofs.unionByName(more.select("node", "proof")).distinct()
         if not rest.isEmpty():

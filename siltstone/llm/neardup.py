@@ -110,12 +110,12 @@ def similar_texts(docs: DataFrame, rows: DataFrame, scratch: Scratch, similar: f
     if held.isEmpty():
         return links
     more = texts_of(held.select("node").distinct())
-    others = scratch.keep(linededup.other_pairs(held, marks_of(more), similar))
+    others = scratch.keep(linededup.other_pairs(held, signed.select("node", "keys"), marks_of(more), similar))
     return links.unionByName(scratch.keep(_similar(others, more, similar)))
 
 
 def marks_of(texts: DataFrame) -> DataFrame:
-    """(node, size, w0, w1, ...): the number of a text's distinct shingles, and a set of bits with one for each."""
+    """(node, size, bits): the number of a text's distinct shingles, and a set of bits, in words, with one for each."""
     words = linededup.WORDS
 
     def make():
@@ -124,12 +124,11 @@ def marks_of(texts: DataFrame) -> DataFrame:
             bits = np.zeros((len(found), words), np.uint64)
             for row, hashes in zip(bits, found, strict=True):
                 np.bitwise_or.at(row, (hashes >> np.uint64(6)) % np.uint64(words), np.uint64(1) << (hashes & np.uint64(63)))
-            out = {"node": cols["node"], "size": [len(h) for h in found]}
-            return out | {f"w{k}": bits[:, k].view(np.int64) for k in range(words)}
+            return {"node": cols["node"], "size": [len(h) for h in found], "bits": list(bits.view(np.int64))}
 
         return each
 
-    return map_rows(texts, "node long, size int, " + ", ".join(f"w{k} long" for k in range(words)), make)
+    return map_rows(texts, "node long, size int, bits array<bigint>", make)
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR, radius: int = 4, width: int = 4) -> DataFrame:

@@ -104,22 +104,25 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) ->
     if len(set(y[held])) < 2 or len(set(y[fitted])) < 2:
         held = fitted = np.ones(len(y), bool)
     n = x.shape[1]
-    middle, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-5
+    middle = x.mean(axis=0, dtype=np.float64)
+    # Some rows at a time, as a copy in double precision would be twice as large as the matrix.
+    spread = sum((np.square(x[at : at + 256] - middle).sum(axis=0) for at in range(0, len(x), 256)), np.zeros(n))
+    scale = np.sqrt(spread / len(x)) + 1e-5
     # In place: the matrix is the largest thing that the driver holds.
     x -= middle.astype(np.float32)
     x /= (scale * np.sqrt(n)).astype(np.float32)
     most = np.float32(5 / np.sqrt(n))
     np.clip(x, -most, most, out=x)
-    tz, ty = x[fitted], y[fitted]
-    # Both classes weigh the same; the calibration brings the real share back.
-    balance = np.where(ty == 1, 0.5 / ty.mean(), 0.5 / (1 - ty.mean()))
+    # Both classes weigh the same; the calibration brings the real share back. Rows that are held out weigh nothing.
+    share = y[fitted].mean()
+    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) * fitted / fitted.sum()
     w, b = np.zeros(n, np.float32), 0.0
     ahead_w, ahead_b = w, b
     rate = 4.0
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(tz @ ahead_w + ahead_b, -40, 40)))
-        g = ((p - ty) * balance / len(ty)).astype(np.float32)
-        next_w = ahead_w - np.float32(rate) * (tz.T @ g + np.float32(ridge) * ahead_w)
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead_w + ahead_b, -40, 40)))
+        g = ((p - y) * balance).astype(np.float32)
+        next_w = ahead_w - np.float32(rate) * (x.T @ g + np.float32(ridge) * ahead_w)
         next_b = ahead_b - rate * float(g.sum())
         speed = k / (k + 3)
         ahead_w, ahead_b = next_w + np.float32(speed) * (next_w - w), next_b + speed * (next_b - b)

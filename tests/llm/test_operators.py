@@ -446,7 +446,8 @@ def test_every_pair_of_a_bucket_meets(spark, monkeypatch):
     component = spark.createDataFrame([(5, 3), (3, 3)], "node long, component long")
     held = linededup.with_partners(linededup.split_members(members, component))
     marks = linededup.marks_of(spark.createDataFrame([(n, "the same line") for n in range(40)], "node long, line string"))
-    pairs = [(r.a, r.b) for r in linededup.other_pairs(held, marks, 0.8).collect()]
+    keys = spark.createDataFrame([(n, [7 + n, 1, 2]) for n in range(40)], "node long, keys array<bigint>")
+    pairs = [(r.a, r.b) for r in linededup.other_pairs(held, keys, marks, 0.8).collect()]
     assert sorted(pairs) == sorted(set(combinations(range(39), 2)) - {(3, 5)})
 
 
@@ -458,7 +459,8 @@ def test_marks_never_hide_similar_lines(spark):
     texts = [x for p in pairs for x in p]
     marks = linededup.marks_of(spark.createDataFrame(list(enumerate(texts)), "node long, line string"))
     held = spark.createDataFrame([(n // 2, n, n, 0, 1) for n in range(len(texts))], "key long, node long, class long, sketch long, chunks long")
-    kept = {r.a // 2 for r in linededup.other_pairs(held, marks, 0.8).collect()}
+    keys = spark.createDataFrame([(n, [n // 2]) for n in range(len(texts))], "node long, keys array<bigint>")
+    kept = {r.a // 2 for r in linededup.other_pairs(held, keys, marks, 0.8).collect()}
     share = [len(grams(x) & grams(y)) / len(grams(x) | grams(y)) for x, y in pairs]
     assert all(i in kept for i, j in enumerate(share) if j >= 0.8)
     assert not any(i in kept for i, j in enumerate(share) if j < 0.7)
