@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -79,6 +80,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_counting(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+        """As keep, and the rows of which `what` is true, counted while they are written."""
+        seen = Observation()
+        made = self.keep(df.observe(seen, F.count_if(what).alias("n")))
+        return made, seen.get["n"]
+
     def path_of(self, df: DataFrame) -> str:
         return df.inputFiles()[0].rsplit("/", 1)[0]
 
