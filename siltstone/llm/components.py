@@ -24,23 +24,23 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         .select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
         .distinct()
     )
-    live = scratch.keep(wide)
+    wide, left = scratch.keep_counting(wide, F.lit(True))
+    live = wide
     rounds: list[DataFrame] = []
-    while not live.isEmpty():
+    while left:
         tree = _flatten(live.groupBy("high").agg(F.min("low").alias("root")).withColumnRenamed("high", "node"), scratch)
         rounds.append(tree)
         high = tree.select(F.col("node").alias("high"), F.col("root").alias("high_root"))
         low = tree.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
         ends = live.join(high, "high", "left").join(low, "low", "left")
         a, b = F.coalesce("high_root", "high"), F.coalesce("low_root", "low")
-        after = scratch.keep(
-            ends.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).where("high <> low").distinct()
+        after, left = scratch.keep_counting(
+            ends.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).where("high <> low").distinct(), F.lit(True)
         )
         scratch.drop(live)
         live = after
-    nodes = wide.select(F.explode(F.array("high", "low")).alias("node")).distinct()
     if not rounds:
-        return nodes.select("node", F.col("node").alias("component"))
+        return wide.select(F.col("high").alias("node"), F.col("low").alias("component"))
     found = rounds[-1]
     for tree in reversed(rounds[:-1]):
         up = found.select(F.col("node").alias("root"), F.col("root").alias("above"))
@@ -51,16 +51,14 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _flatten(tree: DataFrame, scratch: Scratch) -> DataFrame:
-    """Point every node of a forest (node, root) at the root of its tree."""
+    """Point every node of a forest (node, root) at the root of its tree; each pass makes two jumps."""
     tree = scratch.keep(tree)
     for _ in range(_MOST_JUMPS):
         up = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = scratch.keep(
-            tree.join(up, "root", "left").select(
-                "node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")
-            )
-        )
-        moved = not jumped.where("moved").isEmpty()
+        higher = tree.select(F.col("node").alias("above"), F.col("root").alias("top"))
+        far = tree.join(up, "root", "left").join(higher, "above", "left")
+        far = far.select("node", F.coalesce("top", "above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
+        jumped, moved = scratch.keep_counting(far, F.col("moved"))
         scratch.drop(tree)
         tree = jumped.drop("moved")
         if not moved:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.boosting import platt
-from siltstone.llm.common import map_rows, spaced_words
+from siltstone.llm.common import map_rows, release, spaced_words
 
 #: Buckets of each family of n-grams, and labelled rows to train on, at most: those with the smallest hash of doc_id.
 BUCKETS, TRAIN_ROWS = 1024, 4000
@@ -162,7 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
     for row in made.toLocalIterator():
         x[len(y), np.frombuffer(row["places"], np.int16)] = np.frombuffer(row["values"], np.float32)
         y.append(row["good"])
-    return fit(x[: len(y)], np.array(y))
+    made_of = fit(x[: len(y)], np.array(y))
+    del x
+    release()
+    return made_of
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
