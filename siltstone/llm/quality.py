@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.boosting import platt
 from siltstone.llm.common import map_rows, release, spaced_words
+from siltstone.session import Scratch
 
 #: Buckets of each family of n-grams, and labelled rows to train on, at most: those with the smallest hash of doc_id.
 BUCKETS, TRAIN_ROWS = 1024, 4000
@@ -136,7 +137,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) ->
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
     """Fit on at most `rows` labelled documents; without labels of both qualities every text is good.
 
-    Labels without a doc_id, with a quality other than 0 and 1 or of documents that are not there are left out.
+    Labels without a doc_id, with a quality other than 0 and 1 or of documents that are not there are left out; rows that
+    repeat count once.
     """
     chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", F.col("quality").alias("good"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(rows)
@@ -151,21 +153,28 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
                 "doc_id": cols["doc_id"],
                 "good": cols["good"],
                 "places": [a.astype(np.int16).tobytes() for a in at],
-                "values": [v[a].tobytes() for v, a in zip(found, at, strict=True)],
+                "values": [v[a].astype(np.float16).tobytes() for v, a in zip(found, at, strict=True)],
             }
 
         return each
 
     made = map_rows(texts, "doc_id long, good int, places binary, values binary", make, rows=64)
-    made = made.orderBy(F.xxhash64("doc_id"), "doc_id", "places").limit(rows)
-    x, y = np.zeros((rows, 4 * BUCKETS), np.float32), []
+    made = made.withColumn("mark", F.xxhash64("places", "values")).dropDuplicates(["doc_id", "good", "mark"])
+    made = Scratch(docs.sparkSession, "quality").keep(made)
+    # First the order of the rows, then the rows themselves, a partition at a time, into the matrix.
+    order = [F.xxhash64("doc_id"), "doc_id", "mark", "good"]
+    chosen = made.orderBy(*order).limit(rows).select("doc_id", "mark", "good").collect()
+    place = {tuple(r): k for k, r in enumerate(chosen)}
+    x, y = np.zeros((len(place), 4 * BUCKETS), np.float32), np.zeros(len(place))
     for row in made.toLocalIterator():
-        x[len(y), np.frombuffer(row["places"], np.int16)] = np.frombuffer(row["values"], np.float32)
-        y.append(row["good"])
-    made_of = fit(x[: len(y)], np.array(y))
+        k = place.get((row["doc_id"], row["mark"], row["good"]))
+        if k is not None:
+            x[k, np.frombuffer(row["places"], np.int16)] = np.frombuffer(row["values"], np.float16)
+            y[k] = row["good"]
+    model = fit(x, y)
     del x
     release()
-    return made_of
+    return model
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRAIN_ROWS) -> DataFrame:
