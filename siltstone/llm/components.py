@@ -9,6 +9,8 @@ from siltstone.session import Scratch
 
 #: Pointer jumping halves depth each time; so many passes reach any depth below 2**64.
 _MOST_JUMPS = 64
+#: Rows of a step's table to a task: small graphs need not be spread over every partition of a shuffle.
+ROWS = 250_000
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -25,17 +27,19 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         .distinct()
     )
     wide, left = scratch.keep_counting(wide, F.lit(True))
+    # No later table has more than two rows for each edge.
+    parts = 1 + left // ROWS
     live = wide
     rounds: list[DataFrame] = []
     while left:
-        tree = _flatten(live.groupBy("high").agg(F.min("low").alias("root")).withColumnRenamed("high", "node"), scratch)
+        tree = _flatten(live.groupBy("high").agg(F.min("low").alias("root")).withColumnRenamed("high", "node"), scratch, parts)
         rounds.append(tree)
         high = tree.select(F.col("node").alias("high"), F.col("root").alias("high_root"))
         low = tree.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
         ends = live.join(high, "high", "left").join(low, "low", "left")
         a, b = F.coalesce("high_root", "high"), F.coalesce("low_root", "low")
         after, left = scratch.keep_counting(
-            ends.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).where("high <> low").distinct(), F.lit(True)
+            ends.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).where("high <> low").distinct().coalesce(parts), F.lit(True)
         )
         scratch.drop(live)
         live = after
@@ -47,18 +51,18 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         found = tree.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(found)
     # A root is a node that no round hooked; it stands for itself.
     roots = found.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return scratch.keep(found.unionByName(roots).select("node", F.col("root").alias("component")))
+    return scratch.keep(found.unionByName(roots).select("node", F.col("root").alias("component")).coalesce(parts))
 
 
-def _flatten(tree: DataFrame, scratch: Scratch) -> DataFrame:
+def _flatten(tree: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     """Point every node of a forest (node, root) at the root of its tree; each pass makes two jumps."""
-    tree = scratch.keep(tree)
+    tree = scratch.keep(tree.coalesce(parts))
     for _ in range(_MOST_JUMPS):
         up = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
         higher = tree.select(F.col("node").alias("above"), F.col("root").alias("top"))
         far = tree.join(up, "root", "left").join(higher, "above", "left")
         far = far.select("node", F.coalesce("top", "above", "root").alias("root"), F.col("above").isNotNull().alias("moved"))
-        jumped, moved = scratch.keep_counting(far, F.col("moved"))
+        jumped, moved = scratch.keep_counting(far.coalesce(parts), F.col("moved"))
         scratch.drop(tree)
         tree = jumped.drop("moved")
         if not moved:
