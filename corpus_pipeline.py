@@ -2,7 +2,8 @@
 
 Each stage is f(spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the next one's
 docs. All but the last return the columns of `documents`; the last adds `taken`, the words that the mix takes of a
-document, and leaves out documents of which it takes none.
+document, and leaves out documents of which it takes none. Extra columns pass through all stages, texts are read whole,
+and empty tables give empty results; what a stage does with nulls and repeated rows its operator's docstring says.
 """
 
 from __future__ import annotations
@@ -14,22 +15,27 @@ from siltstone.session import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fixed rules and the classifier keep; null and empty texts go. See `quality.keep_good`."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that stand earlier in like form; blank lines stay. See `linededup.dedup_lines`."""
     return linededup.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each set of near copies; rows without a doc_id all stay. See `neardup.keep_one`."""
     return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a window of the benchmark, each judged by its own text. See `decontaminate.drop_contaminated`."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the mix takes words of, with how many as `taken`. See `mixing.mixed_documents`."""
     return mixing.mixed_documents(docs)
 
 
@@ -48,6 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
