@@ -21,6 +21,8 @@ EXTENSIONS = {
     ".rs": "rust",
 }
 #: Directories that are never read.
+#: Short names of languages.
+ALIASES = {"py": "python", "js": "javascript", "ts": "typescript", "rs": "rust"}
 IGNORED_DIRS = (".git", ".hg", ".svn", "node_modules", "target", "vendor", "__pycache__", ".venv", "venv", "dist", "build", ".stack-work")
 #: Combining marks that are composed, and the letters that they compose with.
 MARKS = {
@@ -66,6 +68,12 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, extension(path)), F.lit("python"))
 
 
+def language_named(name: Column) -> Column:
+    """A language by its name or alias, in any case; other names stay as they are, in lower case."""
+    known = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(name)), F.lower(name))
+
+
 def is_source(path: Column) -> Column:
     """Whether the scan reads a path: a known extension, and no ignored directory above it."""
     return extension(path).isin(*EXTENSIONS) & ~F.arrays_overlap(F.split(slashes(path), "/"), F.array(*map(F.lit, IGNORED_DIRS)))

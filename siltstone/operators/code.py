@@ -9,12 +9,12 @@ import ast
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
 from siltstone.functions.digest import TIERS
-from siltstone.operators import graph, resolve
+from siltstone.operators import diff, graph, intern, merkle, resolve
 from siltstone.session import ship
 from siltstone.sources import braced
 from siltstone.sources import python_source as py
@@ -90,6 +90,12 @@ def calls(files: DataFrame) -> DataFrame:
     return _parse_each(files, "path string, caller string, callee string, is_async boolean, times long", make)
 
 
+def arguments(files: DataFrame) -> DataFrame:
+    """(path, caller, callee, place, variable): what calls pass and, at place -1, give back."""
+    make = lambda path, tree, *_: [(path, *r) for r in _of(tree).arguments(tree)] if tree else []
+    return _parse_each(files, "path string, caller string, callee string, place long, variable string", make)
+
+
 def control_flow(files: DataFrame) -> DataFrame:
     """(path, function, src, dst, condition) of every function's blocks."""
 
@@ -144,25 +150,129 @@ def symbol_slice(edges: DataFrame, name: str) -> DataFrame:
     return sides
 
 
-def call_graph(files: DataFrame) -> DataFrame:
-    """(src, dst, calls, is_cross): calls between functions of all files, symbols as module:name.
-
-    A callee is meant by its import, else as a function of its own file, else as the only one of its name.
-    """
+def symbols(files: DataFrame) -> DataFrame:
+    """(symbol, module, path, name) of functions, methods and classes, symbols as module:name."""
     module = text.module_name(F.col("path"))
     defined = declarations(files).where("kind IN ('function', 'method', 'class')")
     full = F.when(F.col("owner") == "", F.col("name")).otherwise(F.concat_ws(".", "owner", "name"))
-    symbols = defined.select(F.concat(module, F.lit(":"), full).alias("symbol"), module.alias("module"), "path", full.alias("name"))
-    bound = imports(files).where("symbol NOT IN ('', '*')").select(F.col("path").alias("i_path"), F.col("bound"), F.regexp_replace("module", r"^\.+", "").alias("i_module"), F.col("symbol").alias("i_name"))
-    made = calls(files).withColumn("name", F.element_at(F.split("callee", r"\."), -1)).withColumn("head", F.substring_index("callee", ".", 1))
-    met = made.join(bound, (F.col("path") == F.col("i_path")) & (F.col("head") == F.col("bound")), "left")
+    return defined.select(F.concat(module, F.lit(":"), full).alias("symbol"), module.alias("module"), "path", full.alias("name"))
+
+
+def resolve_calls(made: DataFrame, files: DataFrame) -> DataFrame:
+    """`made` (path, caller, callee, ...) as (src, dst, ...): callers and callees as symbols, those not found left out.
+
+    A callee is meant by its import, else as a function of its own file, else as the only one of its name. A name that
+    is imported more than once in a file means the smallest module and symbol.
+    """
+    module = text.module_name(F.col("path"))
+    named = F.struct(F.regexp_replace("module", r"^\.+", "").alias("module"), F.nullif("symbol", F.lit("")).alias("name"))
+    bound = imports(files).where("symbol <> '*' AND bound <> ''").groupBy(F.col("path").alias("i_path"), "bound").agg(F.min(named).alias("meant"))
+    last, head = F.element_at(F.split("callee", r"\."), -1), F.substring_index("callee", ".", 1)
+    met = made.withColumn("head", head).join(bound, (F.col("path") == F.col("i_path")) & (F.col("head") == F.col("bound")), "left")
     refs = met.select(
-        F.concat(module, F.lit(":"), "caller").alias("ref_id"),
-        F.coalesce("i_module", module).alias("module"),
+        F.concat(module, F.lit(":"), "caller").alias("src"),
+        F.coalesce("meant.module", module).alias("module"),
         "path",
-        F.coalesce("i_name", "name").alias("name"),
-        "times",
+        F.coalesce("meant.name", last).alias("name"),
+        *made.drop("path", "caller", "callee").columns,
+    )
+    found = resolve.resolve(refs, symbols(files)).where("symbol IS NOT NULL")
+    return found.withColumnRenamed("symbol", "dst").drop("module", "path", "name", "how")
+
+
+def _module(symbol) -> Column:
+    return F.substring_index(symbol, ":", 1)
+
+
+def call_graph(files: DataFrame) -> DataFrame:
+    """(src, dst, calls, is_cross): calls between functions of all files."""
+    found = resolve_calls(calls(files), files)
+    return found.groupBy("src", "dst").agg(F.sum("times").alias("calls"), F.max(_module("src") != _module("dst")).alias("is_cross"))
+
+
+def flow_graph(files: DataFrame, made: DataFrame | None = None) -> DataFrame:
+    """(src, dst, place, variable, is_return): what flows between functions of all files.
+
+    Arguments flow from the caller to the callee, at their place, -2 if by name; at place -1 a result flows back.
+    `made` are the arguments of some of the files, where not all are wanted.
+    """
+    found = resolve_calls(arguments(files) if made is None else made, files)
+    back = F.col("place") == py.RESULT
+    src, dst = F.when(back, F.col("dst")).otherwise(F.col("src")), F.when(back, F.col("src")).otherwise(F.col("dst"))
+    return found.select(src.alias("src"), dst.alias("dst"), "place", "variable", back.alias("is_return")).distinct()
+
+
+def update_flow(old: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
+    """The flow graph `old` after files (column path of `changed`) took the contents they have in `files`.
+
+    Edges that the changed modules' calls made, results included, are replaced by those they make now; only these files
+    are read for arguments. An unchanged file whose names now mean something else keeps its edges until it is read.
+    """
+    gone = changed.select(text.module_name(F.col("path")).alias("gone")).distinct()
+    caller = F.when(F.col("is_return"), F.col("dst")).otherwise(F.col("src"))
+    kept = old.join(gone, _module(caller) == F.col("gone"), "left_anti")
+    return kept.unionByName(flow_graph(files, arguments(files.join(changed, "path", "left_semi")))).distinct()
+
+
+def graph_digest(edges: DataFrame) -> DataFrame:
+    """One row (edges, digest): SHA-256 over all edges, as JSON, in their order; equal graphs have equal digests."""
+    line = F.to_json(F.struct(*sorted(edges.columns)))
+    made = merkle.repository_digest(edges.select(line.alias("path"), F.sha2(line, 256).alias("digest")))
+    return made.select(F.col("files").alias("edges"), F.col("repository_digest").alias("digest"))
+
+
+def flow_offsets(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A flow graph as ((node, symbol), (src, dst, flags)): flags use or return.
+
+    Nodes are numbered from 0 in the order of their CRC-32 and symbol, which deals them evenly to the tasks.
+    """
+    names = edges.select(F.explode(F.array("src", "dst")).alias("symbol")).distinct().withColumn("position", F.crc32(F.col("symbol").cast("binary")))
+    nodes = intern.intern(names).select(F.col("id").alias("node"), "symbol")
+    a, b = (nodes.select(F.col("symbol").alias(end), F.col("node").alias(f"{end}_node")) for end in ("src", "dst"))
+    flags = F.when(F.col("is_return"), graph.RETURNS).otherwise(graph.USES)
+    numbered = edges.join(a, "src").join(b, "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), flags.alias("flags"))
+    return nodes, graph.simple_graph(numbered)
+
+
+def program_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, part, action, target) of what two versions of the same paths differ in.
+
+    Parts are declaration (added, removed, changed: the signature), dependency (added, removed, usage_changed),
+    structure (body_changed: a function whose signature may be the same), call_graph (added, removed), control_flow and
+    data_flow (changed: the function has another number of blocks, edges or flows; Python only).
+    """
+
+    def rows(version: DataFrame) -> DataFrame:
+        def each(path, tree, *_):
+            return [(path, *r) for r in _parts(tree)] if tree else []
+
+        return _parse_each(version, "path string, part string, target string, value string", each)
+
+    key = ["path", "part", "target"]
+    # A name may be declared or called more than once; its values then stand together.
+    one = lambda df: rows(df).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("value"))
+    told = diff.keyed_diff(one(old), one(new), key, "value")
+    only_common = F.col("part").isin("structure", "control_flow", "data_flow")
+    action = (
+        F.when((F.col("part") == "dependency") & (F.col("status") == "changed"), "usage_changed")
+        .when((F.col("part") == "structure") & (F.col("status") == "changed"), "body_changed")
+        .otherwise(F.col("status"))
     )
-    found = resolve.resolve(refs, symbols).where("symbol IS NOT NULL")
-    cross = F.substring_index("ref_id", ":", 1) != F.substring_index("symbol", ":", 1)
-    return found.groupBy(F.col("ref_id").alias("src"), F.col("symbol").alias("dst")).agg(F.sum("times").alias("calls"), F.max(cross).alias("is_cross"))
+    return told.where(~only_common | (F.col("status") == "changed")).select("path", "part", action.alias("action"), "target")
+
+
+def _parts(tree: Tree) -> Iterator[tuple[str, str, str]]:
+    """(part, target, value) of all that program_diff compares."""
+    front = _of(tree)
+    for kind, owner, name, signature in front.declarations(tree):
+        yield "declaration", f"{owner}.{name}" if owner else name, f"{kind} {signature}"
+    for module, symbol, bound, usage in front.imports(tree):
+        yield "dependency", " ".join(x for x in (module, symbol, f"as {bound}") if x), usage
+    for caller, callee, *_ in front.calls(tree):
+        yield "call_graph", f"{caller} -> {callee}", ""
+    for name, body in front.bodies(tree):
+        yield "structure", name, body
+    for name, f in _functions(tree):
+        blocks, edges = py.control_flow(f)
+        yield "control_flow", name, f"{len(blocks)} {len(edges)}"
+        yield "data_flow", name, str(len(py.data_flow(f)))

@@ -39,6 +39,7 @@ _HOLDERS = {
 }
 _BINDERS = {"javascript": ("const", "let", "var", "using"), "typescript": ("const", "let", "var", "using"), "go": ("var", "const"), "rust": ("let", "const", "static")}
 _FLOW = ("if", "else", "for", "while", "do", "loop", "switch", "match", "select", "case", "default", "try", "catch", "finally", "return", "throw", "break", "continue", "go", "defer", "await", "yield")
+_CONSTANT = {*_FLOW, "true", "false", "null", "undefined", "nil", "new", "function", "func", "fn", "mut", "typeof", "as"}
 _NO_CALL = {*_FLOW, "function", "func", "fn", "super", "typeof", "in", "of", "new", "as", "where", "with", "type", "interface", "struct", "import", "map", "chan"} - {"map"}
 
 
@@ -257,14 +258,13 @@ def imports(source: Source) -> list[tuple]:
     return [(*r, usage(r[2])) for r in rows]
 
 
-def calls(source: Source) -> list[tuple]:
-    """(caller, callee, is_async, times); callee as it is written, the name of a Rust macro with its mark."""
+def _call_sites(source: Source):
+    """(caller, callee, is_async, opening bracket) of every call; callee as it is written, a Rust macro with its mark."""
     t, kinds = source.tokens, source.kinds
     # Bodies nest, so the last one that begins before a call and holds it is the innermost.
     bodies = sorted((b, e, f"{o}.{n}" if o else n) for k, o, n, _, _, b, e in source.found if k in ("function", "method") and e > b)
     starts = [b for b, *_ in bodies]
     heads = {i - 1 for k, _, _, i, *_ in source.found if k in ("function", "method")}
-    out: Counter = Counter()
     for i, token in enumerate(t):
         macro = source.language == "rust" and source.at(i + 1) == "!" and source.at(i + 2) in _OPEN
         if kinds[i] != "name" or token in _NO_CALL or i in heads or not (macro or source.at(i + 1) == "("):
@@ -277,10 +277,38 @@ def calls(source: Source) -> list[tuple]:
         while k >= 0 and bodies[k][1] <= i:
             k -= 1
         waits = source.at(first - 1) in ("await", "go") or source.language == "rust" and (p := source.pairs.get(i + 1)) is not None and source.at(p + 1) == "." and source.at(p + 2) == "await"
-        out[bodies[k][2] if k >= 0 else "<top-level>", "<dynamic>" if dynamic else "".join(t[first : i + 1]) + "!" * macro, bool(waits)] += 1
+        callee = "<dynamic>" if dynamic else "".join(t[first : i + 1]) + "!" * macro
+        yield bodies[k][2] if k >= 0 else "<top-level>", callee, bool(waits), i + 1 + macro
+
+
+def calls(source: Source) -> list[tuple]:
+    """(caller, callee, is_async, times)."""
+    out = Counter((caller, callee, waits) for caller, callee, waits, _ in _call_sites(source))
     return [(*k, n) for k, n in sorted(out.items())]
 
 
+def arguments(source: Source) -> list[tuple]:
+    """(caller, callee, place, variable) of what calls pass, as of Python; these languages have no arguments by name."""
+    t, kinds = source.tokens, source.kinds
+    out: set = set()
+    for caller, callee, _, opened in _call_sites(source):
+        place, read, k, end = 0, set(), opened + 1, source.pairs[opened]
+        inner = 0  # where the brackets end inside which commas are another's
+        while k <= end:
+            if k == end or t[k] == "," and k > inner:
+                if k < end or k > opened + 1 and t[k - 1] != ",":
+                    out.update((caller, callee, place, v) for v in read or {"<const>"})
+                place, read = place + 1, set()
+            elif k in source.pairs:
+                inner = max(inner, source.pairs[k])
+            elif kinds[k] == "name" and source.at(k - 1) not in (".", "?.", "::") and source.at(k + 1) not in ("::", "!") and t[k] not in _CONSTANT:
+                if not (source.at(k - 1) in ("{", ",") and source.at(k + 1) == ":"):  # the key of a literal
+                    read.add(t[k])
+            k += 1
+        out.add((caller, callee, -1, "<return>"))
+    return sorted(out)
+
+
 def _bound(source: Source, i: int, body: int, end: int) -> list[str]:
     """Names that a function binds, in order: its parameters, then its locals."""
     t, kinds = source.tokens, source.kinds
@@ -296,8 +324,8 @@ def _bound(source: Source, i: int, body: int, end: int) -> list[str]:
     return list(dict.fromkeys(names))
 
 
-def structure(source: Source, i: int = 0, end: int | None = None) -> tuple[str, ...]:
-    """Tokens without comments, layout and idle separators, locals numbered by where they are bound."""
+def _numbered(source: Source) -> list[str]:
+    """Tokens, with a function's locals as its place and their number in it."""
     t = list(source.tokens)
     for kind, _, _, head, _, body, last in source.found:
         if kind in ("function", "method") and last > body:
@@ -306,9 +334,26 @@ def structure(source: Source, i: int = 0, end: int | None = None) -> tuple[str,
                 key = k > body and source.at(k - 1) in ("{", ",") and source.at(k + 1) == ":"
                 if source.kinds[k] == "name" and source.at(k - 1) not in (".", "?.", "::") and not key and source.tokens[k] in numbered:
                     t[k] = numbered[source.tokens[k]]
+    return t
+
+
+def structure(source: Source) -> tuple[str, ...]:
+    """Tokens without comments, layout and idle separators, locals numbered by where they are bound."""
+    return _told(source, _numbered(source), 0, len(source.tokens))
+
+
+def bodies(source: Source) -> list[tuple[str, str]]:
+    """(qualified name, digest) of every function's body, wherever it stands and whatever its locals are called."""
+    t = _numbered(source)
+    made = [(f"{o}.{n}" if o else n, b, e) for k, o, n, _, _, b, e in source.found if k in ("function", "method") and e > b]
+    plain = lambda b, e: [re.sub(r"^@\d+\.", "@", x) for x in _told(source, t, b, e)]
+    return [(name, sha256(repr(plain(b, e)).encode("utf-8", "surrogatepass")).hexdigest()) for name, b, e in made]
+
+
+def _told(source: Source, t: list[str], i: int, end: int) -> tuple[str, ...]:
+    """Tokens from i to end that say something; a line's end ends a statement as a semicolon does."""
     idle = lambda k: t[k] == ";" or t[k] == "," and source.at(k + 1) in (")", "]", "}")
-    # A line's end ends a statement as a semicolon does.
-    return tuple(t[k] for k in range(i, len(t) if end is None else end) if source.kinds[k] != "operator" or not idle(k))
+    return tuple(t[k] for k in range(i, end) if source.kinds[k] != "operator" or not idle(k))
 
 
 def flow(source: Source) -> list[tuple]:

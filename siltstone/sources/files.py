@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,32 @@ def source_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max
     return kept.select("path", "content", "length", F.col("modificationTime").alias("modified"), text.language(F.col("path")).alias("language"))
 
 
+def safe_path(root: str, path: str) -> str:
+    """The real path of `path`, taken below `root` if it is relative; an error if it leads out of `root`.
+
+    Links are followed first, so one that leads out is refused as well.
+    """
+    if "\0" in root + path:
+        raise ValueError("a path holds a null byte")
+    top = os.path.realpath(root, strict=True)
+    real = os.path.realpath(os.path.join(top, path))
+    if real != top and not real.startswith(top.rstrip("/") + "/"):
+        raise ValueError(f"{path!r} leads out of {root!r}")
+    return real
+
+
+def seen_before(visited: set[tuple[int, int]], directory: str) -> bool:
+    """Whether a walk has been in a directory, by device and file number; a directory that cannot be read counts so."""
+    try:
+        at = os.stat(directory)
+    except OSError:
+        return True
+    if (at.st_dev, at.st_ino) in visited:
+        return True
+    visited.add((at.st_dev, at.st_ino))
+    return False
+
+
 def git_revision(spark: SparkSession, repository: str, revision: str, partitions: int = 8) -> DataFrame:
     """(path, content) of the source files of a revision; names are listed once, contents are read by tasks.
 

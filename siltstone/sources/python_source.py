@@ -227,6 +227,39 @@ def calls(tree: ast.Module) -> list[tuple]:
     return [(*k, n) for k, n in sorted(out.items())]
 
 
+#: The place of an argument by name, and of a result, beside the places 0, 1, ... of the others.
+BY_NAME, RESULT = -2, -1
+
+
+def arguments(tree: ast.Module) -> list[tuple]:
+    """(caller, callee, place, variable) of what calls pass: each variable in an argument, <const> where it has none.
+
+    Arguments by name have one place for all, and their name before an equals sign (** for unpacked ones). Each call
+    has a row for its result.
+    """
+    out: set = set()
+
+    def read(expression):
+        names = {n.id for n in ast.walk(expression) if isinstance(n, ast.Name)}
+        return names or {"<const>"}
+
+    def visit(node, caller):
+        for child in ast.iter_child_nodes(node):
+            inner = caller
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                inner = child.name if caller == "<top-level>" else f"{caller}.{child.name}"
+            if isinstance(child, ast.Call):
+                f = child.func
+                name = ast.unparse(f) if isinstance(f, (ast.Name, ast.Attribute)) else "<dynamic>"
+                out.update((caller, name, i, v) for i, a in enumerate(child.args) for v in read(a))
+                out.update((caller, name, BY_NAME, f"{k.arg or '**'}={v}") for k in child.keywords for v in read(k.value))
+                out.add((caller, name, RESULT, "<return>"))
+            visit(child, inner)
+
+    visit(tree, "<top-level>")
+    return sorted(out)
+
+
 def functions(tree: ast.Module):
     """(qualified name, node) of every function, nested ones too."""
 
@@ -243,6 +276,11 @@ def functions(tree: ast.Module):
     return visit(tree, "")
 
 
+def bodies(tree: ast.Module) -> list[tuple[str, str]]:
+    """(qualified name, digest) of every function's body, whatever its parameters and locals are called."""
+    return [(name, _digest(normal(_suite(f.body), _Namer(f)))) for name, f in functions(tree)]
+
+
 def control_flow(function: ast.AST) -> tuple[list[tuple], list[tuple]]:
     """(block, statements) and (src, dst, condition) of a function; blocks in depth-first order from the entry.
 

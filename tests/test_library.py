@@ -213,3 +213,108 @@ def test_command_line(spark, tmp_path, capsys):
     assert {json.loads(x)["side"] for x in capsys.readouterr().out.splitlines()} == {"self", "callers"}
     assert main(["slice", str(tmp_path), "nowhere"], spark) == 1
     assert main(["fp", str(tmp_path / "none.py")], spark) == 4
+
+
+def test_flow_over_modules(spark):
+    rows = [("calc.py", "def compute(x, y):\n    return x + y\n"), ("main.py", "import calc\n\n\ndef run_calc(val):\n    res = calc.compute(val, 10)\n    return res\n"), ("bad.py", "def ("), ("null.py", None)]
+    tree = spark.createDataFrame(rows, "path string, content string")
+    edges = code.flow_graph(tree)
+    got = {tuple(r) for r in edges.collect()}
+    run, compute = "main:run_calc", "calc:compute"
+    assert got == {(run, compute, 0, "val", False), (run, compute, 1, "<const>", False), (compute, run, -1, "<return>", True)}
+    nodes, numbered = code.flow_offsets(edges)
+    ids = {r.symbol: r.node for r in nodes.collect()}
+    assert {tuple(r) for r in numbered.collect()} == {(ids[run], ids[compute], graph.USES), (ids[compute], ids[run], graph.RETURNS)}
+    assert code.graph_digest(edges).first() == code.graph_digest(edges.orderBy("variable")).first()
+    assert code.graph_digest(edges).first() != code.graph_digest(edges.where("place <> 1")).first()
+    after = tree.withColumn("content", F.replace("content", F.lit("val, 10"), F.lit("10, val")))
+    updated = code.update_flow(edges, after, spark.createDataFrame([("main.py",)], "path string"))
+    assert sorted(updated.collect()) == sorted(code.flow_graph(after).collect())
+
+
+def test_diff_of_programs(spark):
+    old = "import os\n\ndef f(a):\n    return os.path.join(a)\n\ndef g():\n    f(1)\n"
+    new = "import os\nimport sys\n\ndef f(a, b=2):\n    if b:\n        return a\n    return os\n\ndef h():\n    f(1)\n"
+    frame = lambda s: spark.createDataFrame([("m.py", s)], "path string, content string")
+    got = {(r.part, r.action, r.target) for r in code.program_diff(frame(old), frame(new)).collect()}
+    assert got == {
+        ("declaration", "changed", "f"), ("declaration", "removed", "g"), ("declaration", "added", "h"),
+        ("dependency", "usage_changed", "os as os"), ("dependency", "added", "sys as sys"),
+        ("structure", "body_changed", "f"), ("control_flow", "changed", "f"), ("data_flow", "changed", "f"),
+        ("call_graph", "removed", "f -> os.path.join"), ("call_graph", "removed", "g -> f"), ("call_graph", "added", "h -> f"),
+    }
+    assert code.program_diff(frame(old), frame(old.replace("(a)", "(z)").replace("# x", ""))).where("part = 'structure'").count() == 0
+
+
+def test_manifest(spark, tmp_path, monkeypatch):
+    from siltstone.sources import manifest
+
+    tree, kept = tmp_path / "tree", str(tmp_path / "kept")
+    tree.mkdir()
+    for name in "abc":
+        (tree / f"{name}.py").write_text(f"{name} = 1\n")
+    held = manifest.Manifest(spark, kept)
+    assert held.version() is None and held.read().count() == 0
+    scan = lambda: files.source_files(spark, str(tree))
+    held.write(manifest.bundles(scan(), held.read()))
+    first = {r.path: r.composite for r in held.read().collect()}
+    assert set(first) == {"a.py", "b.py", "c.py"}
+    (tree / "a.py").write_text("a = 1234\n")
+    (tree / "c.py").unlink()
+    hits, misses = manifest.look_up(scan(), held.read())
+    assert [r.path for r in hits.collect()] == ["b.py"] and [r.path for r in misses.collect()] == ["a.py"]
+    made = manifest.bundles(scan(), held.read())
+    assert {r.path: r.composite for r in made.collect()} == {r.path: r.composite for r in code.bundles(scan()).collect()}
+    held.write(manifest.merge(held.read(), made))
+    assert held.read().count() == 3
+    held.write(manifest.prune(held.read(), scan()))
+    assert sorted(r.path for r in held.read().collect()) == ["a.py", "b.py"]
+    assert manifest.check(held.read()).first() == (2, 0, 0)
+    twice = held.read().unionByName(held.read().withColumn("source", F.lit("x")))
+    assert manifest.check(twice).first() == (4, 2, 2)
+    assert manifest.check(held.read().limit(0)).first() == (0, 0, 0)
+    held.clear()
+    assert held.version() is None
+
+
+def test_path_safety(tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "out").symlink_to(tmp_path)
+    root = str(tmp_path / "in")
+    assert files.safe_path(root, "deep/../deep").endswith("in/deep")
+    for bad in ("..", "/etc/passwd", "out", "a\0b"):
+        with pytest.raises(ValueError):
+            files.safe_path(root, bad)
+    seen: set = set()
+    assert [files.seen_before(seen, d) for d in (root, root + "/deep", root + "/out/in", root + "/none")] == [False, False, True, True]
+
+
+def test_language_aliases(spark):
+    frame = spark.createDataFrame([("PY",), ("Ts",), ("rust",), ("Cobol",), (None,)], "n string")
+    assert [r[0] for r in frame.select(text.language_named(F.col("n"))).collect()] == ["python", "typescript", "rust", "cobol", None]
+
+
+def test_command_line_of_caches(spark, tmp_path, capsys):
+    from siltstone.__main__ import main
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.js").write_text("function f(a) { return g(a); }\nfunction g(b) { return b; }\n")
+    (tmp_path / "t" / "b.js").write_text("function f(a) { return g(a, 1); }\nfunction g(b) { return b; }\n")
+    root, kept = str(tmp_path / "t"), str(tmp_path / "kept")
+    digests = []
+    for extra in ([], ["--cache", kept], ["--cache", kept]):
+        assert main(["repository", root, *extra], spark) == 0
+        digests.append(capsys.readouterr().out)
+    assert len(set(digests)) == 1
+    assert main(["cache", "verify", kept], spark) == 0
+    assert json.loads(capsys.readouterr().out)["entries"] == 2
+    (tmp_path / "t" / "b.js").unlink()
+    assert main(["cache", "prune", kept, root], spark) == 0
+    assert json.loads(capsys.readouterr().out)["entries"] == 1
+    assert main(["cache", "clean", kept], spark) == 0
+    assert main(["flow", root], spark) == 0
+    assert {json.loads(x)["place"] for x in capsys.readouterr().out.splitlines()} == {0, -1}
+    (tmp_path / "c.js").write_text("function f(a) { return a; }\n")
+    assert main(["diff", str(tmp_path / "c.js"), str(tmp_path / "t" / "a.js")], spark) == 1
+    assert '"call_graph"' in capsys.readouterr().out
+    assert main(["diff", str(tmp_path / "c.js"), str(tmp_path / "c.js")], spark) == 0
