@@ -73,5 +73,5 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others return what a trained model, a hash or a signature chose, which SQL cannot say."""
+    """Of the whole results; the others return what a trained model, a hash or a signature chose, which SQL cannot say."""
     return {"op2_decontaminate": _OP2_SQL}
