@@ -495,7 +495,15 @@ def cache_prune(spark, d):
     return _cached(spark, d).join(live, "doc_id", "left_semi")
 
 
-@query()
+#: CRC-32 of the bytes of a text, by a table of 256 that a rule gives.
+_CRC_SQL = """WITH crc_table AS (SELECT list(v ORDER BY b) AS v FROM (SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT),
+[CAST(0 AS BIGINT) FOR z IN range(8)]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(b)))
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+[CAST('0x' || h AS BIGINT) FOR h IN regexp_extract_all(hex(encode(text)), '..')]), lambda c, b: xor(c >> 8, v[(xor(c, b) & 255) + 1])), 4294967295) END AS crc32
+FROM documents, crc_table"""
+
+
+@query(_CRC_SQL)
 def checksum(spark, d):
     return table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
 
