@@ -12,6 +12,8 @@ from siltstone.session import Scratch
 
 #: What an edge is.
 SYNC, ASYNC, CROSS_MODULE, DEFINES, USES, RETURNS = 1, 2, 4, 8, 16, 32
+#: Hops of a job, and jobs after which what has been seen is written as one table.
+HOPS, ROUNDS = 3, 8
 
 
 def consolidate(edges: DataFrame, *keys: str) -> DataFrame:
@@ -81,16 +83,30 @@ def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> Dat
     """(node, hops): everything that the seeds (column node) reach, themselves included, by a frontier loop."""
     scratch = Scratch(edges.sparkSession, "reach")
     a, b = ("dst", "src") if backward else ("src", "dst")
-    steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    seen = scratch.keep(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
-    frontier, hops = seen, 0
+    steps = scratch.keep(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
+    return _spread(seeds.select("node").distinct().withColumn("hops", F.lit(0)), steps, "hops", F.col("hops") + 1, scratch)
+
+
+def _spread(seeds: DataFrame, steps: DataFrame, column: str, after: Column, scratch: Scratch) -> DataFrame:
+    """`seeds` (node, column) and what they reach by `steps` (node, next), with the least of column; each hop makes `after` of it.
+
+    A job goes several hops, each without the nodes of earlier jobs, and writes what is new; what has been seen is
+    written as one table now and then, so that the plan stays short however far it is.
+    """
+    seen = frontier = scratch.keep(seeds)
+    rounds = 0
     while True:
-        hops += 1
-        found = frontier.join(steps, "node").select(F.col("next").alias("node")).distinct()
-        frontier = scratch.keep(found.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hops)))
-        if frontier.isEmpty():
+        hop, found = frontier, None
+        for _ in range(HOPS):
+            met = hop.join(steps, "node").select(F.col("next").alias("node"), after.alias(column))
+            hop = met.groupBy("node").agg(F.min(column).alias(column)).join(seen.select("node"), "node", "left_anti")
+            found = hop if found is None else found.unionByName(hop)
+        frontier, n = scratch.keep_counting(found.groupBy("node").agg(F.min(column).alias(column)), F.lit(True))
+        if not n:
             return seen
-        seen = seen.unionByName(frontier)
+        seen, rounds = seen.unionByName(frontier), rounds + 1
+        if rounds % ROUNDS == 0:
+            seen = scratch.keep(seen)
 
 
 def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -102,11 +118,11 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     scratch = Scratch(edges.sparkSession, "scc")
     everything = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     everything = (everything.unionByName(nodes.select("node")) if nodes is not None else everything).distinct()
-    live = scratch.keep(edges.where("src <> dst").select("src", "dst").distinct())
+    live = edges.where("src <> dst").select("src", "dst").distinct()
     done: list[DataFrame] = []
     while True:
-        live = _trim(live, scratch)
-        if live.isEmpty():
+        live, n = _trim(live, scratch)
+        if not n:
             break
         colour = _least_reaching(live, scratch)
         inside = _same(live, colour)
@@ -114,36 +130,41 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
         done.append(home)
         gone = home.select("node")
         live = live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
-        live = scratch.keep(live.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        live = live.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
     found = done[0] if done else everything.limit(0).withColumn("component", F.col("node"))
     for more in done[1:]:
         found = found.unionByName(more)
     return everything.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _trim(live: DataFrame, scratch: Scratch) -> DataFrame:
-    """Drop nodes without an edge in or out until none is left."""
-    before = live.count()
-    while before:
+def _trim(live: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Drop nodes without an edge in or out until none is left; the edges that stay, and their number."""
+    before = None
+    while True:
         kept = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = scratch.keep(kept.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        after = kept.count()
-        if after == before:
-            return kept
-        live, before = kept, after
-    return live
+        kept = kept.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        live, after = scratch.keep_counting(kept, F.lit(True))
+        if after == before or not after:
+            return live, after
+        before = after
 
 
 def _least_reaching(live: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, colour): the smallest node from which each node is reached."""
+    """(node, colour): the smallest node from which each node is reached.
+
+    A node sends to itself as well, so that several hops are one chain of joins in a job.
+    """
     colour = scratch.keep(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    steps = scratch.keep(live.unionByName(colour.select(F.col("node").alias("src"), F.col("node").alias("dst"))).withColumnRenamed("src", "node"))
     while True:
-        sent = live.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("sent"))
-        after = colour.join(sent, "node", "left")
-        after = scratch.keep(after.select("node", F.least("colour", "sent").alias("colour"), (F.col("sent") < F.col("colour")).alias("moved")))
-        if after.where("moved").isEmpty():
-            return after.select("node", "colour")
+        after = colour
+        for _ in range(HOPS):
+            after = steps.join(after, "node").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
+        after = after.join(colour.withColumnRenamed("colour", "was"), "node")
+        after, moved = scratch.keep_counting(after, F.col("colour") < F.col("was"))
         colour = after.select("node", "colour")
+        if not moved:
+            return colour
 
 
 def _same(live: DataFrame, colour: DataFrame) -> DataFrame:
@@ -154,16 +175,9 @@ def _same(live: DataFrame, colour: DataFrame) -> DataFrame:
 
 def reachable_within(inside: DataFrame, colour: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): nodes that reach the root of their colour along edges inside it."""
-    inside = scratch.keep(inside)
-    seen = scratch.keep(colour.where("node = colour").select("node", F.col("colour").alias("component")))
-    frontier = seen
-    while True:
-        found = inside.join(frontier.select(F.col("node").alias("dst"), "component"), "dst")
-        found = found.select(F.col("src").alias("node"), "component").distinct()
-        frontier = scratch.keep(found.join(seen.select("node"), "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+    steps = scratch.keep(inside.select(F.col("dst").alias("node"), F.col("src").alias("next")))
+    roots = colour.where("node = colour").select("node", F.col("colour").alias("component"))
+    return _spread(roots, steps, "component", F.col("component"), scratch)
 
 
 def condense(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -179,13 +193,15 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame | None:
     scratch = Scratch(edges.sparkSession, "topo")
     live = scratch.keep(edges.select("src", "dst").distinct())
     rest = scratch.keep(nodes.select("node").distinct())
-    out, level = None, 0
-    while not rest.isEmpty():
-        free = scratch.keep(rest.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
+    out, level, left = None, 0, rest.count()
+    while left:
+        free, n = scratch.keep_counting(rest.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)), F.lit(True))
+        if not n:
             return None
         out = free if out is None else out.unionByName(free)
-        live = scratch.keep(live.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
-        rest = scratch.keep(rest.join(free.select("node"), "node", "left_anti"))
+        left -= n
+        if left:
+            live = scratch.keep(live.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+            rest = scratch.keep(rest.join(free.select("node"), "node", "left_anti"))
         level += 1
     return out if out is not None else nodes.select("node", F.lit(0).alias("level")).limit(0)
