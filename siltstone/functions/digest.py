@@ -25,6 +25,26 @@ def joined_digest(*digests: Column) -> Column:
     return F.sha2(F.concat(*digests), 256)
 
 
+def path_hash(path: Column) -> Column:
+    """64-bit FNV-1a of the path's bytes, 16 hex digits. Its product is made of 32-bit halves, which stay within a long.
+
+    The prime is 2**40 + 435: the upper half of the product takes the lower one eight bits up.
+    """
+    digits = F.hex(path.cast("binary"))
+    data = F.transform(F.sequence(F.lit(1), F.octet_length(path)), lambda i: F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    half = F.lit(0xFFFFFFFF)
+
+    def step(h, b):
+        low = h["low"].bitwiseXOR(b)
+        product = low * 435
+        high = h["high"] * 435 + F.shiftleft(low, 8) + F.shiftright(product, 32)
+        return F.struct(high.bitwiseAND(half).alias("high"), product.bitwiseAND(half).alias("low"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+    made = F.when(F.octet_length(path) > 0, F.aggregate(data, start, step)).when(path.isNotNull(), start)
+    return F.lower(F.concat(F.lpad(F.hex(made["high"]), 8, "0"), F.lpad(F.hex(made["low"]), 8, "0")))
+
+
 def canonical_float(value: Column) -> Column:
     """One zero and one NaN."""
     return F.when(F.isnan(value), F.lit(float("nan"))).when(value == 0.0, F.lit(0.0)).otherwise(value)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators import code
-from siltstone.plans.queries import query
+from siltstone.functions.digest import path_hash
+from siltstone.operators import code, export
+from siltstone.plans.queries import _PATH_SQL, ORACLES, files_of, query
 from siltstone.session import table
 from siltstone.sources import manifest
 
@@ -131,3 +132,33 @@ def manifest_lookup(spark, d):
     later = F.timestamp_millis(F.col("doc_id") * 1000 + F.when(F.col("doc_id") % 3 == 1, 1700).otherwise(900))
     hits, misses = manifest.look_up(tree.select("path", grown.alias("length"), later.alias("modified")), known)
     return hits.select("path", F.lit("hit").alias("found")).unionByName(misses.select("path", F.lit("miss").alias("found")))
+
+
+def _digest_sql(edges: str, line: str) -> str:
+    return f"""SELECT count(*) AS edges, sha256(string_agg(line || ':' || sha256(line) || ';', '' ORDER BY line)) AS digest
+FROM (SELECT {line} AS line FROM ({edges}))"""
+
+
+@query(_digest_sql(ORACLES["tree_call_graph"], """'{"calls":' || calls || ',"dst":"' || dst || '","is_cross":' || is_cross || ',"src":"' || src || '"}'"""))
+def tree_call_digest(spark, d):
+    return code.graph_digest(code.call_graph(source_tree(spark, d)))
+
+
+@query(_digest_sql(ORACLES["tree_flow_graph"], """'{"dst":"' || dst || '","is_return":' || is_return || ',"place":' || place || ',"src":"' || src || '","variable":"' || variable || '"}'"""))
+def tree_flow_digest(spark, d):
+    return code.graph_digest(code.flow_graph(source_tree(spark, d)))
+
+
+@query(f"""SELECT path, count(*) FILTER (part = 'declaration') AS errors, count(*) FILTER (part = 'dependency') AS warnings,
+count(*) FILTER (part NOT IN ('declaration', 'dependency')) AS notes FROM ({ORACLES["tree_diff"]}) GROUP BY path""")
+def tree_findings(spark, d):
+    """The SARIF results of a diff by level."""
+    told = export.sarif_results(export.diff_findings(tree_diff(spark, d)))
+    level = F.get_json_object("result", "$.level")
+    return told.groupBy("path").agg(*(F.count_if(level == x).alias(f"{x}s") for x in ("error", "warning", "note")))
+
+
+@query(f"""SELECT path, lpad(lower(hex(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), [CAST('0x' || h AS UHUGEINT) FOR h IN regexp_extract_all(hex(encode(path)), '..')]),
+lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616))), 16, '0') AS hash FROM (SELECT {_PATH_SQL} AS path FROM documents)""")
+def path_hashes(spark, d):
+    return files_of(table(spark, d, "documents")).select("path", path_hash(F.col("path")).alias("hash"))

@@ -318,3 +318,43 @@ def test_command_line_of_caches(spark, tmp_path, capsys):
     assert main(["diff", str(tmp_path / "c.js"), str(tmp_path / "t" / "a.js")], spark) == 1
     assert '"call_graph"' in capsys.readouterr().out
     assert main(["diff", str(tmp_path / "c.js"), str(tmp_path / "c.js")], spark) == 0
+
+
+def test_path_hash(spark):
+    from siltstone.functions.digest import path_hash
+
+    def fnv(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return f"{h:016x}"
+
+    paths = ["", "a", "src/é/Ω😀.py", "x" * 300, None]
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert [r[0] for r in frame.select(path_hash(F.col("path"))).collect()] == [None if p is None else fnv(p.encode()) for p in paths]
+
+
+def test_reports(spark):
+    files_ = spark.createDataFrame([("m.py", 'def f(a):\n    if a == "x":\n        return a\n    return f(a)\n')], "path string, content string")
+    dot = export.function_dots(code.control_flow(files_), "src", "dst", "condition").first()
+    assert dot["function"] == "f" and dot.dot.startswith('subgraph "cluster_m.py:f" {') and dot.dot.count(" -> ") == code.control_flow(files_).count()
+    assert export.function_dots(code.data_flow(files_), "definition", "use", "variable").first().dot.count(" -> ") == code.data_flow(files_).count()
+    slices = spark.createDataFrame([("a.py", "interface", 1, 2, 3), ("b.py", "trivia", 0, 0, 0)], "path string, severity string, callers int, files int, tests int")
+    told = {r.path: (r.rule, r.message) for r in export.impact_findings(slices).collect()}
+    assert told["a.py"] == ("interface-break", "interface change: 1 direct callers, 2 files and 3 tests affected")
+    assert told["b.py"][0] == "structural-mutation"
+    assert json.loads(export.json_lines(slices).first().line)["path"] == "a.py"
+
+
+def test_long_ways(spark):
+    """A chain longer than a job's hops and than the jobs between compactions, with a cycle at its end."""
+    n = graph.HOPS * graph.ROUNDS + 5
+    rows = [(i, i + 1) for i in range(n)] + [(n, n - 2)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    seeds = spark.createDataFrame([(0,), (3,)], "node long")
+    want = {i: min(i, i - 3 if i >= 3 else i) for i in range(n + 1)}
+    assert {r.node: r.hops for r in graph.reachable(edges, seeds).collect()} == want
+    found = {r.node: r.component for r in graph.strong_components(edges).collect()}
+    assert found == {i: min(i, n - 2) for i in range(n + 1)}
+    assert graph.reachable(edges.limit(0), seeds).count() == 2
+    assert graph.strong_components(edges.limit(0)).count() == 0
