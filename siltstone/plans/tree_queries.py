@@ -45,7 +45,9 @@ def source_tree(spark, d) -> DataFrame:
     body = _by_language(lambda x: F.array_join(F.transform(functions, lambda j: _filled(F.lit(x[2]), j=j)), ""))
     content = _filled(F.concat(_by_language(lambda x: F.lit(x[1])), body), d=number, n=number + 4)
     path = F.concat(F.lit("m"), number, F.lit("."), _by_language(lambda x: F.lit(x[0])))
-    return table(spark, d, "documents").select("doc_id", path.alias("path"), content.alias("content"))
+    # Only ids are moved: a file is small where it is made and dear where it is parsed, so each core gets its share.
+    ids = table(spark, d, "documents").select("doc_id").repartition(spark.sparkContext.defaultParallelism)
+    return ids.select("doc_id", path.alias("path"), content.alias("content"))
 
 
 def _changed_tree(spark, d) -> DataFrame:
