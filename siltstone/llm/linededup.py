@@ -9,6 +9,7 @@ each other as well, in tiles of bounded size.
 
 from __future__ import annotations
 
+from functools import reduce
 from random import Random
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,8 @@ TRIED, VARIED = 32, 30
 #: Of SIDE * SIDE minima, sketches of candidates differ in two bits of at most so many; similar lines that share a band
 #: differ in 3 on the average and in more than this in about 3 of 1,000 cases.
 CLOSE = 9
+#: Parts in which the bands are dealt out by key, one after the other: what is shuffled at once is so much less.
+ROUNDS = 3
 #: Nodes in a chunk of a large bucket.
 CHUNK = 256
 #: Words of 64 bits in the set that bounds the similarity of two lines before they are compared.
@@ -122,14 +125,23 @@ def _home() -> Column:
 
 
 def bucket_members(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, node, sketch, top, top_sketch, n) of the buckets that several nodes share, with each one's representative."""
-    banded = signed.select("packed", "sketch", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # One row a key on the shared side, so a hash table of a partition's keys is small and nothing need be sorted.
-    held = scratch.keep(banded.join(shared.hint("shuffle_hash"), "key"))
+    """(key, node, sketch, top, top_sketch, n) of the buckets that several nodes share, with each one's representative; kept."""
+
+    def shared(part: int) -> DataFrame:
+        keys = F.filter("keys", lambda _, i: i % ROUNDS == part)
+        banded = signed.select("packed", "sketch", F.explode(keys).alias("key"))
+        several = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        # One row a key on this side, so a hash table of a partition's keys is small and nothing need be sorted.
+        return scratch.keep(banded.join(several.hint("shuffle_hash"), "key"))
+
+    # Keys of different bands are different, so a bucket's rows meet in one part.
+    parts = [shared(k) for k in range(ROUNDS)]
+    held = reduce(DataFrame.unionByName, parts)
     tops = held.groupBy("key").agg(F.max("packed").alias("top"), F.max_by("sketch", "packed").alias("top_sketch"))
     node, top = (F.col(c).bitwiseAND(F.lit(_NODE)).alias(n) for c, n in (("packed", "node"), ("top", "top")))
-    return held.join(tops, "key").select("key", node, "sketch", top, "top_sketch", "n")
+    members = scratch.keep(held.join(tops, "key").select("key", node, "sketch", top, "top_sketch", "n"))
+    scratch.drop(*parts)
+    return members
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
@@ -268,7 +280,7 @@ def linked(signed: DataFrame, lines: DataFrame, scratch: Scratch, similar: float
 
     Members of a bucket that their links to representatives have joined need not meet; all others do.
     """
-    members = scratch.keep(bucket_members(signed, scratch))
+    members = bucket_members(signed, scratch)
     pairs = scratch.keep(candidate_pairs(members))
     texts = scratch.keep(texts_of(ends_of(pairs), signed, lines))
     links = scratch.keep(verified(pairs, texts, similar))

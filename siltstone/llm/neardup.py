@@ -96,7 +96,7 @@ def similar_texts(docs: DataFrame, rows: DataFrame, scratch: Scratch, similar: f
     signed = rows.groupBy("node").agg(F.min("doc_id").alias("home"), F.count("*").alias("occurs"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"))
     packed = linededup.packed(F.col("node"), F.col("occurs")).alias("packed")
     signed = scratch.keep(signed.select("node", "home", packed, "sketch", "keys"))
-    members = scratch.keep(linededup.bucket_members(signed, scratch))
+    members = linededup.bucket_members(signed, scratch)
     pairs = scratch.keep(linededup.candidate_pairs(members))
 
     def texts_of(wanted: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark deletes a write's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -74,10 +76,15 @@ class Scratch:
         self._made = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Write `df` and return it as read back."""
+        """Write `df` and return it as read back; what it shuffled is gone by then."""
         path = f"{self.base}/{self._made:04d}"
         self._made += 1
-        df.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(_CLEAN)
+        conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep_counting(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:

@@ -440,6 +440,23 @@ def test_lines_of_one_template_meet_each_other(spark):
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(300)) >= 270
 
 
+def test_buckets_are_whole_whatever_part_their_band_is_in(spark):
+    from siltstone.session import Scratch
+
+    rows = [(n, 100 + n, 0, [[100 * b + n % (b + 2) for b in range(10)], []][n == 11]) for n in range(12)]
+    signed = spark.createDataFrame(rows, "node long, packed long, sketch long, keys array<bigint>")
+    by_key = defaultdict(set)
+    for n, _, _, keys in rows:
+        for k in keys:
+            by_key[k].add(100 + n)
+    scratch = Scratch(spark, "t")
+    got = linededup.bucket_members(signed, scratch)
+    want = {(k, m, max(v), len(v)) for k, v in by_key.items() if len(v) > 1 for m in v}
+    assert sorted((r.key, r.node, r.top, r.n) for r in got.collect()) == sorted(want)
+    made = spark.sparkContext._jvm.java.io.File(scratch.base.removeprefix("file://"))
+    assert len(made.list()) == 1  # what it was made of is gone
+
+
 def test_every_pair_of_a_bucket_meets(spark, monkeypatch):
     monkeypatch.setattr(linededup, "CHUNK", 4)
     members = spark.createDataFrame([(1, n, 0, 39, 0, 40) for n in range(40)], "key long, node long, sketch long, top long, top_sketch long, n long")

@@ -3,6 +3,7 @@
 import json
 import os
 import subprocess
+import time
 
 import duckdb
 import pytest
@@ -12,6 +13,7 @@ import __spark_entry__
 from siltstone.functions import text
 from siltstone.operators import code, diff, export, graph
 from siltstone.plans import queries as plans
+from siltstone.session import Scratch
 from siltstone.sources import files
 from siltstone.streaming import watch
 
@@ -358,3 +360,19 @@ def test_long_ways(spark):
     assert found == {i: min(i, n - 2) for i in range(n + 1)}
     assert graph.reachable(edges.limit(0), seeds).count() == 2
     assert graph.strong_components(edges.limit(0)).count() == 0
+
+
+def test_a_kept_step_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = blocks.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    made = Scratch(spark, "t").keep(spark.range(10_000).repartition(3, "id"))
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert made.count() == 10_000
