@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import Scratch
+from siltstone.session import Scratch, tidy
 
 #: Pointer jumping halves depth each time; so many passes reach any depth below 2**64.
 _MOST_JUMPS = 64
@@ -26,6 +26,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         .select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
         .distinct()
     )
+    tidy(scratch.spark)
     wide, left = scratch.keep_counting(wide, F.lit(True))
     # No later table has more than two rows for each edge.
     parts = 1 + left // ROWS
@@ -43,6 +44,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         )
         scratch.drop(live)
         live = after
+        tidy(scratch.spark)
     if not rounds:
         return wide.select(F.col("high").alias("node"), F.col("low").alias("component"))
     found = rounds[-1]

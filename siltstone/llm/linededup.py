@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
-from siltstone.session import Scratch
+from siltstone.session import Scratch, tidy
 
 #: Characters of a shingle and least Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
@@ -141,6 +141,7 @@ def bucket_members(signed: DataFrame, scratch: Scratch) -> DataFrame:
     node, top = (F.col(c).bitwiseAND(F.lit(_NODE)).alias(n) for c, n in (("packed", "node"), ("top", "top")))
     members = scratch.keep(held.join(tops, "key").select("key", node, "sketch", top, "top_sketch", "n"))
     scratch.drop(*parts)
+    tidy(scratch.spark)
     return members
 
 
@@ -288,9 +289,11 @@ def linked(signed: DataFrame, lines: DataFrame, scratch: Scratch, similar: float
     proofs = texts.select("node", "proof")
     held = scratch.keep(with_partners(split_members(members, component)))
     scratch.drop(members)
+    tidy(scratch.spark)
     if not held.isEmpty():
         more = scratch.keep(texts_of(held.select("node").distinct(), signed, lines))
         others = scratch.keep(other_pairs(held, signed.select("node", "keys"), marks_of(more), similar))
+        tidy(scratch.spark)
         rest = scratch.keep(verified(others, more, similar))
         proofs = proofs.unionByName(more.select("node", "proof")).distinct()
         if not rest.isEmpty():

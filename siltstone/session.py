@@ -104,6 +104,26 @@ class Scratch:
                 delete(self.spark, files[0].rsplit("/", 1)[0])
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's JVM drop what earlier steps left, broadcast tables first, and give freed memory to the system.
+
+    Many small steps in a row would else fill its heap and its allocator's pools before a collection is due.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    try:
+        # By the interface's method: Python's gateway does not see those of the class behind it.
+        kind = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        call = next(m for m in kind.getMethods() if m.getName() == "invoke")
+        given = gateway.new_array(jvm.java.lang.Object, 4)
+        given[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given[1] = "systemTrimNativeHeap"
+        given[2], given[3] = gateway.new_array(jvm.java.lang.Object, 0), gateway.new_array(jvm.java.lang.String, 0)
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Exception:  # noqa: BLE001  a JVM that has no such command
+        pass
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

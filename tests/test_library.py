@@ -1,5 +1,6 @@
 """The library without its corpus subpackage: queries against DuckDB, frontends, scans, streams, reports."""
 
+import gc
 import json
 import os
 import subprocess
@@ -13,7 +14,7 @@ import __spark_entry__
 from siltstone.functions import text
 from siltstone.operators import code, diff, export, graph
 from siltstone.plans import queries as plans
-from siltstone.session import Scratch
+from siltstone.session import Scratch, tidy
 from siltstone.sources import files
 from siltstone.streaming import watch
 
@@ -362,17 +363,30 @@ def test_long_ways(spark):
     assert graph.strong_components(edges.limit(0)).count() == 0
 
 
-def test_a_kept_step_leaves_no_shuffle_files(spark):
-    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+def shuffled(spark):
+    """Names of the shuffle files there are."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = {found.apply(i).getName() for i in range(found.size())}
+    return {n for n in names if n.startswith("shuffle_")}
 
-    def shuffled():
-        found = blocks.getAllFiles()
-        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
 
-    before = shuffled()
+def test_a_kept_step_leaves_no_shuffle_files(spark):
+    before = shuffled(spark)
     made = Scratch(spark, "t").keep(spark.range(10_000).repartition(3, "id"))
     until = time.time() + 10
-    while shuffled() - before and time.time() < until:
+    while shuffled(spark) - before and time.time() < until:
         time.sleep(0.2)
-    assert not shuffled() - before
+    assert not shuffled(spark) - before
     assert made.count() == 10_000
+
+
+def test_tidying_drops_what_nothing_refers_to(spark):
+    before = shuffled(spark)
+    assert len(spark.range(1_000).repartition(3, "id").collect()) == 1_000
+    assert shuffled(spark) - before
+    until = time.time() + 20
+    while shuffled(spark) - before and time.time() < until:
+        gc.collect()
+        tidy(spark)
+        time.sleep(0.2)
+    assert not shuffled(spark) - before
