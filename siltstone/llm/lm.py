@@ -11,9 +11,9 @@ from __future__ import annotations
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +32,8 @@ BACKOFF, DISCOUNT = 8.0, 0.7
 SHARD_BYTES = 4_000_000
 #: Tokens that are counted together, and rows in a batch of counts; they bound the memory of a counting task.
 RUN_TOKENS, RUN_ROWS = 1_000_000, 65_536
-#: Most bytes of model that may be broadcast, as every Python worker holds a copy; beyond, tokens are scored by joins
-#: with the same counts and filter.
+#: Most bytes of model that may be broadcast, as every Python worker holds a copy; beyond, runs of
+#: texts ask the shards for the same counts and levels.
 BROADCAST_BYTES = 200_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -227,6 +227,22 @@ def log_probabilities(c, c_before, c_pair, total: int, types: int):
     return base, np.log10(np.minimum(1.0, (pair + BACKOFF * token) / (c_before + BACKOFF)))
 
 
+def _scores(ids: list, lengths: np.ndarray, starts: np.ndarray, c, base, own, total: int) -> pa.RecordBatch:
+    """The result's rows of texts that stand end to end, from their tokens' counts and log probabilities."""
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ids, pa.int64()),
+            pa.array([held_out(d) for d in ids]),
+            pa.array(lengths.astype(np.int64)),
+            pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
+            pa.array(np.full(len(ids), total, np.int64)),
+            pa.array(np.add.reduceat(base, starts)),
+            pa.array(np.add.reduceat(own, starts)),
+        ],
+        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    )
+
+
 def train(docs: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
     """The model's parts (kind, shard, body, extra, n, total), one row per shard, and the number of shards."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -250,7 +266,7 @@ def score(docs: DataFrame, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int
     parts, shards = train(docs, scratch, shard_bytes)
     size = parts.agg(F.sum(F.length("body") + F.length("extra"))).first()[0] or 0
     if size > broadcast_bytes:
-        return _score_by_joins(docs, parts, shards, scratch)
+        return _score_by_shards(docs, parts, shards, scratch)
     # One shard at a time comes to the driver, into arrays of their final size.
     sizes = [tuple(r) for r in parts.select("kind", "shard", "n", F.length("body")).collect()]
     rows = ((r.kind, r.shard, r.body, r.extra) for r in parts.toLocalIterator())
@@ -275,18 +291,7 @@ def score(docs: DataFrame, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int
                 before[starts] = model.token_counts(np.array([_END]))[0]
                 pairs, back = np.unique(pairs, return_inverse=True)
                 base, own = log_probabilities(c, before, model.bigram_counts(pairs)[back], model.total, model.types)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array([held_out(d) for d in ids]),
-                        pa.array(n.astype(np.int64)),
-                        pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
-                        pa.array(np.full(len(ids), model.total, np.int64)),
-                        pa.array(np.add.reduceat(base, starts)),
-                        pa.array(np.add.reduceat(own, starts)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                yield _scores(ids, n, starts, c, base, own, model.total)
 
     return docs.select("doc_id", "text").mapInArrow(run, _RESULT)
 
@@ -294,68 +299,141 @@ def score(docs: DataFrame, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score_by_joins(docs: DataFrame, parts: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
-    """The same scores where the model is too large to broadcast: each distinct row's tokens meet their counts by joins.
+def _pairs_of(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins, and the bigram hashes of texts that stand end to end."""
+    starts = np.cumsum(lengths) - lengths
+    before = np.concatenate([[_END], tokens[:-1]])
+    before[starts] = _END
+    return starts, mixed(before * _B + tokens)
+
+
+def _runs(batches):
+    """Texts end to end, about RUN_TOKENS tokens a row: their documents, lengths, distinct tokens and the places of these."""
+
+    def flush(ids, held):
+        lengths = np.array([len(t) for t in held], np.int64)
+        unique, places = np.unique(np.concatenate(held), return_inverse=True)
+        packed = pa.compress(places.astype(np.uint32).tobytes(), "zstd", asbytes=True)
+        run = (TaskContext.get().partitionId() << 32) + made
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((run, ids, lengths.tobytes(), unique.tobytes(), packed), _RUN, strict=True)], _RUN_NAMES)
+
+    ids, held, n, made = [], [], 0, 0
+    for batch in batches:
+        texts = batch.column(1)
+        for i, doc_id in enumerate(batch.column(0).to_pylist()):
+            ids.append(doc_id)
+            held.append(token_hashes(texts[i].as_py()))
+            n += len(held[-1])
+            if n >= RUN_TOKENS:
+                yield flush(ids, held)
+                ids, held, n, made = [], [], 0, made + 1
+    if held:
+        yield flush(ids, held)
+    del held
+    release()
+
+
+_RUN_NAMES = ["run", "ids", "lengths", "tokens", "places"]
+_RUN = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _unpacked(lengths: bytes, tokens: bytes, places: bytes):
+    """Lengths, distinct tokens, the place of each token among them, where each text begins, and the bigrams."""
+    lengths, unique = np.frombuffer(lengths, np.int64), np.frombuffer(tokens, np.uint64)
+    where = np.frombuffer(pa.decompress(places, 4 * int(lengths.sum()), "zstd", asbytes=True), np.uint32)
+    return lengths, unique, where, *_pairs_of(unique[where], lengths)
+
 
-    Token counts come out of the shards as rows; bigrams are dealt to their shard's filter in cogroups of bounded size.
+def _score_by_shards(docs: DataFrame, parts: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+    """The same scores where the model is too large to broadcast: runs of texts ask each shard for what they hold of it.
+
+    A run sends a shard its distinct hashes, and gets a byte for each bigram and a count for each token back in their
+    order, so neither the model nor a row for each token ever meets in one place.
     """
-    spark = docs.sparkSession
     told = parts.where("kind = 1").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     total, types = told.total or 0, told.n or 0
-    rows = scratch.keep(docs.select("doc_id", "text", F.xxhash64("text").alias("version")).groupBy("doc_id", "version").agg(F.any_value("text").alias("text"), F.count("*").alias("copies")))
+    runs = scratch.keep(docs.select("doc_id", "text").mapInArrow(_runs, "run long, ids array<bigint>, lengths binary, tokens binary, places binary"))
 
-    def places(batches):
+    def ask(batches):
         for batch in batches:
-            ids, versions, texts = (batch.column(i) for i in range(3))
             for i in range(batch.num_rows):
-                tokens = token_hashes(texts[i].as_py())
-                pairs = bigram_hashes(tokens)
-                unique, counts = np.unique(np.stack([tokens, np.concatenate([[_END], tokens[:-1]]), pairs]), axis=1, return_counts=True)
-                n = unique.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i].as_py()] * n, pa.int64()), pa.array([versions[i].as_py()] * n, pa.int64())]
-                    + [pa.array(unique[k].view(np.int64)) for k in range(3)]
-                    + [pa.array(counts.astype(np.int64)), pa.array(shard_of(unique[2], shards).astype(np.int32))],
-                    ["doc_id", "version", "token", "before", "pair", "times", "shard"],
-                )
-
-    spots = scratch.keep(rows.select("doc_id", "version", "text").mapInArrow(places, "doc_id long, version long, token long, before long, pair long, times long, shard int"))
-
-    def unpack(batches):
+                run = batch.column(0)[i].as_py()
+                _, unique, _, _, pairs = _unpacked(*(batch.column(k)[i].as_py() for k in (2, 3, 4)))
+                for kind, hashes in ((0, unique), (1, np.unique(pairs))):
+                    shard = shard_of(hashes, shards)
+                    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+                    part = (shard[cuts[:-1]] * 2 + kind).astype(np.int32)
+                    bodies = [hashes[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([run] * len(part)), pa.array(bodies, pa.binary()), pa.nulls(len(part), pa.binary())], ["part", "run", "body", "extra"])
+        release()
+
+    def answer(batches):
+        now, held = None, None
         for batch in batches:
-            for body, extra in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(body, np.int64)), pa.array(np.frombuffer(extra, np.int64))], ["token", "c"])
-
-    counts = scratch.keep(parts.where("kind = 1").select("body", "extra").mapInArrow(unpack, "token long, c long"))
-
-    def asked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        held = [(2, int(s), bytes(b), b"") for s, b in zip(right["shard"], right["body"], strict=True)]
-        model = Model.of(held, [(2, s, 0, len(b)) for _, s, b, _ in held], shards)
-        pairs = left["pair"].to_numpy(np.int64)
-        return pd.DataFrame({"pair": pairs, "c_pair": model.bigram_counts(pairs.view(np.uint64))})
-
-    filters = parts.where("kind = 2").select("shard", "body")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    salted = spots.select("pair", "shard").distinct().withColumn("salt", F.pmod(F.xxhash64("pair"), F.lit(16)).cast("int"))
-    pairs = salted.groupBy("shard", "salt").cogroup(filters.withColumn("salt", salts).groupBy("shard", "salt")).applyInPandas(asked, "pair long, c_pair long")
-    joined = spots.join(pairs, "pair").join(counts, "token", "left")
-    joined = joined.join(counts.select(F.col("token").alias("before"), F.col("c").alias("c_before")), "before", "left")
-    joined = joined.fillna(0, ["c", "c_before"])
-    c, cb = F.col("c"), F.col("c_before")
-    base = F.log10((c + 1) / float(total + types + 1))
-    if total:
-        token = F.when(c > 0, c - DISCOUNT).otherwise(F.lit(DISCOUNT * types)) / float(total)
-        pair = F.when(c > 0, F.least("c_pair", c, cb)).otherwise(F.lit(0))
-        own = F.log10(F.least(F.lit(1.0), (pair + BACKOFF * token) / (cb + BACKOFF)))
-    else:
-        own = F.lit(0.0)
-    sums = joined.groupBy("doc_id", "version").agg(
-        F.sum("times").alias("n_tokens"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(base * F.col("times")).alias("base_score"),
-        F.sum(own * F.col("times")).alias("score"),
-    )
-    keys = rows.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "copies")
-    out = sums.join(keys, F.expr("doc_id <=> d AND version <=> v")).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(True))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+            part, run = (batch.column(k).to_numpy() for k in range(2))
+            bodies, extras = batch.column(2), batch.column(3)
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else [0]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if part[x] != now:
+                    now, held = int(part[x]), None
+                if run[x] < 0:
+                    held = (bodies[int(x)].as_py(), extras[int(x)].as_py())
+                    x += 1
+                if x == y:
+                    continue
+                sent = [np.frombuffer(bodies[k].as_py(), np.uint64) for k in range(int(x), int(y))]
+                asked, back = np.unique(np.concatenate(sent), return_inverse=True)
+                found = _found(now, held, asked)[back]
+                ends = np.cumsum([len(h) for h in sent])
+                made = [f.tobytes() for f in np.split(found, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(run[x:y]), pa.array(np.full(y - x, now, np.int32)), pa.array(made, pa.binary())], ["run", "part", "body"])
+        release()
+
+    def _found(part: int, held, asked: np.ndarray) -> np.ndarray:
+        """The counts of tokens, or the levels of bigrams, in a part of the model."""
+        body, extra = held or (b"", b"")
+        if part % 2:
+            model = Model.of([(2, part // 2, body, b"")], [(2, part // 2, 0, len(body))], shards)
+            return np.searchsorted(LEVELS, model.bigram_counts(asked), side="right").astype(np.uint8)
+        keys, counts = np.frombuffer(body, np.uint64), np.frombuffer(extra, np.int64)
+        return Model(keys, counts, np.zeros(0, np.uint8), np.zeros(1, np.uint64), np.zeros(1, np.uint64)).token_counts(asked)
+
+    model = parts.select((F.col("shard") * 2 + F.col("kind") - 1).cast("int").alias("part"), F.lit(-1).cast("long").alias("run"), "body", "extra")
+    asked = runs.mapInArrow(ask, "part int, run long, body binary, extra binary").unionByName(model)
+    # A part of the model comes before what it is asked.
+    asked = asked.repartition("part").sortWithinPartitions("part", "run")
+    answers = scratch.keep(asked.mapInArrow(answer, "run long, part int, body binary"))
+    scratch.drop(parts)
+
+    def scored(ids, packed, bodies):
+        lengths, unique, where, starts, pairs = _unpacked(*packed)
+        # The parts are in the order of their shards, and so are the hashes.
+        known = np.concatenate([np.frombuffer(b, np.int64) for part, b in bodies if not part % 2])
+        levels = np.concatenate([np.frombuffer(b, np.uint8) for part, b in bodies if part % 2])
+        c = known[where]
+        before = np.concatenate([[0], c[:-1]])
+        before[starts] = known[np.searchsorted(unique, _END)]
+        back = np.unique(pairs, return_inverse=True)[1]
+        base, own = log_probabilities(c, before, np.concatenate([[0], LEVELS])[levels[back]], total, types)
+        return _scores(ids, lengths, starts, c, base, own, total)
+
+    def run(batches):
+        now, row, bodies = None, None, []
+        for batch in batches:
+            runs, part = (batch.column(k).to_numpy() for k in range(2))
+            for i in range(batch.num_rows):
+                if runs[i] != now:
+                    if now is not None:
+                        yield scored(*row, bodies)
+                    now, bodies = runs[i], []
+                    row = (batch.column(3)[i].as_py(), [batch.column(k)[i].as_py() for k in (4, 5, 6)])
+                else:
+                    bodies.append((int(part[i]), batch.column(2)[i].as_py()))
+        if now is not None:
+            yield scored(*row, bodies)
+        release()
+
+    empty = [F.lit(None).cast(t).alias(n) for n, t in zip(_RUN_NAMES[1:], ("array<bigint>", "binary", "binary", "binary"), strict=True)]
+    first = runs.select("run", F.lit(-1).alias("part"), F.lit(None).cast("binary").alias("body"), *_RUN_NAMES[1:])
+    whole = first.unionByName(answers.select("run", "part", "body", *empty)).repartition("run").sortWithinPartitions("run", "part")
+    return whole.mapInArrow(run, _RESULT)

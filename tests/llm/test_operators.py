@@ -204,6 +204,25 @@ def test_both_ways_score_alike(docs):
     assert all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
 
 
+def test_a_model_that_is_not_broadcast_writes_no_row_for_each_token(docs, monkeypatch):
+    from siltstone.session import Scratch
+
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: (kept.append(keep(self, df)), kept[-1])[1])
+    monkeypatch.setattr(Scratch, "drop", lambda self, *frames: None)
+    scored = lm.score(docs, shard_bytes=100_000, broadcast_bytes=0)
+    tokens = scored.agg({"n_tokens": "sum"}).first()[0]
+    assert len(kept) > 1 and all(100 * made.count() < tokens for made in kept)
+
+
+def test_runs_of_texts_score_like_one(docs, monkeypatch):
+    # A run's tokens may come from many documents or few.
+    whole = {r.doc_id: r for r in lm.score(docs, shard_bytes=100_000).collect()}
+    monkeypatch.setattr(lm, "RUN_TOKENS", 3_000)
+    for r in lm.score(docs, shard_bytes=100_000, broadcast_bytes=0).collect():
+        assert r == whole[r.doc_id]
+
+
 def test_filter_never_understates(spark):
     import numpy as np
 
