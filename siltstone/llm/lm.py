@@ -8,6 +8,7 @@ smallest count of the last level as the bigram's count, interpolated with discou
 
 from __future__ import annotations
 
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -32,6 +33,8 @@ BACKOFF, DISCOUNT = 8.0, 0.7
 SHARD_BYTES = 4_000_000
 #: Tokens that are counted together, and rows in a batch of counts; they bound the memory of a counting task.
 RUN_TOKENS, RUN_ROWS = 1_000_000, 65_536
+#: Parts in which runs ask the shards, one after the other: what is shuffled at once is so much less.
+TURNS = 2
 #: Most bytes of model that may be broadcast, as every Python worker holds a copy; beyond, runs of
 #: texts ask the shards for the same counts and levels.
 BROADCAST_BYTES = 200_000_000
@@ -354,18 +357,25 @@ def _score_by_shards(docs: DataFrame, parts: DataFrame, shards: int, scratch: Sc
     total, types = told.total or 0, told.n or 0
     runs = scratch.keep(docs.select("doc_id", "text").mapInArrow(_runs, "run long, ids array<bigint>, lengths binary, tokens binary, places binary"))
 
-    def ask(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                run = batch.column(0)[i].as_py()
-                _, unique, _, _, pairs = _unpacked(*(batch.column(k)[i].as_py() for k in (2, 3, 4)))
-                for kind, hashes in ((0, unique), (1, np.unique(pairs))):
-                    shard = shard_of(hashes, shards)
-                    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-                    part = (shard[cuts[:-1]] * 2 + kind).astype(np.int32)
-                    bodies = [hashes[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([run] * len(part)), pa.array(bodies, pa.binary()), pa.nulls(len(part), pa.binary())], ["part", "run", "body", "extra"])
-        release()
+    def ask_in(turn):
+        def ask(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    run = batch.column(0)[i].as_py()
+                    _, unique, _, _, pairs = _unpacked(*(batch.column(k)[i].as_py() for k in (2, 3, 4)))
+                    for kind, hashes in ((0, unique), (1, np.unique(pairs))):
+                        shard = shard_of(hashes, shards)
+                        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+                        some = [(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if shard[x] % TURNS == turn]
+                        part = [int(shard[x]) * 2 + kind for x, _ in some]
+                        bodies = [hashes[x:y].tobytes() for x, y in some]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(part, pa.int32()), pa.array([run] * len(part), pa.int64()), pa.array(bodies, pa.binary()), pa.nulls(len(part), pa.binary())],
+                            ["part", "run", "body", "extra"],
+                        )
+            release()
+
+        return ask
 
     def answer(batches):
         now, held = None, None
@@ -398,11 +408,15 @@ def _score_by_shards(docs: DataFrame, parts: DataFrame, shards: int, scratch: Sc
         keys, counts = np.frombuffer(body, np.uint64), np.frombuffer(extra, np.int64)
         return Model(keys, counts, np.zeros(0, np.uint8), np.zeros(1, np.uint64), np.zeros(1, np.uint64)).token_counts(asked)
 
-    model = parts.select((F.col("shard") * 2 + F.col("kind") - 1).cast("int").alias("part"), F.lit(-1).cast("long").alias("run"), "body", "extra")
-    asked = runs.mapInArrow(ask, "part int, run long, body binary, extra binary").unionByName(model)
-    # A part of the model comes before what it is asked.
-    asked = asked.repartition("part").sortWithinPartitions("part", "run")
-    answers = scratch.keep(asked.mapInArrow(answer, "run long, part int, body binary"))
+    def answers_of(turn):
+        part = (F.col("shard") * 2 + F.col("kind") - 1).cast("int").alias("part")
+        model = parts.where(F.col("shard") % TURNS == turn).select(part, F.lit(-1).cast("long").alias("run"), "body", "extra")
+        asked = runs.mapInArrow(ask_in(turn), "part int, run long, body binary, extra binary").unionByName(model)
+        # A part of the model comes before what it is asked.
+        asked = asked.repartition("part").sortWithinPartitions("part", "run")
+        return scratch.keep(asked.mapInArrow(answer, "run long, part int, body binary"))
+
+    answers = reduce(DataFrame.unionByName, [answers_of(turn) for turn in range(TURNS)])
     scratch.drop(parts)
 
     def scored(ids, packed, bodies):

@@ -215,11 +215,10 @@ def test_a_model_that_is_not_broadcast_writes_no_row_for_each_token(docs, monkey
     assert len(kept) > 1 and all(100 * made.count() < tokens for made in kept)
 
 
-def test_runs_of_texts_score_like_one(docs, monkeypatch):
-    # A run's tokens may come from many documents or few.
+def test_runs_of_texts_score_like_one(docs):
     whole = {r.doc_id: r for r in lm.score(docs, shard_bytes=100_000).collect()}
-    monkeypatch.setattr(lm, "RUN_TOKENS", 3_000)
-    for r in lm.score(docs, shard_bytes=100_000, broadcast_bytes=0).collect():
+    # Each partition is a run of its own.
+    for r in lm.score(docs.repartition(9), shard_bytes=100_000, broadcast_bytes=0).collect():
         assert r == whole[r.doc_id]
 
 
