@@ -67,6 +67,7 @@ def release() -> None:
     """Give freed memory back to the system; a worker that did a heavy step stays for the next one."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
