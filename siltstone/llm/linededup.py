@@ -1,15 +1,16 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-Equal lines share a node. Nodes get MinHash signatures over character shingles, banded for high recall; in a band's
-bucket every node first meets the bucket's representative, its most frequent node. Pairs whose sketches are close are
-verified by the exact Jaccard similarity of their character 5-gram sets, links are joined by distributed union-find,
-and of each component the first line stays. Members of a bucket that stand in different components after that meet
-each other as well, in tiles of bounded size.
+Equal lines share a node. Nodes get MinHash signatures over character shingles, banded for high recall. In a band's
+small bucket all nodes meet; in a larger one every node first meets the bucket's representative, its most frequent
+node. Pairs whose sketches are close are verified by the exact Jaccard similarity of their character 5-gram sets, links
+are joined by distributed union-find, and of each component the first line stays. Members of a larger bucket that stand
+in different components after that meet each other as well, in tiles of bounded size.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 from random import Random
 
 from pyspark.sql import Column, DataFrame
@@ -20,20 +21,21 @@ from siltstone.session import Scratch, tidy
 
 #: Characters of a shingle and least Jaccard similarity of a link.
 SHINGLE, SIMILAR = 5, 0.8
-#: A signature is a square of SIDE * SIDE minima; its rows and columns are the bands. Of two lines with similarity 0.8
-#: about 94 of 100 share a band, with 0.85 98, of two unrelated ones (up to about 0.12) next to none.
-SIDE = 5
-BANDS = 2 * SIDE
+#: A signature has BANDS bands of ROWS minima. Of two lines with similarity 0.8 about 95 of 100 share a band, with 0.83
+#: 98, of two unrelated ones (up to about 0.12) next to none.
+BANDS, ROWS = 8, 5
 #: Lines of more shingles than FULL are signed by one in RATE of them, chosen by their hashes; lines of up to BOTH, and
 #: longer ones in which shingles often repeat, by all. In between both count, so any two similar lines share a scheme.
-FULL, BOTH, RATE = 96, 120, 8
+FULL, BOTH, RATE = 160, 200, 8
 #: Places at which a long line is tried for repeats, and how many different shingles tell that it has few.
 TRIED, VARIED = 32, 30
-#: Of SIDE * SIDE minima, sketches of candidates differ in two bits of at most so many; similar lines that share a band
-#: differ in 3 on the average and in more than this in about 3 of 1,000 cases.
-CLOSE = 9
+#: A sketch has two bits of each of the first SKETCH minima, and those of candidates differ at CLOSE of them at most;
+#: similar lines that share a band differ at 4 on the average.
+SKETCH, CLOSE = 31, 11
 #: Parts in which the bands are dealt out by key, one after the other: what is shuffled at once is so much less.
 ROUNDS = 3
+#: Members of a bucket that all meet each other at once; in a larger one they meet its representative first.
+SMALL = 8
 #: Nodes in a chunk of a large bucket.
 CHUNK = 256
 #: Words of 64 bits in the set that bounds the similarity of two lines before they are compared.
@@ -53,7 +55,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     # The text is hashed and split before its lines are dealt out, once a document.
     whole = docs.select("doc_id", F.xxhash64("text").alias("version"), F.split("text", "\n").alias("parts"))
     parts = whole.select("doc_id", "version", F.posexplode_outer("parts").alias("line_no", "raw"))
-    line = F.btrim("raw", F.lit(" \t\r"))
+    # btrim goes through the whole line, which most lines do not need.
+    ends = reduce(or_, (F.col("raw").startswith(c) | F.col("raw").endswith(c) for c in " \t\r"))
+    line = F.when(ends, F.btrim("raw", F.lit(" \t\r"))).otherwise(F.col("raw"))
     cut = parts.select("doc_id", "version", "line_no", line.alias("line")).where("line <> ''")
     node = F.shiftrightunsigned(F.xxhash64("line"), 64 - _NODE_BITS)
     return cut.select("*", node.alias("node"), F.xxhash64("line", F.lit(1)).alias("proof"))
@@ -64,16 +68,10 @@ def _salt(place: int) -> int:
     return (place + 1) * 0x9E3779B9 % 2**32 - 2**31
 
 
-def bands() -> list[list[int]]:
-    """The places of a signature that make up each band: its rows, then its columns."""
-    rows = [[SIDE * i + j for j in range(SIDE)] for i in range(SIDE)]
-    return rows + [list(c) for c in zip(*rows, strict=True)]
-
-
 def sketch_of(minima: list[Column]) -> Column:
-    """Two bits of each minimum."""
+    """Two bits of each of the first minima."""
     out = F.lit(0).cast("long")
-    for k, m in enumerate(minima):
+    for k, m in enumerate(minima[:SKETCH]):
         out = out.bitwiseOR(F.shiftleft(m.bitwiseAND(F.lit(3)).cast("long"), 2 * k))
     return out
 
@@ -94,15 +92,16 @@ def packed(node: Column, occurs: Column) -> Column:
 def signatures(lines: DataFrame) -> DataFrame:
     """(node, home, packed, sketch, keys), once for each scheme by which a node is signed; home is a document that has it.
 
-    A signature's place has the least of one of SIDE hashes of the shingles, after XOR with the place's salt.
+    A signature's place has the least of one of BANDS hashes of the shingles, after XOR with the place's salt.
     """
     # Four bytes a character, so that a shingle is cut out in constant time.
     wide = lines.select("node", _home().alias("home"), F.encode("line", "UTF-32").alias("wide"))
     wide = wide.withColumn("last", F.greatest(F.floor(F.length("wide") / 4).cast("int") - SHINGLE, F.lit(0)))
     shingle = lambda at: F.hash(F.substring("wide", at * 4 + 1, F.lit(4 * SHINGLE)))
-    # The same irregular places in every line, so that no period of a text falls in with them.
+    # Irregular places, so that no period of a text falls in with them, each in a part of its own, so that only repeats
+    # are found equal.
     draw = Random(TRIED)
-    places = F.array(*(F.lit(draw.random()) for _ in range(TRIED)))
+    places = F.array(*(F.lit((k + draw.random()) / TRIED) for k in range(TRIED)))
     tried = F.transform(places, lambda x: shingle(F.floor(F.col("last") * x).cast("int")))
     few = (F.col("last") < BOTH) | (F.size(F.array_distinct(tried)) < VARIED)
     schemes = F.when(F.col("last") < FULL, F.array(F.lit(0))).when(few, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
@@ -110,12 +109,12 @@ def signatures(lines: DataFrame) -> DataFrame:
     dealt = dealt.select("node", "home", "wide", "scheme", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at"))
     each = dealt.select("node", "home", "scheme", shingle(F.col("at")).alias("h"))
     each = each.where(f"scheme = 0 OR h & {RATE - 1} = 0")
-    each = each.select("node", "home", "scheme", *(F.hash("h", F.lit(r)).alias(f"h{r}") for r in range(SIDE)))
-    # Row i and column j take hash i + j, so that neither a row nor a column has one twice.
-    mins = [F.min(F.col(f"h{(k // SIDE + k) % SIDE}").bitwiseXOR(F.lit(_salt(k)))).alias(f"m{k}") for k in range(SIDE * SIDE)]
+    each = each.select("node", "home", "scheme", *(F.hash("h", F.lit(r)).alias(f"h{r}") for r in range(BANDS)))
+    # Place j of band b takes hash b + j, so that no band has one twice.
+    mins = [F.min(F.col(f"h{(k // ROWS + k % ROWS) % BANDS}").bitwiseXOR(F.lit(_salt(k)))).alias(f"m{k}") for k in range(BANDS * ROWS)]
     signed = each.groupBy("node", "scheme").agg(F.count("*").alias("occurs"), F.min("home").alias("home"), *mins)
-    keys = F.array(*(F.xxhash64(F.lit(b), "scheme", *(f"m{k}" for k in band)) for b, band in enumerate(bands())))
-    sketch = sketch_of([F.col(f"m{k}") for k in range(SIDE * SIDE)])
+    keys = F.array(*(F.xxhash64(F.lit(b), "scheme", *(f"m{ROWS * b + j}" for j in range(ROWS))) for b in range(BANDS)))
+    sketch = sketch_of([F.col(f"m{k}") for k in range(BANDS * ROWS)])
     return signed.select("node", "home", packed(F.col("node"), F.col("occurs")).alias("packed"), sketch.alias("sketch"), keys.alias("keys"))
 
 
@@ -125,53 +124,71 @@ def _home() -> Column:
 
 
 def bucket_members(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, node, sketch, top, top_sketch, n) of the buckets that several nodes share, with each one's representative; kept."""
+    """(key, node, sketch, top, top_sketch, n) of the buckets that several nodes share, with each one's representative; kept.
+
+    Sketches tell how the members of a bucket differ: in a bucket of two the representative's is 0.
+    """
+
+    def banded(keys: Column) -> DataFrame:
+        return signed.select("packed", "sketch", F.explode(keys).alias("key"))
 
     def shared(part: int) -> DataFrame:
-        keys = F.filter("keys", lambda _, i: i % ROUNDS == part)
-        banded = signed.select("packed", "sketch", F.explode(keys).alias("key"))
-        several = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        # One row a key on this side, so a hash table of a partition's keys is small and nothing need be sorted.
-        return scratch.keep(banded.join(several.hint("shuffle_hash"), "key"))
+        # A slice is compiled code, a filter by position is not.
+        width = F.ceil(F.size("keys") / ROUNDS).cast("int")
+        found = banded(F.slice("keys", width * part + 1, width)).groupBy("key")
+        found = found.agg(F.count("*").alias("n"), F.max("packed").alias("top"), F.min("packed").alias("low"), F.bit_xor("sketch").alias("apart"))
+        return scratch.keep(found.where("n > 1"))
 
     # Keys of different bands are different, so a bucket's rows meet in one part.
     parts = [shared(k) for k in range(ROUNDS)]
-    held = reduce(DataFrame.unionByName, parts)
-    tops = held.groupBy("key").agg(F.max("packed").alias("top"), F.max_by("sketch", "packed").alias("top_sketch"))
+    buckets = reduce(DataFrame.unionByName, parts)
+    # The least and the largest are all that a bucket of two has, so that only the others' rows are looked up.
+    zero = F.lit(0).cast("long")
+    both = F.inline(F.array(F.struct(F.col("top").alias("packed"), zero.alias("sketch")), F.struct(F.col("low").alias("packed"), F.col("apart").alias("sketch"))))
+    twos = buckets.where("n = 2").select("key", both, "top", zero.alias("top_sketch"), "n")
+    large = buckets.where("n > 2").select("key", "top", "n")
+    rows = scratch.keep(asked_and_clear(banded(F.col("keys")), large, "key")[0].join(large, "key"))
+    tops = rows.where("packed = top").select("key", F.col("sketch").alias("top_sketch"))
+    held = twos.unionByName(rows.join(tops, "key"))
     node, top = (F.col(c).bitwiseAND(F.lit(_NODE)).alias(n) for c, n in (("packed", "node"), ("top", "top")))
-    members = scratch.keep(held.join(tops, "key").select("key", node, "sketch", top, "top_sketch", "n"))
-    scratch.drop(*parts)
+    members = scratch.keep(held.select("key", node, "sketch", top, "top_sketch", "n"))
+    scratch.drop(rows, *parts)
     tidy(scratch.spark)
     return members
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of close nodes that meet in a bucket with its representative."""
-    pairs = members.where("node <> top").where(_close("sketch", "top_sketch"))
-    return pairs.select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct()
+    """Distinct pairs (a, b), a < b, of close nodes that meet: all of a small bucket, and each with its representative."""
+    first = members.where("node <> top").where(_close("sketch", "top_sketch")).select(F.col("node").alias("p"), F.col("top").alias("q"))
+    few = members.where(f"n > 2 AND n <= {SMALL} AND node <> top")
+    x, y = (few.select("key", F.col("node").alias(n), F.col("sketch").alias(f"sketch_{n}")) for n in ("p", "q"))
+    others = x.join(y, "key").where("p < q").where(_close("sketch_p", "sketch_q")).select("p", "q")
+    return first.unionByName(others).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def split_members(members: DataFrame, component: DataFrame) -> DataFrame:
-    """(key, node, class, sketch, chunks) of the buckets whose members stand in several components, but for their
-    representatives, which have met all others."""
-    named = members.where("n > 2").join(component, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    split = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
-    held = named.join(split, "key").where("node <> top")
-    return held.select("key", "node", "class", "sketch", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    """(key, node, class, sketch, chunks, lead) of the buckets that are not small and whose members stand in several
+    components, but for their representatives, which have met all others; lead: whether it is in the component of its
+    bucket's representative."""
+    named = members.where(f"n > {SMALL}").join(component, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    split = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.expr("CASE WHEN node = top THEN class END")).alias("led"))
+    held = named.join(split.where("low < high").select("key", "led"), "key").where("node <> top")
+    return held.select("key", "node", "class", "sketch", F.ceil(F.col("n") / CHUNK).alias("chunks"), F.expr("class = led").alias("lead"))
 
 
 def _tiles(held: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, Column]:
     """The two sides on which members meet, and when they do: once each pair of close ones in different classes.
 
-    A bucket is cut into chunks of about CHUNK nodes, and a tile is a pair of chunks, so no task gets a whole large
-    bucket. The nodes of a chunk meet in the chunk's own tile; in another tile they meet the other chunk's.
+    A bucket is cut into chunks of about CHUNK nodes, which meet the nodes outside the representative's component, so no
+    task gets a whole large bucket's pairs. Two nodes of that component need not meet, so only the others are repeated.
     """
-    dealt = held.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    x, y = (dealt.select(*(F.col(c).alias(f"{c}_{n}") for c in ("key", "i", "j", "mine", "node", "class", "sketch", *columns))) for n in ("a", "b"))
-    same = F.expr("key_a = key_b AND i_a = i_b AND j_a = j_b AND class_a <> class_b AND (i_a < j_a OR node_a < node_b)")
-    return x.where("mine_a = i_a"), y.where("mine_b = j_b"), same & _close("sketch_a", "sketch_b")
+    lead = F.col("lead") if "lead" in held.columns else F.lit(False)
+    dealt = held.withColumn("lead", lead).withColumn("at", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    others = dealt.where("NOT lead").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    names = ("key", "at", "lead", "node", "class", "sketch", *columns)
+    x, y = (side.select(*(F.col(c).alias(f"{c}_{n}") for c in names)) for side, n in ((others, "a"), (dealt, "b")))
+    same = F.expr("key_a = key_b AND at_a = at_b AND class_a <> class_b AND (lead_b OR node_a < node_b)")
+    return x, y, same & _close("sketch_a", "sketch_b")
 
 
 def with_partners(held: DataFrame) -> DataFrame:
@@ -189,8 +206,10 @@ def marks_of(texts: DataFrame) -> DataFrame:
     dealt = wide.select("node", "wide", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
     each = dealt.select("node", "size", F.hash(F.substring("wide", F.col("at") * 4 + 1, F.lit(4 * SHINGLE))).alias("h"))
     each = each.select("node", "size", F.expr("shiftleft(1L, h & 63)").alias("bit"), F.expr(f"pmod(shiftright(h, 6), {WORDS})").alias("word"))
+    # Bits of a word are put together first, so that few rows are tried for every word.
+    words = each.groupBy("node", "word").agg(F.max("size").alias("size"), F.bit_or("bit").alias("bit"))
     sets = (F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("long")) for k in range(WORDS))
-    return each.groupBy("node").agg(F.max("size").alias("size"), F.array(*sets).alias("bits"))
+    return words.groupBy("node").agg(F.max("size").alias("size"), F.array(*sets).alias("bits"))
 
 
 def _may_be_similar(similar: float) -> Column:
@@ -225,9 +244,10 @@ def similar_pairs(joined: DataFrame, similar: float) -> DataFrame:
     def hashed(line: str) -> Column:
         # Four bytes a character, so that a shingle is cut out in constant time.
         def shingles(wide: Column) -> Column:
-            last = F.greatest(F.floor(F.length(wide) / 4).cast("int") - SHINGLE, F.lit(0))
-            cut = lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE)))
-            return F.transform(F.sequence(F.lit(0), last), cut)
+            last = F.greatest(F.length(wide) - 4 * SHINGLE, F.lit(0)) + 1
+            # Only what must be is in the lambda, which is interpreted.
+            cut = lambda i: F.xxhash64(F.substring(wide, i, F.lit(4 * SHINGLE)))
+            return F.transform(F.sequence(F.lit(1), last, F.lit(4)), cut)
 
         return F.transform(F.array(F.encode(line, "UTF-32")), shingles)[0]
 
@@ -238,14 +258,14 @@ def similar_pairs(joined: DataFrame, similar: float) -> DataFrame:
     return joined.select("a", "b", both).where(share >= similar).select("a", "b")
 
 
-def asked_and_clear(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`rows` (with a column node) in two: those whose node may be in `wanted` (column node), and those whose is not.
+def asked_and_clear(rows: DataFrame, wanted: DataFrame, by: str = "node") -> tuple[DataFrame, DataFrame]:
+    """`rows` in two: those whose column `by`, a hash, may be in that of `wanted`, and those whose is not.
 
     A set of 2**FILTER_BITS bits, 64 to a row, is broadcast: its size does not grow. The more is wanted, the fewer rows
     it clears.
     """
-    word = F.shiftright(F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
-    bit = F.expr("shiftleft(1L, CAST(node & 63 AS INT))")
+    word = F.shiftright(F.col(by).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6)
+    bit = F.expr(f"shiftleft(1L, CAST({by} & 63 AS INT))")
     bits = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     met = rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left")
     hit = F.coalesce(bit.bitwiseAND(F.col("_bits")) != 0, F.lit(False))
@@ -262,10 +282,11 @@ def texts_of(wanted: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFram
 
     Each line is fetched from one document that has it, so a line that is everywhere is no skewed key.
     """
-    homes = signed.select("node", "home").join(wanted, "node", "left_semi").distinct()
-    found = wanted_lines(lines.select("node", _home().alias("home"), "proof", "line"), wanted)
+    spot = F.xxhash64("node", "home").alias("spot")
     # Not a semi-join, which would be moved below the filter.
-    found = found.join(homes, ["node", "home"])
+    homes = wanted_lines(signed.select("node", "home"), wanted).join(wanted, "node").distinct().select("*", spot)
+    found = asked_and_clear(lines.select("node", _home().alias("home"), "proof", "line").select("*", spot), homes, "spot")[0]
+    found = found.join(homes, ["node", "home", "spot"])
     one = F.min(F.struct("proof", "line")).alias("one")
     return found.groupBy("node").agg(one).select("node", "one.*")
 
@@ -283,22 +304,23 @@ def linked(signed: DataFrame, lines: DataFrame, scratch: Scratch, similar: float
     """
     members = bucket_members(signed, scratch)
     pairs = scratch.keep(candidate_pairs(members))
-    texts = scratch.keep(texts_of(ends_of(pairs), signed, lines))
+    # Members of larger buckets may meet later on; one scan fetches the lines of all.
+    later = members.where(f"n > {SMALL}").select("node")
+    texts = scratch.keep(texts_of(ends_of(pairs).unionByName(later).distinct(), signed, lines))
     links = scratch.keep(verified(pairs, texts, similar))
     component = connected_components(links, scratch)
-    proofs = texts.select("node", "proof")
     held = scratch.keep(with_partners(split_members(members, component)))
     scratch.drop(members)
     tidy(scratch.spark)
     if not held.isEmpty():
-        more = scratch.keep(texts_of(held.select("node").distinct(), signed, lines))
-        others = scratch.keep(other_pairs(held, signed.select("node", "keys"), marks_of(more), similar))
+        more = texts.join(held.select("node").distinct(), "node", "left_semi")
+        marks, keys = scratch.keep(marks_of(more)), wanted_lines(signed.select("node", "keys"), held.select("node"))
+        others = scratch.keep(other_pairs(held, keys, marks, similar))
         tidy(scratch.spark)
-        rest = scratch.keep(verified(others, more, similar))
-        proofs = proofs.unionByName(more.select("node", "proof")).distinct()
+        rest = scratch.keep(verified(others, texts, similar))
         if not rest.isEmpty():
             component = connected_components(links.unionByName(rest), scratch)
-    return component, proofs
+    return component, texts.select("node", "proof")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def band_keys(least: np.ndarray) -> list[int]:
 
 def sketch(least: np.ndarray) -> int:
     """Two bits of each of the first minima, as many as linededup.CLOSE is meant for."""
-    n = linededup.SIDE**2
+    n = linededup.SKETCH
     bits = (least[:n] >> np.uint64(32)) & np.uint64(3)
     return int((bits << (np.uint64(2) * np.arange(n, dtype=np.uint64))).sum())
 

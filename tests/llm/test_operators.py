@@ -475,6 +475,16 @@ def test_buckets_are_whole_whatever_part_their_band_is_in(spark):
     assert len(made.list()) == 1  # what it was made of is gone
 
 
+def test_a_small_bucket_needs_no_second_meeting(spark):
+    rows = [(1, n, 0, 7, 0, 8) for n in range(8)] + [(2, n, 0, 40, 0, 9) for n in range(32, 41)]
+    members = spark.createDataFrame(rows, "key long, node long, sketch long, top long, top_sketch long, n long")
+    pairs = {(r.a, r.b) for r in linededup.candidate_pairs(members).collect()}
+    assert pairs == set(combinations(range(8), 2)) | {(n, 40) for n in range(32, 40)}
+    component = spark.createDataFrame([(40, 32), (32, 32)], "node long, component long")
+    held = linededup.split_members(members, component)
+    assert {r.key for r in held.collect()} == {2}
+
+
 def test_every_pair_of_a_bucket_meets(spark, monkeypatch):
     monkeypatch.setattr(linededup, "CHUNK", 4)
     members = spark.createDataFrame([(1, n, 0, 39, 0, 40) for n in range(40)], "key long, node long, sketch long, top long, top_sketch long, n long")
@@ -486,6 +496,17 @@ def test_every_pair_of_a_bucket_meets(spark, monkeypatch):
     assert sorted(pairs) == sorted(set(combinations(range(39), 2)) - {(3, 5)})
 
 
+def test_only_what_the_representative_did_not_join_is_repeated(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "CHUNK", 4)
+    members = spark.createDataFrame([(1, n, 0, 39, 0, 40) for n in range(40)], "key long, node long, sketch long, top long, top_sketch long, n long")
+    component = spark.createDataFrame([(n, 2) for n in range(2, 40)], "node long, component long")
+    held = linededup.split_members(members, component)
+    x, y, meet = linededup._tiles(held, [])
+    assert x.count() == 2 * 10 and y.count() == 39
+    pairs = [(r.node_a, r.node_b) for r in x.join(y, meet).collect()]
+    assert sorted(pairs) == sorted([(0, 1)] + [(a, b) for a in range(2) for b in range(2, 39)])
+
+
 def test_marks_never_hide_similar_lines(spark):
     import random
 
