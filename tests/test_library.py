@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from siltstone.functions import text
-from siltstone.operators import code, diff, export, graph
+from siltstone.operators import code, contracts, diff, export, graph
 from siltstone.plans import queries as plans
 from siltstone.session import Scratch, tidy
 from siltstone.sources import files
@@ -390,3 +390,15 @@ def test_tidying_drops_what_nothing_refers_to(spark):
         tidy(spark)
         time.sleep(0.2)
     assert not shuffled(spark) - before
+
+
+def test_subtypes_compare_sets_and_not_pairs(spark):
+    rows = [(1, "x", ["a", "b"]), (2, "x", ["b", "a", "b"]), (3, "x", ["a"]), (4, "x", []), (5, "x", [None]), (6, "y", ["a"]), (6, "y", ["a", "c"]), (7, "y", ["a"]), (8, None, ["a"]), (9, "x", None)]
+    given = spark.createDataFrame(rows, "k int, g string, members array<string>")
+    a, b = given.alias("a"), given.alias("b")
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.k") != F.col("b.k")))
+    want = met.where(contracts.is_subtype(F.col("a.members"), F.col("b.members"))).select("a.k", "b.k")
+    assert sorted(map(tuple, contracts.subtypes(given, "k", ["g"]).collect())) == sorted(map(tuple, want.collect()))
+    # Rows are never compared with rows, only distinct sets with sets.
+    plan = contracts.subtypes(given, "k", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except(sup_form" in plan and "array_except(members" not in plan
