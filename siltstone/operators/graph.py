@@ -56,6 +56,11 @@ def existing(asked: DataFrame, edges: DataFrame) -> DataFrame:
     return asked.join(edges, ["src", "dst"], "left_semi")
 
 
+def existing_pairs(edges: DataFrame) -> DataFrame:
+    """Every (src, dst) that is an edge, once: what to start from where more pairs are asked for than there are edges."""
+    return edges.select("src", "dst").distinct()
+
+
 def pack(src: Column, dst: Column) -> Column:
     return F.shiftleft(src.cast("long"), 32).bitwiseOR(dst.cast("long"))
 

@@ -402,3 +402,17 @@ def test_subtypes_compare_sets_and_not_pairs(spark):
     # Rows are never compared with rows, only distinct sets with sets.
     plan = contracts.subtypes(given, "k", ["g"])._jdf.queryExecution().optimizedPlan().toString()
     assert "array_except(sup_form" in plan and "array_except(members" not in plan
+
+
+def test_has_edge_starts_from_the_edges(spark, tmp_path):
+    where = str(tmp_path)
+    spark.createDataFrame([(1, 0), (1, 0), (2, 0), (3, None)], "c_custkey long, c_nationkey int").write.parquet(f"{where}/customer.parquet")
+    spark.createDataFrame([(7, 0), (8, 1), (9, None)], "s_suppkey long, s_nationkey int").write.parquet(f"{where}/supplier.parquet")
+    spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{where}/orders.parquet")
+    lines = [(1, 7, "N"), (1, 7, "R"), (2, 8, "N"), (3, 9, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_returnflag string").write.parquet(f"{where}/lineitem.parquet")
+    got = plans.has_edge(spark, where)
+    assert sorted(map(tuple, got.collect())) == [(1, 7), (1, 7)]
+    # Every row is met by its key: customers and suppliers of a nation are never multiplied.
+    assert "c_nationkey" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in x)
+    assert "Join Inner, (c_nationkey" not in got._jdf.queryExecution().optimizedPlan().toString()
