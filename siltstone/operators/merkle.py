@@ -2,25 +2,95 @@
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
+from collections.abc import Iterable
+from functools import cache
 from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.session import Scratch
+from siltstone.session import Scratch, ship
 
 
 def repository_digest(files: DataFrame) -> DataFrame:
     """One row (files, repository_digest): SHA-256 over path:digest; of all files in the order of path and digest.
 
-    A hash of everything in order is sequential by its nature: Spark sorts, and the driver hashes one partition after
-    the other without holding more than one.
+    A hash of everything in order is sequential by its nature: Spark sorts, and one task after the other hashes its
+    partition from the state that the one before it left. The driver passes the state on and sees no file. Files
+    without a path or digest are counted only.
     """
+    spark = files.sparkSession
+    ship(spark)
+    line = F.concat("path", F.lit(":"), "digest", F.lit(";"))
+    pieces = files.select("path", "digest").orderBy("path", "digest").select(line.alias("line")).mapInArrow(_pieces, "n long, piece binary").rdd
+    n, state = 0, b""
+    for at in range(pieces.getNumPartitions()):
+        # Without such a library on the executors, pieces come to the driver, one partition after the other.
+        (told,) = spark.sparkContext.runJob(pieces, lambda rows, state=state: [_hash_on(rows, state)], [at])
+        if told is None or _crypto() is None:
+            return _repository_digest(spark, *_hash_here(pieces.toLocalIterator()))
+        n, state = n + told[0], told[1]
+    return _repository_digest(spark, n, _finished(state))
+
+
+def _repository_digest(spark, n: int, digest: str) -> DataFrame:
+    return spark.createDataFrame([(n, digest)], "files long, repository_digest string")
+
+
+def _pieces(batches):
+    """The lines of each batch end to end, and how many there are."""
+    for batch in batches:
+        piece = "".join(x for x in batch.column(0).to_pylist() if x is not None).encode()
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([piece], pa.binary())], ["n", "piece"])
+
+
+#: Bytes that hold OpenSSL's SHA256_CTX, which is 112 bytes of plain numbers.
+_STATE = 128
+
+
+@cache
+def _crypto() -> ctypes.CDLL | None:
+    """The library behind hashlib, whose SHA-256 leaves its state where it can be read; None where it is not to be had."""
+    try:
+        found = ctypes.CDLL(_hashlib.__file__)
+        for name in ("SHA256_Init", "SHA256_Update", "SHA256_Final"):
+            getattr(found, name)
+        return found
+    except (AttributeError, OSError):
+        return None
+
+
+def _hash_on(rows: Iterable, state: bytes) -> tuple[int, bytes] | None:
+    """Lines and state after the pieces of `rows`, from the state before them, empty at the start."""
+    crypto = _crypto()
+    if crypto is None:
+        return None
+    held, n = ctypes.create_string_buffer(state, _STATE), 0
+    if not state:
+        crypto.SHA256_Init(held)
+    for count, piece in rows:
+        crypto.SHA256_Update(held, bytes(piece), ctypes.c_size_t(len(piece)))
+        n += count
+    return n, held.raw
+
+
+def _finished(state: bytes) -> str:
+    if not state:
+        return sha256().hexdigest()
+    held, out = ctypes.create_string_buffer(state, _STATE), ctypes.create_string_buffer(32)
+    _crypto().SHA256_Final(out, held)
+    return out.raw.hex()
+
+
+def _hash_here(rows: Iterable) -> tuple[int, str]:
     state, n = sha256(), 0
-    for row in files.select("path", "digest").orderBy("path", "digest").toLocalIterator():
-        state.update(f"{row.path}:{row.digest};".encode())
-        n += 1
-    return files.sparkSession.createDataFrame([(n, state.hexdigest())], "files long, repository_digest string")
+    for count, piece in rows:
+        state.update(piece)
+        n += count
+    return n, state.hexdigest()
 
 
 def merkle_tree(files: DataFrame) -> DataFrame:

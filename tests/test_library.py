@@ -1,6 +1,7 @@
 """The library without its corpus subpackage: queries against DuckDB, frontends, scans, streams, reports."""
 
 import gc
+import hashlib
 import json
 import os
 import subprocess
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from siltstone.functions import text
-from siltstone.operators import code, contracts, diff, export, graph
+from siltstone.operators import code, contracts, diff, export, graph, merkle
 from siltstone.plans import queries as plans
 from siltstone.session import Scratch, tidy
 from siltstone.sources import files
@@ -416,3 +417,16 @@ def test_has_edge_starts_from_the_edges(spark, tmp_path):
     # Every row is met by its key: customers and suppliers of a nation are never multiplied.
     assert "c_nationkey" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in x)
     assert "Join Inner, (c_nationkey" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("library", [True, False])
+def test_a_digest_of_everything_goes_from_task_to_task(spark, monkeypatch, library):
+    rows = [(f"p{i * 7919 % 3000:05d}é", f"{i:064d}") for i in range(3000)]
+    files = spark.createDataFrame([*rows, ("q", None), (None, "0")], "path string, digest string").repartition(8)
+    if not library:
+        monkeypatch.setattr(merkle, "_hash_on", lambda rows, state: None)
+    else:
+        monkeypatch.setattr(merkle, "_hash_here", None)
+    want = hashlib.sha256("".join(f"{p}:{d};" for p, d in sorted(rows)).encode()).hexdigest()
+    assert [tuple(r) for r in merkle.repository_digest(files).collect()] == [(3002, want)]
+    assert merkle.repository_digest(files.limit(0)).first().repository_digest == hashlib.sha256().hexdigest()
