@@ -25,28 +25,27 @@ def impact_summary(reached: DataFrame, files: DataFrame) -> DataFrame:
 def matching_tests(tests: DataFrame, changed: DataFrame, grams: int = 8) -> DataFrame:
     """Tests (path, base) whose base name contains a changed file's (base), or the other way round.
 
-    Containment is met by equi-joins on the first `grams` characters of every suffix: a name that contains another has
-    a suffix that starts with it. Names shorter than that are compared as they are, by their own length.
+    A name that contains another has a suffix that starts with it. The first `grams` characters of every suffix are met
+    with those that names begin with, a row for each beginning, which tells how long these names are; what stands there
+    in that length is then met as a whole. So no join has more than one row of the other side for a row.
     """
 
-    def suffixes(df: DataFrame, name: str) -> DataFrame:
-        at = F.explode(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))))
-        return df.select(F.col("base").alias(name)).distinct().select(name, at.alias("at"))
-
-    def contained(long: DataFrame, short: DataFrame, long_name: str, short_name: str) -> DataFrame:
-        needles = short.select(F.col("base").alias(short_name)).distinct()
-        needles = needles.withColumn("width", F.least(F.length(short_name), F.lit(grams))).where("width > 0")
-        widths = F.explode(F.array(*(F.lit(i) for i in range(1, grams + 1))))
-        pieces = suffixes(long, long_name).withColumn("width", widths)
-        pieces = pieces.select(long_name, "width", F.expr(f"substring({long_name}, at, width)").alias("gram")).distinct()
-        needles = needles.withColumn("gram", F.expr(f"substring({short_name}, 1, width)"))
-        met = pieces.join(needles, ["width", "gram"])
-        return met.where(F.col(long_name).contains(F.col(short_name))).select("test_base", "changed_base")
-
-    a = contained(tests, changed, "test_base", "changed_base")
-    b = contained(changed, tests, "changed_base", "test_base")
-    hit = a.unionByName(b).select(F.col("test_base").alias("base")).distinct()
-    return tests.join(hit, "base", "left_semi").select("path", "base")
+    def contained(long: DataFrame, short: DataFrame) -> DataFrame:
+        """(long, short): distinct names of `short` that stand in names of `long`."""
+        width = F.least(F.length("short"), F.lit(grams))
+        needles = short.select(F.col("base").alias("short")).distinct().where("short <> ''")
+        heads = needles.groupBy(F.substring("short", 1, grams).alias("gram")).agg(F.collect_set(F.length("short")).alias("lengths"))
+        widths = [r.width for r in needles.select(width.alias("width")).distinct().collect()]  # at most `grams` rows
+        names = long.select(F.col("base").alias("long")).distinct()
+        pieces = names.select("long", F.explode(F.sequence(F.lit(1), F.greatest(F.length("long"), F.lit(1)))).alias("at"))
+        pieces = pieces.select("long", "at", F.explode(F.array(*(F.lit(w) for w in sorted(widths))).cast("array<int>")).alias("width"))
+        pieces = pieces.withColumn("gram", F.expr("substring(long, at, width)")).where("length(gram) = width")
+        met = pieces.join(heads, "gram").select("long", "at", F.explode("lengths").alias("n")).where("at + n - 1 <= length(long)")
+        return met.select("long", F.expr("substring(long, at, n)").alias("short")).join(needles, "short", "left_semi")
+
+    a = contained(tests, changed).select(F.col("long").alias("base"))
+    b = contained(changed, tests).select(F.col("short").alias("base"))
+    return tests.join(a.unionByName(b).distinct(), "base", "left_semi").select("path", "base")
 
 
 def test_command(tests: DataFrame) -> DataFrame:

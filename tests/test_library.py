@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from siltstone.functions import text
-from siltstone.operators import code, contracts, diff, export, graph, merkle
+from siltstone.operators import code, contracts, diff, export, graph, impact, merkle
 from siltstone.plans import queries as plans
 from siltstone.session import Scratch, tidy
 from siltstone.sources import files
@@ -430,3 +430,38 @@ def test_a_digest_of_everything_goes_from_task_to_task(spark, monkeypatch, libra
     want = hashlib.sha256("".join(f"{p}:{d};" for p, d in sorted(rows)).encode()).hexdigest()
     assert [tuple(r) for r in merkle.repository_digest(files).collect()] == [(3002, want)]
     assert merkle.repository_digest(files.limit(0)).first().repository_digest == hashlib.sha256().hexdigest()
+
+
+def test_tests_that_share_a_beginning_are_not_multiplied(spark):
+    names = lambda n: spark.range(n).selectExpr("concat('p', id) AS path", "concat('commonhead_', id) AS base")
+    tests, changed = names(1500).selectExpr("path", "concat('test_', base, 'x') AS base"), names(300)
+    got = impact.matching_tests(tests, changed)
+    assert got.count() == 1500
+    most = max(_rows_out(got))
+    assert most < 200_000, most  # all names begin alike: in pairs they would be 450,000
+
+    odd = [("", ), ("a", ), ("aa", ), ("ba", ), ("é" * 9, ), ("xabcdefghij", ), (None, ), ("abcdefgh", ), ("abcdefghi", )]
+    tests = spark.createDataFrame([(f"t{i}", b) for i, (b,) in enumerate(odd)], "path string, base string")
+    for some in ([("", )], [("b", ), ("abcdefghij", )], [("yabcdefghiz", ), ("ééééééééééé", )], [], [(None, )]):
+        changed = spark.createDataFrame([("c", b) for (b,) in some], "path string, base string")
+        want = sorted((f"t{i}", b) for i, (b,) in enumerate(odd) if b and any(c and (c in b or b in c) for (c,) in some))
+        assert sorted(map(tuple, impact.matching_tests(tests, changed).collect())) == want
+
+
+def _rows_out(df) -> list[int]:
+    """Rows that each operator of an executed plan put out."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+            continue
+        if plan.metrics().contains("numOutputRows"):
+            found.append(plan.metrics().apply("numOutputRows").value())
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
