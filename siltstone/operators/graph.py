@@ -1,19 +1,28 @@
 """Directed graphs as edge tables (src, dst, flags): consolidation, degrees, reachability, components, order.
 
 Loops over frontiers write each step to the shared folder, so lineage stays short and a lost executor costs one step.
+Once no more than AT_ONCE edges are left, one task goes the rest of the way in memory, and the number of steps no longer
+matters. The joins of the loops are never broadcast: what many steps send to the driver would add up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-from siltstone.session import Scratch
+from siltstone.session import Scratch, ship
 
 #: What an edge is.
 SYNC, ASYNC, CROSS_MODULE, DEFINES, USES, RETURNS = 1, 2, 4, 8, 16, 32
 #: Hops of a job, and jobs after which what has been seen is written as one table.
 HOPS, ROUNDS = 3, 8
+#: Edges that one task holds in memory.
+AT_ONCE = 1_000_000
 
 
 def consolidate(edges: DataFrame, *keys: str) -> DataFrame:
@@ -88,8 +97,113 @@ def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> Dat
     """(node, hops): everything that the seeds (column node) reach, themselves included, by a frontier loop."""
     scratch = Scratch(edges.sparkSession, "reach")
     a, b = ("dst", "src") if backward else ("src", "dst")
-    steps = scratch.keep(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
-    return _spread(seeds.select("node").distinct().withColumn("hops", F.lit(0)), steps, "hops", F.col("hops") + 1, scratch)
+    steps, n = scratch.keep_counting(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct(), F.lit(True))
+    seeds = scratch.keep(seeds.select("node").distinct())
+    kinds = {steps.schema["node"].dataType, steps.schema["next"].dataType, seeds.schema["node"].dataType}
+    if n > AT_ONCE or len(kinds) > 1:
+        return _spread(seeds.withColumn("hops", F.lit(0)), steps, "hops", F.col("hops") + 1, scratch)
+    (kind,) = kinds
+    # Seeds without an edge reach themselves; only the others are sent to the task.
+    starts = seeds.join(steps.select("node"), "node", "left_semi")
+    given = steps.unionByName(starts.select("node", F.lit(None).cast(kind).alias("next"), F.lit(True).alias("seed")), allowMissingColumns=True)
+    found = _in_one_task(given.select("node", "next", "seed"), _hops, [("node", kind), ("hops", IntegerType())])
+    rest = seeds.join(steps.select("node"), "node", "left_anti").select("node", F.lit(0).alias("hops"))
+    return scratch.keep(found.unionByName(rest).groupBy("node").agg(F.min("hops").alias("hops")))
+
+
+def _in_one_task(rows: DataFrame, solve: Callable[[pa.Table], pa.Table], schema: list[tuple]) -> DataFrame:
+    """What `solve` makes of all rows together; of no rows it is not asked."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship(rows.sparkSession)
+    out = StructType()
+    for name, kind in schema:
+        out = out.add(name, kind)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if sum(b.num_rows for b in held):
+            yield from solve(pa.Table.from_batches(held)).cast(arrow).to_batches(max_chunksize=65_536)
+
+    return rows.repartition(1).mapInArrow(run, out)
+
+
+def _numbered(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """Distinct values of the columns together in their order, null behind them, and each column as places in it."""
+    every = pa.chunked_array([c for column in columns for c in column.chunks], columns[0].type).combine_chunks()
+    every = every.combine_chunks() if isinstance(every, pa.ChunkedArray) else every
+    coded = every.dictionary_encode()
+    order = pa.compute.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    places = np.append(rank, len(rank))[coded.indices.fill_null(len(rank)).to_numpy(zero_copy_only=False)]
+    values = pa.concat_arrays([coded.dictionary.take(pa.array(order)), pa.nulls(1, every.type)])
+    return values, np.split(places, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _rows_of(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of each node's edges, and where they lead."""
+    return np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]), dst[np.argsort(src, kind="stable")]
+
+
+def _hops(given: pa.Table) -> pa.Table:
+    """(node, hops) that rows with `seed` reach by those without."""
+    names, (node, following) = _numbered(given["node"], given["next"])
+    seed = given["seed"].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
+    real = ~seed & (node < len(names) - 1)  # nothing goes on from a null
+    offsets, ends = _rows_of(node[real], following[real], len(names))
+    hops = np.full(len(names), -1, np.int64)
+    front, at = np.unique(node[seed]), 0
+    while len(front):
+        hops[front] = at
+        counts = offsets[front + 1] - offsets[front]
+        where = np.repeat(offsets[front] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        met = np.unique(ends[where])
+        front, at = met[hops[met] < 0], at + 1
+    reached = np.flatnonzero(hops >= 0)
+    return pa.table({"node": names.take(pa.array(reached)), "hops": pa.array(hops[reached], pa.int32())})
+
+
+def _components(given: pa.Table) -> pa.Table:
+    """(node, component) of the edges (src, dst), by Tarjan's algorithm with its own stack."""
+    names, (src, dst) = _numbered(given["src"], given["dst"])
+    n = len(names) - 1
+    offsets, ends = (x.tolist() for x in _rows_of(src, dst, n))
+    index, low, open_, component = [-1] * n, [0] * n, [], [-1] * n
+    after = offsets[:-1]
+    made = 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        way = [root]
+        index[root] = low[root] = made
+        made += 1
+        open_.append(root)
+        while way:
+            v = way[-1]
+            if after[v] < offsets[v + 1]:
+                w = ends[after[v]]
+                after[v] += 1
+                if index[w] < 0:
+                    index[w] = low[w] = made
+                    made += 1
+                    open_.append(w)
+                    way.append(w)
+                elif component[w] < 0:
+                    low[v] = min(low[v], index[w])
+                continue
+            way.pop()
+            if way:
+                low[way[-1]] = min(low[way[-1]], low[v])
+            if low[v] == index[v]:
+                members = [open_.pop()]
+                while members[-1] != v:
+                    members.append(open_.pop())
+                least = min(members)
+                for w in members:
+                    component[w] = least
+    return pa.table({"node": names[:n], "component": names.take(pa.array(component))})
 
 
 def _spread(seeds: DataFrame, steps: DataFrame, column: str, after: Column, scratch: Scratch) -> DataFrame:
@@ -103,8 +217,8 @@ def _spread(seeds: DataFrame, steps: DataFrame, column: str, after: Column, scra
     while True:
         hop, found = frontier, None
         for _ in range(HOPS):
-            met = hop.join(steps, "node").select(F.col("next").alias("node"), after.alias(column))
-            hop = met.groupBy("node").agg(F.min(column).alias(column)).join(seen.select("node"), "node", "left_anti")
+            met = hop.join(steps.hint("merge"), "node").select(F.col("next").alias("node"), after.alias(column))
+            hop = met.groupBy("node").agg(F.min(column).alias(column)).join(seen.select("node").hint("merge"), "node", "left_anti")
             found = hop if found is None else found.unionByName(hop)
         frontier, n = scratch.keep_counting(found.groupBy("node").agg(F.min(column).alias(column)), F.lit(True))
         if not n:
@@ -118,24 +232,30 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     """(node, component): strongly connected components, named by their smallest node.
 
     Rounds of colouring: each node takes the smallest node that reaches it; what reaches back to its colour inside the
-    colour is that colour's component, and leaves the graph. Nodes on no cycle are trimmed at once.
+    colour is that colour's component, and leaves the graph. Nodes on no cycle are trimmed at once, and one task finds
+    the rest when no more than AT_ONCE edges are left.
     """
     scratch = Scratch(edges.sparkSession, "scc")
     everything = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     everything = (everything.unionByName(nodes.select("node")) if nodes is not None else everything).distinct()
-    live = edges.where("src <> dst").select("src", "dst").distinct()
+    live, n = scratch.keep_counting(edges.where("src <> dst").select("src", "dst").distinct(), F.lit(True))
     done: list[DataFrame] = []
     while True:
-        live, n = _trim(live, scratch)
+        if n > AT_ONCE:
+            live, n = _trim(live, scratch)
         if not n:
             break
+        if n <= AT_ONCE:
+            kind = live.schema["src"].dataType
+            done.append(scratch.keep(_in_one_task(live, _components, [("node", kind), ("component", kind)])))
+            break
         colour = _least_reaching(live, scratch)
         inside = _same(live, colour)
         home = reachable_within(inside, colour, scratch)
         done.append(home)
         gone = home.select("node")
         live = live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
-        live = live.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        live, n = scratch.keep_counting(live.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), F.lit(True))
     found = done[0] if done else everything.limit(0).withColumn("component", F.col("node"))
     for more in done[1:]:
         found = found.unionByName(more)
@@ -146,10 +266,10 @@ def _trim(live: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """Drop nodes without an edge in or out until none is left; the edges that stay, and their number."""
     before = None
     while True:
-        kept = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = kept.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        kept = live.join(live.select(F.col("src").alias("dst")).distinct().hint("merge"), "dst", "left_semi")
+        kept = kept.join(live.select(F.col("dst").alias("src")).distinct().hint("merge"), "src", "left_semi").select("src", "dst")
         live, after = scratch.keep_counting(kept, F.lit(True))
-        if after == before or not after:
+        if after == before or after <= AT_ONCE:
             return live, after
         before = after
 
@@ -164,8 +284,8 @@ def _least_reaching(live: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         after = colour
         for _ in range(HOPS):
-            after = steps.join(after, "node").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
-        after = after.join(colour.withColumnRenamed("colour", "was"), "node")
+            after = steps.hint("merge").join(after, "node").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
+        after = after.join(colour.withColumnRenamed("colour", "was").hint("merge"), "node")
         after, moved = scratch.keep_counting(after, F.col("colour") < F.col("was"))
         colour = after.select("node", "colour")
         if not moved:

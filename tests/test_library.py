@@ -360,6 +360,8 @@ def test_long_ways(spark):
     assert {r.node: r.hops for r in graph.reachable(edges, seeds).collect()} == want
     found = {r.node: r.component for r in graph.strong_components(edges).collect()}
     assert found == {i: min(i, n - 2) for i in range(n + 1)}
+    odd = spark.createDataFrame([(1, 2), (2, None), (None, 3)], "src long, dst long")
+    assert {tuple(r) for r in graph.reachable(odd, spark.createDataFrame([(1,)], "node long")).collect()} == {(1, 0), (2, 1), (None, 2)}
     assert graph.reachable(edges.limit(0), seeds).count() == 2
     assert graph.strong_components(edges.limit(0)).count() == 0
 
@@ -465,3 +467,35 @@ def _rows_out(df) -> list[int]:
             found.append(plan.metrics().apply("numOutputRows").value())
         todo += [plan.children().apply(i) for i in range(plan.children().size())]
     return found
+
+
+def test_graphs_of_either_way(spark, monkeypatch):
+    # A ring of 9 with a tail, two cycles that meet in a path, a node by itself, and names in place of numbers.
+    pairs = [(i, (i + 1) % 9) for i in range(9)] + [(8, 100), (100, 101), (200, 201), (201, 200), (201, 202), (202, 203), (203, 202), (5, 5), (300, 300)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, flags int")
+    seeds = spark.createDataFrame([(3,), (200,), (900,)], "node long")
+    found = []
+    for at_once in (graph.AT_ONCE, 0):
+        monkeypatch.setattr(graph, "AT_ONCE", at_once)
+        parts = graph.strong_components(edges, seeds)
+        found.append([sorted(map(tuple, x.collect()), key=repr) for x in (graph.reachable(edges, seeds), graph.reachable(edges, seeds, backward=True), parts, graph.condense(edges, parts))])
+    assert found[0] == found[1]
+    assert (8, 5) in found[0][0] and (2, 8) in found[0][0] and (900, 0) in found[0][0] and (900, 900) in found[0][2]
+    monkeypatch.undo()
+    named = edges.selectExpr("concat('n', src) AS src", "concat('n', dst) AS dst", "flags")
+    assert ("n8", "n0") in set(map(tuple, graph.strong_components(named).collect()))
+    odd = spark.createDataFrame([(1, 2), (2, None), (None, 3)], "src long, dst long")
+    assert {tuple(r) for r in graph.reachable(odd, spark.createDataFrame([(1,)], "node long")).collect()} == {(1, 0), (2, 1), (None, 2)}
+    assert graph.reachable(edges.limit(0), seeds.limit(0)).isEmpty() and graph.strong_components(edges.limit(0)).isEmpty()
+
+
+def test_long_ways_take_few_jobs(spark):
+    edges = spark.range(400).selectExpr("id AS src", "(id + 1) % 400 AS dst", "1 AS flags")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("ways"))
+    spark.sparkContext.setJobGroup("ways", "ways")
+    try:
+        assert graph.reachable(edges, spark.createDataFrame([(0,)], "node long")).agg(F.max("hops")).first()[0] == 399
+        assert graph.strong_components(edges).where("component <> 0").isEmpty()
+        assert jobs() < 60, jobs()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
