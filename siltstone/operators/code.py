@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text
 from siltstone.functions.digest import TIERS
 from siltstone.operators import diff, graph, intern, merkle, resolve
-from siltstone.session import ship
+from siltstone.session import Scratch, ship
 from siltstone.sources import braced
 from siltstone.sources import python_source as py
 
@@ -150,15 +150,58 @@ def symbol_slice(edges: DataFrame, name: str) -> DataFrame:
     return sides
 
 
-def symbols(files: DataFrame) -> DataFrame:
+class Facts:
+    """What resolving calls needs of files, each of which is parsed once: the rows are written, and read for each use.
+
+    Of the files `silent` only the declarations are taken. `made` are calls or arguments.
+    """
+
+    _SCHEMA = "path string, part string, a string, b string, c string, d string, n long, flag boolean"
+
+    def __init__(self, files: DataFrame, made: str, silent: DataFrame | None = None):
+        def declared(path, tree, *_):
+            return [(path, "declaration", *r[:3], None, None, None) for r in _of(tree).declarations(tree)] if tree else []
+
+        def all_of(path, tree, *_):
+            if not tree:
+                return []
+            front, out = _of(tree), declared(path, tree)
+            out += [(path, "import", *r, None, None) for r in front.imports(tree)]
+            if made == "calls":
+                return out + [(path, made, caller, callee, None, None, n, waits) for caller, callee, waits, n in front.calls(tree)]
+            return out + [(path, made, caller, callee, variable, None, n, None) for caller, callee, n, variable in front.arguments(tree)]
+
+        rows = _parse_each(files, self._SCHEMA, all_of)
+        if silent is not None:
+            rows = rows.unionByName(_parse_each(silent, self._SCHEMA, declared))
+        self.rows = Scratch(files.sparkSession, "facts").keep(rows)
+
+    def of(self, part: str, **names: str) -> DataFrame:
+        return self.rows.where(F.col("part") == part).select("path", *(F.col(c).alias(n) for n, c in names.items()))
+
+    def declarations(self) -> DataFrame:
+        return self.of("declaration", kind="a", owner="b", name="c")
+
+    def imports(self) -> DataFrame:
+        return self.of("import", module="a", symbol="b", bound="c", usage="d")
+
+    def calls(self) -> DataFrame:
+        return self.of("calls", caller="a", callee="b", is_async="flag", times="n")
+
+    def arguments(self) -> DataFrame:
+        return self.of("arguments", caller="a", callee="b", place="n", variable="c")
+
+
+def symbols(files: DataFrame | Facts) -> DataFrame:
     """(symbol, module, path, name) of functions, methods and classes, symbols as module:name."""
     module = text.module_name(F.col("path"))
-    defined = declarations(files).where("kind IN ('function', 'method', 'class')")
+    declared = files.declarations() if isinstance(files, Facts) else declarations(files)
+    defined = declared.where("kind IN ('function', 'method', 'class')")
     full = F.when(F.col("owner") == "", F.col("name")).otherwise(F.concat_ws(".", "owner", "name"))
     return defined.select(F.concat(module, F.lit(":"), full).alias("symbol"), module.alias("module"), "path", full.alias("name"))
 
 
-def resolve_calls(made: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_calls(made: DataFrame, files: DataFrame | Facts) -> DataFrame:
     """`made` (path, caller, callee, ...) as (src, dst, ...): callers and callees as symbols, those not found left out.
 
     A callee is meant by its import, else as a function of its own file, else as the only one of its name. A name that
@@ -166,7 +209,8 @@ def resolve_calls(made: DataFrame, files: DataFrame) -> DataFrame:
     """
     module = text.module_name(F.col("path"))
     named = F.struct(F.regexp_replace("module", r"^\.+", "").alias("module"), F.nullif("symbol", F.lit("")).alias("name"))
-    bound = imports(files).where("symbol <> '*' AND bound <> ''").groupBy(F.col("path").alias("i_path"), "bound").agg(F.min(named).alias("meant"))
+    imported = files.imports() if isinstance(files, Facts) else imports(files)
+    bound = imported.where("symbol <> '*' AND bound <> ''").groupBy(F.col("path").alias("i_path"), "bound").agg(F.min(named).alias("meant"))
     last, head = F.element_at(F.split("callee", r"\."), -1), F.substring_index("callee", ".", 1)
     met = made.withColumn("head", head).join(bound, (F.col("path") == F.col("i_path")) & (F.col("head") == F.col("bound")), "left")
     refs = met.select(
@@ -186,17 +230,22 @@ def _module(symbol) -> Column:
 
 def call_graph(files: DataFrame) -> DataFrame:
     """(src, dst, calls, is_cross): calls between functions of all files."""
-    found = resolve_calls(calls(files), files)
+    facts = Facts(files, "calls")
+    found = resolve_calls(facts.calls(), facts)
     return found.groupBy("src", "dst").agg(F.sum("times").alias("calls"), F.max(_module("src") != _module("dst")).alias("is_cross"))
 
 
-def flow_graph(files: DataFrame, made: DataFrame | None = None) -> DataFrame:
+def flow_graph(files: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """(src, dst, place, variable, is_return): what flows between functions of all files.
 
     Arguments flow from the caller to the callee, at their place, -2 if by name; at place -1 a result flows back.
-    `made` are the arguments of some of the files, where not all are wanted.
+    Where `changed` (column path) is given, only the calls in these files are wanted.
     """
-    found = resolve_calls(arguments(files) if made is None else made, files)
+    if changed is None:
+        facts = Facts(files, "arguments")
+    else:
+        facts = Facts(files.join(changed, "path", "left_semi"), "arguments", files.join(changed, "path", "left_anti"))
+    found = resolve_calls(facts.arguments(), facts)
     back = F.col("place") == py.RESULT
     src, dst = F.when(back, F.col("dst")).otherwise(F.col("src")), F.when(back, F.col("src")).otherwise(F.col("dst"))
     return found.select(src.alias("src"), dst.alias("dst"), "place", "variable", back.alias("is_return")).distinct()
@@ -211,7 +260,7 @@ def update_flow(old: DataFrame, files: DataFrame, changed: DataFrame) -> DataFra
     gone = changed.select(text.module_name(F.col("path")).alias("gone")).distinct()
     caller = F.when(F.col("is_return"), F.col("dst")).otherwise(F.col("src"))
     kept = old.join(gone, _module(caller) == F.col("gone"), "left_anti")
-    return kept.unionByName(flow_graph(files, arguments(files.join(changed, "path", "left_semi")))).distinct()
+    return kept.unionByName(flow_graph(files, changed)).distinct()
 
 
 def graph_digest(edges: DataFrame) -> DataFrame:
@@ -249,6 +298,7 @@ def program_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         return _parse_each(version, "path string, part string, target string, value string", each)
 
     key = ["path", "part", "target"]
+    old, new = _differing(old, new)
     # A name may be declared or called more than once; its values then stand together.
     one = lambda df: rows(df).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("value"))
     told = diff.keyed_diff(one(old), one(new), key, "value")
@@ -261,6 +311,19 @@ def program_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return told.where(~only_common | (F.col("status") == "changed")).select("path", "part", action.alias("action"), "target")
 
 
+def _differing(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both versions without the paths that hold the same contents, as often, in both: these need not be parsed.
+
+    Rows without a path have no counterpart and stay.
+    """
+    digest = F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit(b"")), 256).alias("digest")
+    each = old.select("path", digest, F.lit(1).alias("n")).unionByName(new.select("path", digest, F.lit(-1).alias("n")))
+    told = each.groupBy("path", "digest").agg(F.sum("n").alias("n")).where("n <> 0 OR path IS NULL")
+    paths = Scratch(old.sparkSession, "diff").keep(told.select(F.col("path").alias("differing")).distinct())
+    one, other = (df.join(paths, df["path"].eqNullSafe(F.col("differing")), "left_semi") for df in (old, new))
+    return one, other
+
+
 def _parts(tree: Tree) -> Iterator[tuple[str, str, str]]:
     """(part, target, value) of all that program_diff compares."""
     front = _of(tree)

@@ -499,3 +499,32 @@ def test_long_ways_take_few_jobs(spark):
         assert jobs() < 60, jobs()
     finally:
         spark.sparkContext._jsc.clearJobGroup()
+
+
+def _parses(spark, monkeypatch, made) -> int:
+    """How many times files are parsed while `made()` is computed."""
+    n, each = spark.sparkContext.accumulator(0), code._parse_each
+    monkeypatch.setattr(code, "_parse_each", lambda files, schema, rows: each(files.select("path", "content"), schema, lambda *a: (n.add(1), rows(*a))[1]))
+    made().collect()
+    monkeypatch.undo()
+    return n.value
+
+
+def test_files_are_parsed_once(spark, monkeypatch):
+    rows = [(f"m{i}.py", f"from m{i + 1} import f\n\ndef f(a):\n    return f(a)\n") for i in range(6)]
+    old = spark.createDataFrame(rows, "path string, content string")
+    new = old.withColumn("content", F.when(F.col("path") == "m3.py", F.replace("content", F.lit("f(a):"), F.lit("f(a, b):"))).otherwise(F.col("content")))
+    assert _parses(spark, monkeypatch, lambda: code.call_graph(old)) == 6
+    flow = Scratch(spark, "test").keep(code.flow_graph(old))
+    assert _parses(spark, monkeypatch, lambda: code.flow_graph(old)) == 6
+    assert _parses(spark, monkeypatch, lambda: code.update_flow(flow, new, new.where("path = 'm3.py'").select("path"))) == 6
+    assert _parses(spark, monkeypatch, lambda: code.program_diff(old, new)) == 2
+    assert [tuple(r) for r in code.program_diff(old, new).collect()] == [("m3.py", "declaration", "changed", "f")]
+
+
+def test_diff_of_repeated_and_missing_paths(spark):
+    one = "def f():\n    pass\n"
+    old = spark.createDataFrame([("a.py", one), ("b.py", one), ("c.py", None), (None, one)], "path string, content string")
+    new = spark.createDataFrame([("a.py", one), ("a.py", one), ("b.py", one), ("c.py", ""), (None, one)], "path string, content string")
+    got = sorted(map(tuple, code.program_diff(old, new).where("part = 'declaration'").collect()), key=repr)
+    assert got == [("a.py", "declaration", "changed", "f"), (None, "declaration", "added", "f"), (None, "declaration", "removed", "f")]
