@@ -73,7 +73,7 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _count(docs: DataFrame, shards: int) -> DataFrame:
+def _count(docs: DataFrame, shards: int, bigrams: bool) -> DataFrame:
     """(part, hash, n) of runs of training documents: part is twice the shard, and one more for bigrams."""
     names = ["part", "hash", "n"]
 
@@ -86,7 +86,8 @@ def _count(docs: DataFrame, shards: int) -> DataFrame:
 
     def flush(held):
         yield from counted(0, np.concatenate(held))
-        yield from counted(1, np.concatenate([bigram_hashes(t) for t in held]))
+        if bigrams:
+            yield from counted(1, np.concatenate([bigram_hashes(t) for t in held]))
 
     def run(batches):
         held, n = [], 0
@@ -246,30 +247,31 @@ def _scores(ids: list, lengths: np.ndarray, starts: np.ndarray, c, base, own, to
     )
 
 
-def train(docs: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+def train(docs: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES, bigrams: bool = True) -> tuple[DataFrame, int]:
     """The model's parts (kind, shard, body, extra, n, total), one row per shard, and the number of shards."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // shard_bytes))
     # A part's rows meet in one task and need no other exchange to be summed, sorted and packed.
-    summed = _count(docs, shards).repartition("part").groupBy("part", "hash").agg(F.sum("n").alias("n"))
+    summed = _count(docs, shards, bigrams).repartition("part").groupBy("part", "hash").agg(F.sum("n").alias("n"))
     packed = summed.sortWithinPartitions("part").mapInArrow(_packed, "kind int, shard int, body binary, extra binary, n long, total long")
     return scratch.keep(packed), shards
 
 
-def score(docs: DataFrame, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def score(docs: DataFrame, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int = BROADCAST_BYTES, bigrams: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words, A-Z lower-cased, and one end. A null or empty text is the end alone. Documents without a
     doc_id are held out. Tokens are told apart by XXH64. Repeated rows are learned from as often as they stand and get
-    equal scores. With nothing to learn from, train_tokens is 0 and score 0. Other columns are ignored.
+    equal scores. With nothing to learn from, train_tokens is 0 and score 0. Other columns are ignored. Without `bigrams`
+    these are neither counted nor asked for, and there is no column score.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "lm")
-    parts, shards = train(docs, scratch, shard_bytes)
+    parts, shards = train(docs, scratch, shard_bytes, bigrams)
     size = parts.agg(F.sum(F.length("body") + F.length("extra"))).first()[0] or 0
     if size > broadcast_bytes:
-        return _score_by_shards(docs, parts, shards, scratch)
+        return _wanted(_score_by_shards(docs, parts, shards, scratch, bigrams), bigrams)
     # One shard at a time comes to the driver, into arrays of their final size.
     sizes = [tuple(r) for r in parts.select("kind", "shard", "n", F.length("body")).collect()]
     rows = ((r.kind, r.shard, r.body, r.extra) for r in parts.toLocalIterator())
@@ -296,7 +298,11 @@ def score(docs: DataFrame, shard_bytes: int = SHARD_BYTES, broadcast_bytes: int
                 base, own = log_probabilities(c, before, model.bigram_counts(pairs)[back], model.total, model.types)
                 yield _scores(ids, n, starts, c, base, own, model.total)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _RESULT)
+    return _wanted(docs.select("doc_id", "text").mapInArrow(run, _RESULT), bigrams)
+
+
+def _wanted(scored: DataFrame, bigrams: bool) -> DataFrame:
+    return scored if bigrams else scored.drop("score")
 
 
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -347,7 +353,7 @@ def _unpacked(lengths: bytes, tokens: bytes, places: bytes):
     return lengths, unique, where, *_pairs_of(unique[where], lengths)
 
 
-def _score_by_shards(docs: DataFrame, parts: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+def _score_by_shards(docs: DataFrame, parts: DataFrame, shards: int, scratch: Scratch, bigrams: bool = True) -> DataFrame:
     """The same scores where the model is too large to broadcast: runs of texts ask each shard for what they hold of it.
 
     A run sends a shard its distinct hashes, and gets a byte for each bigram and a count for each token back in their
@@ -363,7 +369,7 @@ def _score_by_shards(docs: DataFrame, parts: DataFrame, shards: int, scratch: Sc
                 for i in range(batch.num_rows):
                     run = batch.column(0)[i].as_py()
                     _, unique, _, _, pairs = _unpacked(*(batch.column(k)[i].as_py() for k in (2, 3, 4)))
-                    for kind, hashes in ((0, unique), (1, np.unique(pairs))):
+                    for kind, hashes in ((0, unique), (1, np.unique(pairs))) if bigrams else ((0, unique),):
                         shard = shard_of(hashes, shards)
                         cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
                         some = [(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if shard[x] % TURNS == turn]
@@ -423,12 +429,12 @@ def _score_by_shards(docs: DataFrame, parts: DataFrame, shards: int, scratch: Sc
         lengths, unique, where, starts, pairs = _unpacked(*packed)
         # The parts are in the order of their shards, and so are the hashes.
         known = np.concatenate([np.frombuffer(b, np.int64) for part, b in bodies if not part % 2])
-        levels = np.concatenate([np.frombuffer(b, np.uint8) for part, b in bodies if part % 2])
+        levels = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(b, np.uint8) for part, b in bodies if part % 2)])
         c = known[where]
         before = np.concatenate([[0], c[:-1]])
         before[starts] = known[np.searchsorted(unique, _END)]
-        back = np.unique(pairs, return_inverse=True)[1]
-        base, own = log_probabilities(c, before, np.concatenate([[0], LEVELS])[levels[back]], total, types)
+        both = np.concatenate([[0], LEVELS])[levels[np.unique(pairs, return_inverse=True)[1]]] if bigrams else np.zeros(len(c), np.int64)
+        base, own = log_probabilities(c, before, both, total, types)
         return _scores(ids, lengths, starts, c, base, own, total)
 
     def run(batches):

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from siltstone.llm import base_queries
+from siltstone.llm import base_queries, lm
+from siltstone.session import Scratch
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [
@@ -42,3 +43,13 @@ def test_base_columns_of_odd_rows(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet/*.parquet'")
     _same(base_queries.QUERIES[name](spark, where), con.execute(base_queries.ORACLES[name]))
+
+
+@pytest.mark.parametrize("most", [0, lm.BROADCAST_BYTES])
+def test_base_scores_count_no_bigrams(spark, most):
+    docs = spark.createDataFrame([(i, f"a b{i % 5} c {'d ' * (i % 3)}") for i in range(40)], "doc_id long, text string")
+    want = lm.score(docs, 40, most).drop("score")
+    got = lm.score(docs, 40, most, bigrams=False)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    parts, _ = lm.train(docs, Scratch(spark, "test"), 40, bigrams=False)
+    assert {r.kind for r in parts.collect()} == {1}
